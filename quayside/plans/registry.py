@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import receiving_queries
+from quayside.plans import ledger_queries, receiving_queries
 
-_MODULES = [receiving_queries]
+_MODULES = [receiving_queries, ledger_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
