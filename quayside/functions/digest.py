@@ -48,9 +48,12 @@ def dataset_digest(frame: DataFrame, *group: str) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("row_count"), *hash_sums(F.col("_digest")))
 
 
-def proof_fingerprint(schema_json: str | Column) -> Column:
-    """One hash over row count, schema and sums, as stored in an artifact reference."""
-    schema = F.lit(schema_json) if isinstance(schema_json, str) else schema_json
+def proof_fingerprint(schema: str | Column) -> Column:
+    """One hash over row count, schema and sums, as stored in an artifact reference.
+
+    ``schema`` is the simple string of names and types; files do not keep whether a column may be NULL.
+    """
+    schema = F.lit(schema) if isinstance(schema, str) else schema
     return F.sha2(
         F.concat_ws(
             "|", F.col("row_count").cast("string"), schema, *[F.col(f"sum_{i}") for i in range(CHUNKS)]

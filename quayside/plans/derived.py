@@ -378,3 +378,88 @@ SQL["marks"] = """
     SELECT scope, max(sequence) // 2 AS seen FROM ledger
     WHERE substr(scope, 2)::BIGINT % 5 <> 0 GROUP BY scope"""
 _NEEDS |= {"attempts": ["ledger"], "latest_nodes": ["ledger"], "marks": ["ledger"]}
+
+
+# --- dependency graph --------------------------------------------------------------------------
+
+_TRIGGERS = ["all_success", "any_success", "all_done", "any_failed", "any_timed_out"]
+_STATES = [
+    "SUCCEEDED",
+    "SKIPPED_ALREADY_SATISFIED",
+    "SUCCEEDED",
+    "FAILED",
+    "TIMED_OUT",
+    "SKIPPED_CONDITION",
+    "BLOCKED",
+    "CANCELLED",
+    "RUNNING",
+    "SUCCEEDED",
+]
+_RESIDUES = "[{}]".format(", ".join(f"'{state}'" for state in _STATES))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node per part but part 0."""
+    key = F.col("p_partkey")
+
+    def pick(values: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+    return table(spark, sf_dir, "part").where(key > 0).select(
+        key.alias("node_id"),
+        F.col("p_size").cast("double").alias("weight"),
+        pick(_TRIGGERS).alias("trigger"),
+        pick(_STATES).alias("status"),
+        F.when(key % 7 == 0, F.when(key % 14 == 0, "off").otherwise("on")).alias("condition_value"),
+        F.when(key % 7 == 0, "on").alias("condition_expected"),
+        (key % 3 == 0).alias("critical"),
+        F.col("p_brand").alias("concurrency_group"),
+        F.col("p_type").alias("strategy"),
+    )
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node depends on its half and its third."""
+    key = F.col("p_partkey")
+    sources = F.explode(
+        F.when(key >= 3, F.array_distinct(F.array(F.floor(key / 2), F.floor(key / 3)))).otherwise(
+            F.array(F.floor(key / 2))
+        )
+    )
+    return table(spark, sf_dir, "part").where(key >= 2).select(sources.alias("src"), key.alias("dst"))
+
+
+def looped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges plus one that leads from every 97th node back to its half."""
+    key = F.col("p_partkey")
+    back = table(spark, sf_dir, "part").where((key % 97 == 0) & (key > 0)).select(
+        key.alias("src"), F.floor(key / 2).alias("dst")
+    )
+    return edges(spark, sf_dir).unionAll(back)
+
+
+SQL["nodes"] = f"""
+    SELECT p_partkey AS node_id, p_size::DOUBLE AS weight, {_TRIGGERS}[p_partkey % 5 + 1] AS trigger,
+           {_RESIDUES}[p_partkey % 10 + 1] AS status,
+           CASE WHEN p_partkey % 14 = 0 THEN 'off' WHEN p_partkey % 7 = 0 THEN 'on' END AS condition_value,
+           CASE WHEN p_partkey % 7 = 0 THEN 'on' END AS condition_expected, p_partkey % 3 = 0 AS critical,
+           p_brand AS concurrency_group, p_type AS strategy
+    FROM part WHERE p_partkey > 0"""
+SQL["edges"] = """
+    SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 2
+    UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey >= 3"""
+SQL["looped"] = """
+    SELECT * FROM edges UNION SELECT p_partkey, p_partkey // 2 FROM part
+    WHERE p_partkey % 97 = 0 AND p_partkey > 0"""
+SQL["reach"] = """
+    SELECT node_id FROM nodes WHERE node_id % 50 = 7
+    UNION SELECT dst FROM edges JOIN reach ON src = reach.node_id"""
+# Every distinct (node, length, weight) of a path from a root.
+SQL["levels"] = """
+    SELECT node_id, 0::BIGINT AS wave, weight AS total FROM nodes
+    WHERE node_id NOT IN (SELECT dst FROM edges)
+    UNION
+    SELECT n.node_id, l.wave + 1, l.total + n.weight
+    FROM levels l JOIN edges e ON e.src = l.node_id JOIN nodes n ON n.node_id = e.dst"""
+SQL["waves"] = "SELECT node_id, max(wave) AS wave FROM levels GROUP BY node_id"
+_NEEDS |= {"looped": ["edges"], "reach": ["nodes", "edges"], "levels": ["nodes", "edges"], "waves": ["levels"]}
