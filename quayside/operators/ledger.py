@@ -406,3 +406,16 @@ def peak_usage(intervals: DataFrame, group: list[str], demand: str = "demand") -
 
 def is_success(status: Column) -> Column:
     return status.isin(*SUCCESS_STATES)
+
+
+def control_notices(summaries: DataFrame) -> DataFrame:
+    """One notice per run and kind: failures, timeouts, and completion of every run that is over."""
+    over = (F.col("pending_nodes") + F.col("ready_nodes") + F.col("running_nodes")) == 0
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("failed_nodes") + F.col("blocked_nodes") > 0, "failure"),
+            F.when(F.col("timed_out_nodes") > 0, "timeout"),
+            F.when(over, "completed"),
+        )
+    )
+    return summaries.select("scope", "run_id", F.explode(kinds).alias("kind"))

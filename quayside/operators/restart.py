@@ -196,3 +196,18 @@ def validate_references(references: DataFrame, proofs: DataFrame, key: list[str]
     return references.join(found, key, "left").select(
         *key, F.col("_found").eqNullSafe(F.struct(*recorded)).alias("valid")
     )
+
+
+def changed_inputs(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Inputs whose proof differs between two looks: ``added``, ``removed`` or ``changed``."""
+    recorded = ["row_count", "sum_0", "sum_1", "sum_2", "sum_3"]
+    old = before.select(*key, F.struct(*recorded).alias("_old"))
+    new = after.select(*key, F.struct(*recorded).alias("_new"))
+    change = (
+        F.when(F.col("_old").isNull(), "added")
+        .when(F.col("_new").isNull(), "removed")
+        .when(F.col("_old") != F.col("_new"), "changed")
+    )
+    return (
+        old.join(new, key, "full").select(*key, change.alias("change")).where(F.col("change").isNotNull())
+    )

@@ -345,3 +345,17 @@ ORACLES["retry_eligible"] = with_tables(
          FROM latest_nodes)""",
     "latest_nodes",
 )
+
+QUERIES["control_notices"] = lambda spark, sf_dir: ledger.control_notices(
+    ledger.run_summary(latest_nodes(spark, sf_dir))
+)
+ORACLES["control_notices"] = with_tables(
+    """, counted AS (SELECT scope, run_id, count(*) FILTER (status IN ('FAILED', 'BLOCKED')) AS f,
+                            count(*) FILTER (status = 'TIMED_OUT') AS t,
+                            count(*) FILTER (status IN ('PENDING', 'READY', 'RUNNING')) AS o
+                     FROM latest_nodes GROUP BY ALL)
+       SELECT scope, run_id, 'failure' AS kind FROM counted WHERE f > 0
+       UNION ALL SELECT scope, run_id, 'timeout' FROM counted WHERE t > 0
+       UNION ALL SELECT scope, run_id, 'completed' FROM counted WHERE o = 0""",
+    "latest_nodes",
+)

@@ -315,11 +315,11 @@ derived.SQL["intents"] = """
     FROM orders"""
 derived.SQL["decided"] = """
     WITH entries AS (
-      SELECT *, -1 AS at, NULL::BIGINT AS arrival FROM intents WHERE is_first AND o_custkey % 7 <> 0
+      SELECT *, -1 AS pos, NULL::BIGINT AS arrival FROM intents WHERE is_first AND o_custkey % 7 <> 0
       UNION ALL SELECT *, o_orderkey, o_orderkey FROM intents
       WHERE (NOT is_first AND o_custkey % 10 <> 0) OR o_custkey % 7 = 0 OR (is_first AND o_custkey % 3 = 0)),
-    held AS (SELECT *, first_value(payload_digest) OVER (PARTITION BY effect_id ORDER BY at) AS holder FROM entries),
-    same AS (SELECT *, lag(output_reference) OVER (PARTITION BY effect_id ORDER BY at) AS stored
+    held AS (SELECT *, first_value(payload_digest) OVER (PARTITION BY effect_id ORDER BY pos) AS holder FROM entries),
+    same AS (SELECT *, lag(output_reference) OVER (PARTITION BY effect_id ORDER BY pos) AS stored
              FROM held WHERE payload_digest = holder)
     SELECT arrival, effect_id, payload_digest, output_reference,
            CASE WHEN stored IS NULL THEN 'insert' WHEN stored <> output_reference THEN 'refresh' ELSE 'noop' END
