@@ -44,8 +44,37 @@ def dataset_digest(frame: DataFrame, *group: str) -> DataFrame:
     """Row count and hash sums of the whole frame, or per ``group``. Duplicates count, order does not."""
     columns = [name for name in frame.columns if name not in group]
     hashed = frame.select(*group, F.sha2(canonical_json(columns), 256).alias("_digest"))
-    grouped = hashed.groupBy(*group) if group else hashed
-    return grouped.agg(F.count(F.lit(1)).alias("row_count"), *hash_sums(F.col("_digest")))
+    if not group:
+        return _whole_digest(hashed)
+    return hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("row_count"), *hash_sums(F.col("_digest")))
+
+
+def _whole_digest(hashed: DataFrame) -> DataFrame:
+    """The ungrouped sums. Each task first adds 32-bit halves as plain LONGs, which no partition can overflow
+    (that takes 2^31 rows), and only the one row per task is added up as decimals."""
+    halves = {
+        f"_half_{i}": F.conv(F.substring("_digest", i * 8 + 1, 8), 16, 10).cast("long")
+        for i in range(2 * CHUNKS)
+    }
+    per_task = (
+        hashed.select(F.spark_partition_id().alias("_task"), "_digest")
+        .groupBy("_task")
+        .agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(half).alias(name) for name, half in halves.items()])
+    )
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(name).cast("decimal(19,0)")), F.lit(0)).cast("decimal(28,0)")
+
+    return per_task.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
+        *[
+            (total(f"_half_{2 * i}") * F.lit(1 << 32).cast("decimal(10,0)") + total(f"_half_{2 * i + 1}"))
+            .cast("decimal(38,0)")
+            .cast("string")
+            .alias(f"sum_{i}")
+            for i in range(CHUNKS)
+        ],
+    )
 
 
 def proof_fingerprint(schema: str | Column) -> Column:
