@@ -18,8 +18,12 @@ from quayside.session import materialize, scratch_path
 
 
 def undefined_references(references: DataFrame, defined: DataFrame) -> DataFrame:
-    """References ``(owner, kind, name)`` to things that ``defined(kind, name)`` does not know."""
-    return references.join(defined.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select(
+    """References ``(owner, kind, name)`` to things that ``defined(kind, name)`` does not know.
+
+    ``defined`` is not made distinct first: behind an aggregate AQE could not split a name that very many
+    references share.
+    """
+    return references.join(defined.select("kind", "name"), ["kind", "name"], "left_anti").select(
         "owner", "kind", "name"
     )
 
@@ -364,4 +368,7 @@ def lineage_manifest(nodes: DataFrame, edges: DataFrame, waves: DataFrame) -> Da
     """The graph as published: one row per node and dependency (one with NULL for a root), with the policies
     of the node and its wave. Rows instead of lists, because a node may have any number of dependencies."""
     pairs = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("dependency")).distinct()
-    return nodes.join(waves, "node_id", "left").join(pairs, "node_id", "left")
+    described = nodes.join(waves, "node_id", "left")
+    # Inner and anti join instead of one outer join, whose inner side AQE could not split.
+    roots = described.join(pairs, "node_id", "left_anti")
+    return pairs.join(described, "node_id").unionByName(roots, allowMissingColumns=True)

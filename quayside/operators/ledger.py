@@ -45,6 +45,7 @@ PUBLIC_FIELDS = [
     "restart_mode",
     "configuration_fingerprint",
     "execution_uncertain",
+    "plan",
 ]
 HIDDEN_EVENTS = ["NODE_CREATED", "REMOTE_RUN_SUBMITTED"]
 
@@ -61,12 +62,16 @@ SPREAD = 1 << 20
 def _marks(watermarks: DataFrame) -> DataFrame:
     """Watermarks repeated once per stretch of the sequence they cover, so that the join with the events of
     a large scope meets many small keys instead of one large one. Short scopes keep a single row."""
-    stretches = F.sequence(F.lit(0).cast("long"), F.floor(F.col("sequence") / SPREAD).cast("long"))
+    stretches = F.sequence(F.lit(0).cast("long"), _stretch(F.col("sequence")))
     return watermarks.select("scope", F.col("sequence").alias("_seen"), F.explode(stretches).alias("_stretch"))
 
 
+def _stretch(sequence: Column) -> Column:
+    return ((sequence - F.pmod(sequence, F.lit(SPREAD))) / SPREAD).cast("long")
+
+
 def _stretched(events: DataFrame) -> DataFrame:
-    return events.withColumn("_stretch", F.floor(F.col("sequence") / SPREAD).cast("long"))
+    return events.withColumn("_stretch", _stretch(F.col("sequence")))
 
 
 def suffix(events: DataFrame, watermarks: DataFrame) -> DataFrame:
@@ -224,16 +229,16 @@ def state_at(events: DataFrame, sequence: int) -> DataFrame:
     return latest(events.where(F.col("sequence") <= sequence))
 
 
-def public_events(events: DataFrame, include_run_key: bool = True) -> DataFrame:
-    """What may leave the job: allowlisted fields, and of an error only its category and code."""
+def public_events(events: DataFrame, include_run_key: bool = True, replay_only: bool = True) -> DataFrame:
+    """What may leave the job: allowlisted fields, and of an error only its category and code. A replay shows
+    runs and nodes and leaves out creations and remote submissions; a log shows every event."""
     fields = [name for name in PUBLIC_FIELDS if name not in ("run_id", "node_id")]
     if include_run_key:
         fields.append("business_run_key")
     schema = ", ".join(f"{name} {_FIELD_TYPES.get(name, 'STRING')}" for name in fields)
     schema += ", error STRUCT<category: STRING, code: STRING>"
-    shown = events.where(
-        F.col("entity_type").isin("run", "node") & ~F.col("event_type").isin(*HIDDEN_EVENTS)
-    )
+    replayed = F.col("entity_type").isin("run", "node") & ~F.col("event_type").isin(*HIDDEN_EVENTS)
+    shown = events.where(replayed) if replay_only else events
     message = F.from_json("payload", schema)
     return shown.select(
         "scope",
@@ -261,6 +266,7 @@ _FIELD_TYPES = {
     "retry_count": "LONG",
     "duration_seconds": "DOUBLE",
     "execution_uncertain": "BOOLEAN",
+    "plan": "ARRAY<STRING>",
 }
 
 
@@ -419,3 +425,13 @@ def control_notices(summaries: DataFrame) -> DataFrame:
         )
     )
     return summaries.select("scope", "run_id", F.explode(kinds).alias("kind"))
+
+
+def resource_usage(intervals: DataFrame, group: list[str], capacities: DataFrame) -> DataFrame:
+    """Peak demand per group and resource against its capacity. ``intervals`` carries ``resources``, a map of
+    resource to demand; ``capacities`` has one row per resource."""
+    demands = intervals.select(*group, "started_us", "ended_us", F.explode("resources").alias("resource", "demand"))
+    peaks = peak_usage(demands, [*group, "resource"])
+    return peaks.join(capacities, "resource", "left").withColumn(
+        "exceeded", F.coalesce(F.col("peak") > F.col("capacity"), F.lit(True))
+    )

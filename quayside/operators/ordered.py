@@ -107,7 +107,7 @@ def _scan(frame: DataFrame, keys: list[str], kind: str, widths: list[int]) -> Da
     """Replace ``_value`` by its running result; ``_order`` is kept."""
     if not widths:
         return _windowed(frame, keys, kind)
-    segmented = frame.withColumn(_SEGMENT, F.floor(F.col(_ORDER) / F.lit(widths[0])).cast("long"))
+    segmented = frame.withColumn(_SEGMENT, F.expr(f"({_ORDER} - pmod({_ORDER}, {widths[0]}L)) div {widths[0]}L"))
     summaries = (
         segmented.groupBy(*keys, _SEGMENT)
         .agg(_SUMMARY[kind]().alias(_VALUE))

@@ -72,7 +72,7 @@ def reject_reason(quantity: Column, maximum: int) -> Column:
     rules = [
         ("missing_shipment_key", missing("shipment_id") | missing("line_id")),
         ("conflicting_shipment_key", F.col("versions") != 1),
-        ("invalid_quantity", quantity.isNull() | (quantity <= 0) | (quantity > maximum)),
+        ("invalid_quantity", ~F.coalesce(quantity.between(1, maximum), F.lit(False))),
         ("unknown_sku", catalog_unit.isNull()),
         ("missing_warehouse", missing("warehouse_id")),
         ("unit_mismatch", ~unit.eqNullSafe(catalog_unit)),

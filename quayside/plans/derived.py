@@ -1,7 +1,8 @@
 """Receiving and ledger tables derived from the star-schema test tables.
 
 Each table exists twice: as a DataFrame and as the SQL of the same rows (``SQL``), which the oracle queries
-put in front of their own text.
+put in front of their own text. Every row of the source table takes part; the residues of its keys only decide
+which defect, state or role a row gets.
 """
 
 from __future__ import annotations

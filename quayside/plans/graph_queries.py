@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.operators import graph
+from quayside.operators import graph, restart
 from quayside.plans import derived
 from quayside.plans.derived import with_tables
 
@@ -22,6 +22,25 @@ QUERIES["descendants"] = lambda spark, sf_dir: graph.descendants(
 )
 ORACLES["descendants"] = with_tables("SELECT node_id FROM reach", "reach")
 
+
+
+def invalidated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a forced restart from node 6 has to recompute: it, all that did not succeed, and what follows."""
+    nodes = derived.nodes(spark, sf_dir)
+    origins = restart.invalidation_origins(nodes, "force_restart", nodes.where(F.col("node_id") == 6))
+    return graph.descendants(nodes, derived.edges(spark, sf_dir), origins)
+
+
+QUERIES["invalidated_nodes"] = invalidated_nodes
+ORACLES["invalidated_nodes"] = with_tables(
+    """, invalid AS (SELECT node_id FROM nodes
+                     WHERE node_id = 6 OR status NOT IN ('SUCCEEDED', 'SKIPPED_ALREADY_SATISFIED')
+                     UNION SELECT dst FROM edges JOIN invalid ON src = invalid.node_id)
+       SELECT node_id FROM invalid""",
+    "nodes",
+    "edges",
+)
+
 QUERIES["unreachable_nodes"] = lambda spark, sf_dir: graph.unreachable(
     derived.nodes(spark, sf_dir), derived.edges(spark, sf_dir), _origins(spark, sf_dir)
 )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.text import backoff_seconds
-from quayside.operators import failures, ledger
+from quayside.functions.times import seconds_between
+from quayside.operators import failures, ledger, ordered
 from quayside.plans import derived
 from quayside.plans.derived import with_tables
 
@@ -359,3 +360,68 @@ ORACLES["control_notices"] = with_tables(
        UNION ALL SELECT scope, run_id, 'completed' FROM counted WHERE o = 0""",
     "latest_nodes",
 )
+
+
+def resource_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each attempt reads one source, and those of an even node also write one to three targets."""
+    node = F.substring("node_id", 2, 20).cast("long")
+    attempts = derived.attempts(spark, sf_dir).withColumn(
+        "resources",
+        F.when(node % 2 == 0, F.create_map(F.lit("reads"), F.lit(1).cast("long"), F.lit("writes"), node % 3 + 1))
+        .otherwise(F.create_map(F.lit("reads"), F.lit(1).cast("long"))),
+    )
+    # Reads are limited to the number of regions; writes have no capacity, which counts as exceeded.
+    capacities = derived.table(spark, sf_dir, "region").agg(
+        F.lit("reads").alias("resource"), F.count(F.lit(1)).alias("capacity")
+    )
+    return ledger.resource_usage(attempts, ["scope"], capacities)
+
+
+QUERIES["resource_usage"] = resource_usage
+ORACLES["resource_usage"] = with_tables(
+    """, demands AS (
+         SELECT scope, started_us, ended_us, 'reads' AS resource, 1 AS demand FROM attempts
+         UNION ALL SELECT scope, started_us, ended_us, 'writes', substr(node_id, 2)::BIGINT % 3 + 1 FROM attempts
+         WHERE substr(node_id, 2)::BIGINT % 2 = 0),
+       edges AS (SELECT scope, resource, started_us AS at_us, demand AS change FROM demands
+                 WHERE started_us < ended_us
+                 UNION ALL SELECT scope, resource, ended_us, -demand FROM demands WHERE started_us < ended_us),
+       used AS (SELECT scope, resource, at_us,
+                       sum(sum(change)) OVER (PARTITION BY scope, resource ORDER BY at_us) AS in_use
+                FROM edges GROUP BY scope, resource, at_us),
+       peaks AS (SELECT scope, resource, in_use::BIGINT AS peak, at_us AS first_peak_us FROM used
+                 QUALIFY row_number() OVER (PARTITION BY scope, resource ORDER BY in_use DESC, at_us) = 1)
+       SELECT p.*, c.capacity, coalesce(peak > c.capacity, true) AS exceeded
+       FROM peaks p LEFT JOIN (SELECT 'reads' AS resource, count(*) AS capacity FROM region) c
+            ON c.resource = p.resource""",
+    "attempts",
+)
+
+
+def attempt_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds from each event of a node to its next one, from the ISO timestamps in the ledger."""
+    following = ordered.previous(
+        _events(spark, sf_dir),
+        ["scope", "node_id"],
+        -F.col("sequence"),
+        F.col("timestamp"),
+        "next_timestamp",
+    )
+    return following.select(
+        "scope",
+        "node_id",
+        "sequence",
+        seconds_between(F.col("timestamp"), F.col("next_timestamp")).alias("seconds"),
+    )
+
+
+QUERIES["attempt_durations"] = attempt_durations
+ORACLES["attempt_durations"] = with_tables(
+    """, moments AS (SELECT scope, node_id, sequence,
+                            epoch_us(strptime(left(timestamp, 23), '%Y-%m-%dT%H:%M:%S.%g')) AS at_us FROM ledger),
+       following AS (SELECT *, lead(at_us) OVER (PARTITION BY scope, node_id ORDER BY sequence) - at_us AS us
+                     FROM moments)
+       SELECT scope, node_id, sequence,
+              CASE WHEN us IS NOT NULL THEN greatest(us, 0) / 1000000 END::DOUBLE AS seconds FROM following""",
+    "ledger",
+)

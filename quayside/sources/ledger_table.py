@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quayside.contracts import EVENT_SCHEMA
 from quayside.operators.ledger import assign_sequence
 
-_STORED = StructType([*EVENT_SCHEMA.fields, StructField("shard", StringType())])
+STORED_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("shard", StringType())])
 
 
 def _shard(scope: Column) -> Column:
@@ -46,7 +46,7 @@ def append(spark: SparkSession, path: str, batch: DataFrame, order: str) -> None
 
 def read(spark: SparkSession, path: str, scope: str | None = None, after: int = 0) -> DataFrame:
     """Committed events, or the suffix of one scope behind ``after``. Both filters reach the scan."""
-    events = spark.read.schema(_STORED).parquet(path)
+    events = spark.read.schema(STORED_SCHEMA).parquet(path)
     if scope is not None:
         shard = hashlib.sha256(scope.encode()).hexdigest()[:2]
         events = events.where((F.col("shard") == shard) & (F.col("scope") == scope))

@@ -141,6 +141,7 @@ def test_public_events_show_only_listed_fields(spark):
     assert (shown[0].status, shown[0].error_category, shown[0].error_code) == ("FAILED", "TIMEOUT", "LATE")
     assert "SENSITIVE" not in str(shown) and "business_run_key" not in shown[0].asDict()
     assert ledger.public_events(frame).first().business_run_key == "2024-01-02"
+    assert ledger.public_events(frame, replay_only=False).count() == 3
 
 
 def test_redaction(spark):
