@@ -17,11 +17,11 @@ MAX_QUANTITY = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. One with fewer splits than the session has cores is dealt out to all of them: it then
-    holds less than one split per core, so the extra shuffle is small. Larger tables are read as they are."""
+    """A test table. One with fewer splits than the session has cores is dealt out to all of them by its key: it
+    then holds less than one split per core, so the extra shuffle is small. Larger tables are read as they are."""
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, frame.columns[0])
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
