@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.contracts import BAD_STATES, ENTITY_KEY, OPEN_RUN_STATES, SUCCESS_STATES, TERMINAL_STATES
+from quayside.contracts import BAD_STATES, ENTITY_KEY, OPEN_RUN_STATES, TERMINAL_STATES
 from quayside.errors import DataFailure
 from quayside.functions.digest import dataset_digest
 from quayside.operators import ordered
@@ -182,13 +182,6 @@ def latest_run(runs: DataFrame) -> DataFrame:
     )
 
 
-def with_previous_status(events: DataFrame) -> DataFrame:
-    """Events (status, attempt … already decoded) with the status their entity had before."""
-    return ordered.previous(
-        events, ENTITY_KEY, F.col("sequence"), F.col("status"), "previous_status", ordered.SEQUENCE_WIDTHS
-    )
-
-
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """Events that move an entity along no legal pair. An entity starts with NODE_CREATED; only a remote
     submission may keep the status; reconciliation may cancel what is unfinished or uncertain."""
@@ -224,6 +217,24 @@ def state_timeline(events: DataFrame) -> DataFrame:
     ).select("scope", "run_id", "node_id", "sequence", "until_sequence", "status", "attempt")
 
 
+def run_timeline(events: DataFrame) -> DataFrame:
+    """After each event of a run: how many nodes are running, and which node was the last to finish.
+
+    The count is a running total of the moves into and out of RUNNING, so no event is paired with all nodes.
+    """
+    moved = ordered.previous(
+        events, ["scope", "run_id", "node_id"], F.col("sequence"), F.struct("status"), "_before"
+    )
+    run = ["scope", "run_id"]
+    now = (F.col("status") == "RUNNING").cast("long")
+    before = F.coalesce((F.col("_before.status") == "RUNNING").cast("long"), F.lit(0).cast("long"))
+    running = ordered.running_sum(moved, run, F.col("sequence"), now - before, "running_nodes")
+    finished = F.when(F.col("status").isin(*TERMINAL_STATES), F.col("node_id"))
+    return ordered.last_known(running, run, F.col("sequence"), finished, "last_finished").select(
+        *run, "sequence", "node_id", "status", "running_nodes", "last_finished"
+    )
+
+
 def state_at(events: DataFrame, sequence: int) -> DataFrame:
     """State of every node once the event ``sequence`` of its scope was written."""
     return latest(events.where(F.col("sequence") <= sequence))
@@ -304,7 +315,7 @@ def node_active_time(events: DataFrame) -> DataFrame:
     )
 
 
-_STATE_COUNTS = {
+STATE_COUNTS = {
     "successful_nodes": ["SUCCEEDED"],
     "skipped_nodes": ["SKIPPED_ALREADY_SATISFIED", "SKIPPED_CONDITION"],
     "skipped_already_satisfied": ["SKIPPED_ALREADY_SATISFIED"],
@@ -323,7 +334,7 @@ def run_summary(nodes: DataFrame) -> DataFrame:
     """Counts per state, run status and advice per run, over the latest node records."""
     counted = nodes.groupBy("scope", "run_id").agg(
         F.count(F.lit(1)).alias("total_nodes"),
-        *[F.count_if(F.col("status").isin(*states)).alias(name) for name, states in _STATE_COUNTS.items()],
+        *[F.count_if(F.col("status").isin(*states)).alias(name) for name, states in STATE_COUNTS.items()],
         F.count_if(F.col("attempt") > 1).alias("retried_nodes"),
         F.bool_or("execution_uncertain").alias("_uncertain"),
         F.bool_or(F.col("critical") & F.col("status").isin(*BAD_STATES)).alias("_failed"),
@@ -410,10 +421,6 @@ def peak_usage(intervals: DataFrame, group: list[str], demand: str = "demand") -
     )
 
 
-def is_success(status: Column) -> Column:
-    return status.isin(*SUCCESS_STATES)
-
-
 def control_notices(summaries: DataFrame) -> DataFrame:
     """One notice per run and kind: failures, timeouts, and completion of every run that is over."""
     over = (F.col("pending_nodes") + F.col("ready_nodes") + F.col("running_nodes")) == 0

@@ -39,7 +39,10 @@ def actions(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFram
         *columns, "status", F.lit(-1).cast("long").alias("_at"), F.lit(None).cast("long").alias("arrival")
     ).unionAll(
         incoming.select(
-            *columns, F.lit(PENDING).alias("status"), order.cast("long").alias("_at"), order.cast("long").alias("arrival")
+            *columns,
+            F.lit(PENDING).alias("status"),
+            order.cast("long").alias("_at"),
+            order.cast("long").alias("arrival"),
         )
     )
     holder = F.struct("payload_digest", "status")

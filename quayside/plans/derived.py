@@ -95,7 +95,7 @@ SQL: dict[str, str] = {
         FROM accepted GROUP BY ALL""",
 }
 
-_NEEDS = {
+NEEDS = {
     "lines": ["once"],
     "versions": ["lines"],
     "classified": ["versions", "catalog"],
@@ -109,7 +109,7 @@ def with_tables(body: str, *names: str) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
-        for need in _NEEDS.get(name, []):
+        for need in NEEDS.get(name, []):
             add(need)
         if name not in order:
             order.append(name)
@@ -281,7 +281,7 @@ SQL["ledger"] = """
                    || '","message":"row ' || event_id || ' of the customer file","retryable":'
                    || error_retryable || '}' ELSE 'null' END || '}' AS payload
     FROM raw_events"""
-_NEEDS["ledger"] = ["raw_events"]
+NEEDS["ledger"] = ["raw_events"]
 
 
 def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +382,7 @@ SQL["ledger_runs"] = """
 SQL["marks"] = """
     SELECT scope, max(sequence) // 2 AS seen FROM ledger
     WHERE substr(scope, 2)::BIGINT % 5 <> 0 GROUP BY scope"""
-_NEEDS |= {"attempts": ["ledger"], "latest_nodes": ["ledger"], "marks": ["ledger"]}
+NEEDS |= {"attempts": ["ledger"], "latest_nodes": ["ledger"], "marks": ["ledger"]}
 
 
 # --- dependency graph --------------------------------------------------------------------------
@@ -467,4 +467,4 @@ SQL["levels"] = """
     SELECT n.node_id, l.wave + 1, l.total + n.weight
     FROM levels l JOIN edges e ON e.src = l.node_id JOIN nodes n ON n.node_id = e.dst"""
 SQL["waves"] = "SELECT node_id, max(wave) AS wave FROM levels GROUP BY node_id"
-_NEEDS |= {"looped": ["edges"], "reach": ["nodes", "edges"], "levels": ["nodes", "edges"], "waves": ["levels"]}
+NEEDS |= {"looped": ["edges"], "reach": ["nodes", "edges"], "levels": ["nodes", "edges"], "waves": ["levels"]}

@@ -157,7 +157,7 @@ QUERIES["dependency_records"] = lambda spark, sf_dir: graph.dependency_records(
 derived.SQL["records"] = """
     SELECT node_id, status, sha256('out-' || node_id) AS digest, node_id * 3 AS row_count FROM nodes
     WHERE node_id % 37 <> 0"""
-derived._NEEDS["records"] = ["nodes"]
+derived.NEEDS["records"] = ["nodes"]
 ORACLES["dependency_records"] = with_tables(
     """SELECT dst AS node_id, src AS dependency, status, digest, row_count, status IS NOT NULL AS known
        FROM edges LEFT JOIN records ON src = records.node_id""",

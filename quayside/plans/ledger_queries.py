@@ -228,7 +228,7 @@ ORACLES["node_active_time"] = with_tables(
 QUERIES["run_summary"] = lambda spark, sf_dir: ledger.run_summary(latest_nodes(spark, sf_dir))
 _COUNTS = ", ".join(
     f"count(*) FILTER (status IN ({', '.join(repr(state) for state in states)})) AS {name}"
-    for name, states in ledger._STATE_COUNTS.items()
+    for name, states in ledger.STATE_COUNTS.items()
 )
 ORACLES["run_summary"] = with_tables(
     f"""SELECT * EXCLUDE (u, f), CASE WHEN u THEN 'RECOVERY_REQUIRED' WHEN f THEN 'FAILED' ELSE 'SUCCEEDED' END
@@ -286,6 +286,19 @@ ORACLES["state_timeline"] = with_tables(
     "ledger",
 )
 
+QUERIES["run_timeline"] = lambda spark, sf_dir: ledger.run_timeline(derived.decoded_events(spark, sf_dir))
+ORACLES["run_timeline"] = with_tables(
+    """, moved AS (SELECT *, lag(status) OVER (PARTITION BY scope, run_id, node_id ORDER BY sequence) AS was
+                   FROM ledger)
+       SELECT scope, run_id, sequence, node_id, status,
+              sum((status = 'RUNNING')::BIGINT - coalesce((was = 'RUNNING')::BIGINT, 0))
+                  OVER (PARTITION BY scope, run_id ORDER BY sequence)::BIGINT AS running_nodes,
+              last_value(CASE WHEN status IN ('SUCCEEDED', 'FAILED') THEN node_id END IGNORE NULLS)
+                  OVER (PARTITION BY scope, run_id ORDER BY sequence) AS last_finished
+       FROM moved""",
+    "ledger",
+)
+
 QUERIES["latest_run"] = lambda spark, sf_dir: ledger.latest_run(derived.runs(spark, sf_dir))
 ORACLES["latest_run"] = with_tables(
     """SELECT scope, run_id, status, attempt, attempt + 1 AS next_attempt FROM runs

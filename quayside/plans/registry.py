@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayside.plans import graph_queries, ledger_queries, receiving_queries, restart_queries, source_queries
 
-_MODULES = [receiving_queries, ledger_queries, graph_queries, restart_queries, source_queries]
+MODULES = [receiving_queries, ledger_queries, graph_queries, restart_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.contracts import PLAN_SCHEMA
@@ -19,7 +19,7 @@ QUERIES = {}
 ORACLES = {}
 
 
-def _hash(prefix: str, column: str) -> F.Column:
+def _hash(prefix: str, column: str) -> Column:
     return F.sha2(F.concat(F.lit(prefix), F.col(column)), 256)
 
 
@@ -49,7 +49,7 @@ def current_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prior_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     case, key = F.col("node_id") % 19, F.col("node_id")
 
-    def unless(broken: int, value: F.Column, other: str | None) -> F.Column:
+    def unless(broken: int, value: Column, other: str | None) -> Column:
         return F.when(case == broken, F.lit(other)).otherwise(value)
 
     outputs, inputs = _hash("out-", "node_id"), _hash("in-", "node_id")
@@ -327,7 +327,7 @@ derived.SQL["decided"] = """
     FROM same WHERE arrival IS NOT NULL
     UNION ALL SELECT arrival, effect_id, payload_digest, output_reference, 'conflict' FROM held
     WHERE payload_digest <> holder AND arrival IS NOT NULL"""
-derived._NEEDS["decided"] = ["intents"]
+derived.NEEDS["decided"] = ["intents"]
 
 QUERIES["outbox_ids"] = lambda spark, sf_dir: intents(spark, sf_dir).select(
     "effect_id", "scope", "o_orderkey", "valid_operation"

@@ -9,15 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quayside.contracts import EVENT_SCHEMA
 from quayside.errors import DataFailure
 from quayside.sources.ledger_table import STORED_SCHEMA
 
 
-def require_continuation(seen: DataFrame, batch: DataFrame) -> None:
-    """Every scope of ``batch`` must go on with the number after the newest one in ``seen``."""
-    have = seen.groupBy("scope").agg(F.max("sequence").alias("_have"))
+POSITION_SCHEMA = StructType([StructField("scope", StringType()), StructField("sequence", LongType())])
+
+
+def require_continuation(positions: DataFrame, batch: DataFrame) -> None:
+    """Every scope of ``batch`` must go on with the number after its newest one in ``positions``."""
+    have = positions.groupBy("scope").agg(F.max("sequence").alias("_have"))
     new = batch.groupBy("scope").agg(
         F.min("sequence").alias("_first"),
         F.max("sequence").alias("_last"),
@@ -36,30 +40,33 @@ def require_continuation(seen: DataFrame, batch: DataFrame) -> None:
 
 def seen_events(spark: SparkSession, target: str) -> DataFrame:
     """Everything a follower has taken over so far."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(f"{target}/batch=*")
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{target}/events/batch=*")
+
+
+def _positions(spark: SparkSession, target: str, before: int) -> DataFrame:
+    """Newest sequence per scope and batch, of the batches ahead of ``before``. The events stay unread."""
+    if before == 0:
+        return spark.createDataFrame([], POSITION_SCHEMA)
+    stored = StructType([*POSITION_SCHEMA.fields, StructField("batch", LongType())])
+    return spark.read.schema(stored).parquet(f"{target}/positions").where(F.col("batch") < before)
 
 
-def follow(spark: SparkSession, ledger_path: str, target: str, position: str) -> StreamingQuery:
-    """Take over all events that arrived since the last call. ``position`` is the streaming checkpoint.
+def follow(spark: SparkSession, ledger_path: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Take over all events that arrived since the last call.
 
-    A batch that is repeated after a failure replaces its own folder, so nothing is taken over twice.
+    A batch that is repeated after a failure replaces its own folders, so nothing is taken over twice.
     """
 
     def take_over(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        earlier = [f"{target}/batch={n}" for n in range(number)]
-        seen = (
-            session.read.schema(EVENT_SCHEMA).parquet(*earlier)
-            if earlier
-            else session.createDataFrame([], EVENT_SCHEMA)
-        )
-        require_continuation(seen, batch)
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        require_continuation(_positions(batch.sparkSession, target, number), batch)
+        batch.write.mode("overwrite").parquet(f"{target}/events/batch={number}")
+        newest = batch.groupBy("scope").agg(F.max("sequence").alias("sequence"))
+        newest.write.mode("overwrite").parquet(f"{target}/positions/batch={number}")
 
     events = spark.readStream.schema(STORED_SCHEMA).parquet(ledger_path).select(*EVENT_SCHEMA.names)
     return (
         events.writeStream.foreachBatch(take_over)
-        .option("checkpointLocation", position)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
