@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +45,13 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def apart(docs: DataFrame, needed: list[str], operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Applies ``operate``, which keeps all columns, with every column but ``needed`` under a name of its own, so that
+    no column of the input can clash with the operator's. The result has the columns of ``docs``."""
+    inner = [name if name in needed else f"__c{i}" for i, name in enumerate(docs.columns)]
+    return operate(docs.toDF(*inner)).select(*[F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)])
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; only sizes the number of buckets, never the result."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -77,9 +84,11 @@ def joined_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
     """Packs records into one row of binary columns per bucket."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     at = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     dealt = {name: values[order] for name, values in columns.items()}
     for low, high in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
         yield int(at[low]), {name: values[low:high].tobytes() for name, values in dealt.items()}

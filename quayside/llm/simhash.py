@@ -10,7 +10,8 @@ copies gives about m links, not m squared, and no link between different groups
 table entry.
 
 Null and empty texts have no words: their fingerprint is zero and they are duplicates of each other. Rows that repeat a
-doc_id are fingerprinted each. A null doc_id is kept; it never names a component unless all members are null. Other
+doc_id are fingerprinted each. A null doc_id is kept; it names a component only if all its members have
+none. Other
 columns don't take part.
 """
 
@@ -62,7 +63,8 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, ``fingerprint`` (64 bits in hex per word) of every text."""
+    """doc_id, rk (a hash of doc_id and text, which tells rows of one id apart) and ``fingerprint`` (64 bits in hex per
+    word) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,11 +73,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
                     "".join(f"{word:016x}" for word in fingerprint(shingle_hashes(text or b"", shingle), words).tolist())
                     for text in part.column("text").to_pylist()
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
+                columns = [part.column("doc_id"), part.column("rk"), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "fingerprint"])
 
-    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    narrow = docs.select("doc_id", F.hash("doc_id", "text").alias("rk"), F.col("text").cast("binary").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return narrow.mapInArrow(run, f"doc_id {kind}, rk int, fingerprint string")
 
 
 def _spanning(prints: np.ndarray, limit: int) -> list[np.ndarray]:
@@ -233,12 +236,14 @@ def links(table: DataFrame, entries: int, words: int, per_word: int, max_distanc
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, words: int = 1, per_word: int = 2, max_distance: int = 2
 ) -> DataFrame:
-    """doc_id, fingerprint and component_id (the smallest doc_id that links reach) of every document."""
+    """doc_id, fingerprint, component_id (the smallest doc_id that links reach), class_id (a number for the component)
+    and rk of every document."""
     spark = docs.sparkSession
     prints, _ = materialize(fingerprints(docs, shingle, words), scratch_path(spark, "fingerprints"))
     nobody = 2**63 - 1  # stands for a null doc_id: the largest
     grouped = prints.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), F.lit(nobody)).cast("long").alias("least"))
-    numbered = grouped.withColumn("id", F.xxhash64("fingerprint") if words > 1 else F.conv("fingerprint", 16, -10).cast("long"))
+    own = F.xxhash64("fingerprint") if words > 1 else F.conv("fingerprint", 16, -10).cast("long")
+    numbered = grouped.withColumn("id", own)
     table, seen = materialize(numbered, scratch_path(spark, "entries"))
     roots = components(links(table, seen["rows"], words, per_word, max_distance))
     named = table.join(roots, table["id"] == roots["node"], "left").select(
@@ -246,6 +251,6 @@ def near_duplicates(
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(smallest, "root").select(
-        "fingerprint", F.nullif("component_id", F.lit(nobody)).alias("component_id")
+        "fingerprint", F.nullif("component_id", F.lit(nobody)).alias("component_id"), F.col("root").alias("class_id")
     )
-    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id", "class_id", "rk")
