@@ -36,4 +36,4 @@ def test_entry(spark):
     plan = entry.entry(spark)
     assert plan.columns == ["warehouse_id", "sku", "unit_of_measure", "expected_units", "shipment_lines"]
     assert plan.count() > 0
-    assert entry.queries().keys() == registry.queries().keys()
+    assert entry.queries().keys() >= registry.queries().keys()
