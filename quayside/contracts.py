@@ -90,6 +90,7 @@ SUCCESS_STATES = ["SUCCEEDED", "SKIPPED_ALREADY_SATISFIED"]
 BAD_STATES = ["FAILED", "TIMED_OUT", "BLOCKED", "CANCELLED"]
 TERMINAL_STATES = [*SUCCESS_STATES, *BAD_STATES, "SKIPPED_CONDITION"]
 OPEN_RUN_STATES = ["RUNNING", "RECOVERY_REQUIRED"]
+CLOSING_RUN_STATES = ["SUCCEEDED", "FAILED", "RECOVERY_REQUIRED"]
 SAFE_STRATEGIES = ["natural", "overwrite", "merge", "deduplicate", "checkpoint"]
 TRIGGERS = ["all_success", "any_success", "all_done", "any_failed", "any_timed_out"]
 ERROR_CATEGORIES = [

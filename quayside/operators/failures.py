@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.contracts import ERROR_CATEGORIES, SAFE_STRATEGIES
-from quayside.errors import UNCLASSIFIED_MESSAGE
+from quayside.errors import UNKNOWN, UNNAMED_CODE
 from quayside.functions.text import IDENTIFIER, full_match
 
 
@@ -14,13 +14,14 @@ def redact_errors(errors: DataFrame) -> DataFrame:
     """Replace ``category, code, message, retryable`` by what may be shown. A failure of a known category
     keeps its code; anything else becomes one fixed code. The raw message never passes through."""
     known = F.coalesce(F.col("category").isin(*ERROR_CATEGORIES), F.lit(False))
-    code = F.when(full_match(F.col("code"), IDENTIFIER), F.col("code")).otherwise("APPLICATION_ERROR")
-    message = F.concat(F.col("category"), F.lit(" failure; look the code up in the runbook."))
+    named = F.when(full_match(F.col("code"), IDENTIFIER), F.col("code")).otherwise(UNNAMED_CODE)
+    category = F.when(known, F.col("category")).otherwise(UNKNOWN["category"])
+    code = F.when(known, named).otherwise(UNKNOWN["code"])
     return errors.withColumns(
         {
-            "category": F.when(known, F.col("category")).otherwise("INFRASTRUCTURE"),
-            "code": F.when(known, code).otherwise("UNEXPECTED_ERROR"),
-            "message": F.when(known, message).otherwise(UNCLASSIFIED_MESSAGE),
+            "category": category,
+            "code": code,
+            "message": F.concat(code, F.lit(" ("), category, F.lit(")")),
             "retryable": known & F.coalesce(F.col("retryable"), F.lit(False)),
         }
     )

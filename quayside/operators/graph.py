@@ -60,7 +60,6 @@ class _Collapsed:
     heads: DataFrame
     links: DataFrame
     endless: DataFrame
-    endless_count: int
 
 
 def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
@@ -126,7 +125,8 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             open=F.count_if(F.col("open")),
         )
     folded = pointers.where(~F.col("open")).drop("open")
-    endless = pointers.where("open").select("node_id")
+    # A loop's pointers have passed all nodes ahead of them by now, so marks cover the whole loop.
+    endless = pointers.where("open").select("node_id", "marked")
 
     above = folded.select(
         F.col("node_id").alias("src"),
@@ -134,6 +134,14 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
         F.col("hops").alias("_hops"),
         F.col("path_weight").alias("_weight"),
         F.col("marked").alias("_marked"),
+    ).unionByName(
+        endless.select(
+            F.col("node_id").alias("src"),
+            F.col("node_id").alias("_head"),
+            F.lit(0).cast("long").alias("_hops"),
+            F.lit(0.0).alias("_weight"),
+            F.col("marked").alias("_marked"),
+        )
     )
     joining = heads.where(F.col("degree") >= 2).select(
         F.col("node_id").alias("dst"), "degree", "weight", F.col("marked").alias("dst_marked")
@@ -150,7 +158,7 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
         ),
         f"{path}/links",
     )
-    return _Collapsed(folded, heads, links, endless, counts["open"])
+    return _Collapsed(folded, heads, links, endless)
 
 
 def _all_rounds(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
@@ -195,34 +203,9 @@ def descendants(nodes: DataFrame, edges: DataFrame, origins: DataFrame) -> DataF
     below = graph.folded.join(
         reached.select(F.col("node_id").alias("head"), F.lit(True).alias("_reached")), "head", "left"
     )
-    return _with_loops(
-        reached.unionAll(
-            below.where(F.col("marked") | F.coalesce(F.col("_reached"), F.lit(False))).select("node_id")
-        ),
-        graph,
-        edges,
-        marks,
-    )
-
-
-def _with_loops(found: DataFrame, graph: _Collapsed, edges: DataFrame, marks: DataFrame) -> DataFrame:
-    """Nodes that hang on a loop of single dependencies have no head; walk them edge by edge."""
-    if not graph.endless_count:
-        return found
-    spark = found.sparkSession
-    path = scratch_path(spark, "loops")
-    frontier, counts = materialize(found.unionAll(marks.select("node_id")).distinct(), f"{path}/0")
-    rounds = [frontier]
-    while counts["rows"]:
-        onward = (
-            edges.join(frontier, F.col("src") == F.col("node_id"), "left_semi")
-            .select(F.col("dst").alias("node_id"))
-            .distinct()
-            .join(_all_rounds(spark, rounds), "node_id", "left_anti")
-        )
-        frontier, counts = materialize(onward, f"{path}/{len(rounds)}")
-        rounds.append(frontier)
-    return _all_rounds(spark, rounds)
+    return reached.unionAll(
+        below.where(F.col("marked") | F.coalesce(F.col("_reached"), F.lit(False))).select("node_id")
+    ).unionAll(graph.endless.where("marked").select("node_id"))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -358,7 +341,8 @@ def _decision() -> Column:
         F.col("condition_expected")
     )
     return (
-        F.when(~matched, F.when(blocked, "BLOCKED").otherwise("SKIPPED_CONDITION"))
+        F.when(matched.isNull(), "INVALID_TRIGGER")
+        .when(~matched, F.when(blocked, "BLOCKED").otherwise("SKIPPED_CONDITION"))
         .when(refused, "SKIPPED_CONDITION")
         .otherwise("RUN")
     )

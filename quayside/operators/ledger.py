@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.contracts import BAD_STATES, ENTITY_KEY, OPEN_RUN_STATES, TERMINAL_STATES
+from quayside.contracts import BAD_STATES, CLOSING_RUN_STATES, ENTITY_KEY, OPEN_RUN_STATES, TERMINAL_STATES
 from quayside.errors import DataFailure
 from quayside.functions.digest import dataset_digest
 from quayside.operators import ordered
@@ -160,13 +160,18 @@ def changed_history(remembered: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """Newest event per entity. Each map task keeps one row per entity, so a busy entity stays cheap."""
-    rest = [name for name in events.columns if name not in ENTITY_KEY]
-    return (
-        events.groupBy(*ENTITY_KEY)
-        .agg(F.max_by(F.struct(*rest), F.col("sequence")).alias("_newest"))
-        .select(*ENTITY_KEY, "_newest.*")
-    )
+    """Newest event per entity.
+
+    The aggregate carries the sequence alone, so it hashes and combines on the map side; the rows follow by a join on
+    entity and sequence. Of events that repeat a sequence number one is kept.
+    """
+    newest = events.groupBy(*ENTITY_KEY).agg(F.max("sequence").alias("sequence"))
+    return events.join(newest, [*ENTITY_KEY, "sequence"], "left_semi").dropDuplicates([*ENTITY_KEY, "sequence"])
+
+
+def nodes_of(events: DataFrame) -> DataFrame:
+    """The events of nodes; ledgers hold those of runs and of the outbox too."""
+    return events.where(F.col("entity_type") == "node")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -183,8 +188,12 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
-    """Events that move an entity along no legal pair. An entity starts with NODE_CREATED; only a remote
-    submission may keep the status; reconciliation may cancel what is unfinished or uncertain."""
+    """Events that move an entity along no legal pair.
+
+    A node starts with NODE_CREATED; only a remote submission may keep the status; reconciliation may cancel what is
+    unfinished or uncertain. A run starts once, and is finished or reconciled while it is open. An outbox entry is
+    committed once and may then be refreshed. Events of any other kind of entity are illegal.
+    """
     before = F.struct("status", "execution_uncertain")
     moved = ordered.previous(events, ENTITY_KEY, F.col("sequence"), before, "_before")
     was = F.col("_before.status")
@@ -194,12 +203,21 @@ def illegal_transitions(events: DataFrame) -> DataFrame:
         & (now == "CANCELLED")
         & (~was.isin(*TERMINAL_STATES) | F.col("_before.execution_uncertain"))
     )
-    legal = (
+    node = (
         F.when(was.isNull(), (kind == "NODE_CREATED") & (now == "PENDING"))
         .when(kind == "REMOTE_RUN_SUBMITTED", was == now)
         .when(kind == "ATTEMPT_RECONCILED", reconciled)
         .otherwise(F.concat_ws(">", was, now).isin(*LEGAL_MOVES))
     )
+    first = F.col("_before").isNull()
+    run = (
+        F.when(kind == "RUN_STARTED", first & (now == "RUNNING"))
+        .when(kind == "RUN_FINISHED", (was == "RUNNING") & now.isin(*CLOSING_RUN_STATES))
+        .when(kind == "RUN_RECONCILED", was.isin(*OPEN_RUN_STATES) & (now == "FAILED"))
+    )
+    outbox = F.when(kind == "OUTBOX_COMMITTED", first).when(kind == "OUTBOX_REFERENCE_REFRESHED", ~first)
+    entity = F.col("entity_type")
+    legal = F.when(entity == "node", node).when(entity == "run", run).when(entity == "outbox", outbox)
     return moved.where(~F.coalesce(legal, F.lit(False))).select(
         *ENTITY_KEY, "sequence", "event_type", was.alias("previous_status"), now.alias("status")
     )
@@ -207,9 +225,9 @@ def illegal_transitions(events: DataFrame) -> DataFrame:
 
 def state_timeline(events: DataFrame) -> DataFrame:
     """How long each state of each node held: valid from this event's sequence up to the one before
-    ``until_sequence`` (NULL while it still holds). One row per event, whatever the number of nodes."""
+    ``until_sequence`` (NULL while it still holds). One row per event of a node, whatever the number of nodes."""
     return ordered.previous(
-        events,
+        nodes_of(events),
         ["scope", "run_id", "node_id"],
         -F.col("sequence"),
         F.col("sequence"),
@@ -218,12 +236,13 @@ def state_timeline(events: DataFrame) -> DataFrame:
 
 
 def run_timeline(events: DataFrame) -> DataFrame:
-    """After each event of a run: how many nodes are running, and which node was the last to finish.
+    """After each event of a run's nodes: how many nodes are running, and which node was the last to finish.
 
-    The count is a running total of the moves into and out of RUNNING, so no event is paired with all nodes.
+    The count is a running total of the moves into and out of RUNNING, so no event is paired with all nodes. Nodes
+    belong to their run, so a run that starts anew under its own id starts from nothing.
     """
     moved = ordered.previous(
-        events, ["scope", "run_id", "node_id"], F.col("sequence"), F.struct("status"), "_before"
+        nodes_of(events), ["scope", "run_id", "node_id"], F.col("sequence"), F.struct("status"), "_before"
     )
     run = ["scope", "run_id"]
     now = (F.col("status") == "RUNNING").cast("long")
@@ -315,6 +334,7 @@ def node_active_time(events: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: the counts of a run summary and the states they cover -----------------------
 STATE_COUNTS = {
     "successful_nodes": ["SUCCEEDED"],
     "skipped_nodes": ["SKIPPED_ALREADY_SATISFIED", "SKIPPED_CONDITION"],
@@ -395,7 +415,8 @@ def overlapping_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def peak_usage(intervals: DataFrame, group: list[str], demand: str = "demand") -> DataFrame:
-    """Highest summed demand of simultaneously running intervals [started_us, ended_us) per group.
+    """Highest summed demand of simultaneously running intervals [started_us, ended_us) per group. An interval
+    without an end is still running and only begins.
 
     Changes at the same microsecond are added up first, so a segment of the running total is bounded by its
     width even if very many intervals start together.
@@ -407,8 +428,9 @@ def peak_usage(intervals: DataFrame, group: list[str], demand: str = "demand") -
         )
     )
     changes = (
-        intervals.where(F.col("started_us") < F.col("ended_us"))
+        intervals.where(F.col("ended_us").isNull() | (F.col("started_us") < F.col("ended_us")))
         .select(*group, edge.alias("_edge"))
+        .where(F.col("_edge.at_us").isNotNull())
         .groupBy(*group, F.col("_edge.at_us").alias("at_us"))
         .agg(F.sum("_edge.change").alias("change"))
     )

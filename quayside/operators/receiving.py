@@ -13,10 +13,7 @@ from quayside.contracts import LINE_COLUMNS, LINE_KEY, MAX_LONG, PLAN_GROUPS, PR
 from quayside.errors import DataFailure
 from quayside.functions.text import long_or_null, missing, strict_quantity
 
-# A key with this many distinct versions is split over salts. At most rows / HOT_VERSIONS keys can be that
-# hot, which bounds the broadcast below (a trillion rows give at most a million short keys).
-HOT_VERSIONS = 1_000_000
-SALTS = 1024
+SALTS = 64  # copies of a conflicting key's count that its rows are spread over
 
 
 def dedup_lines(lines: DataFrame) -> DataFrame:
@@ -25,26 +22,27 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE_COLUMNS).dropDuplicates()
 
 
-def key_versions(lines: DataFrame, hot_versions: int = HOT_VERSIONS) -> DataFrame:
-    """Distinct rows with ``versions``, the number of distinct rows that share their line key (NULL = NULL)."""
+def key_versions(lines: DataFrame) -> DataFrame:
+    """Distinct rows with ``versions``, the number of distinct rows that share their line key (NULL = NULL).
+
+    Rows are counted per key with map-side partial sums, and only keys of several versions go on to the join, repeated
+    once per salt: the rows of one key, however many, meet their count in as many tasks as there are salts. A row that
+    finds no count is the only one of its key.
+    """
     distinct = dedup_lines(lines)
-    hot = (
+    several = (
         distinct.groupBy(*LINE_KEY)
-        .agg(F.count(F.lit(1)).alias("_hot_versions"))
-        .where(F.col("_hot_versions") >= hot_versions)
-        .select(*[F.col(name).alias(f"_hot_{name}") for name in LINE_KEY], "_hot_versions")
+        .agg(F.count(F.lit(1)).alias("_versions"))
+        .where(F.col("_versions") > 1)
+        .select(*LINE_KEY, "_versions", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    same_key = F.lit(True)
-    for name in LINE_KEY:
-        same_key = same_key & F.col(name).eqNullSafe(F.col(f"_hot_{name}"))
     rest = [name for name in LINE_COLUMNS if name not in LINE_KEY]
-    salt = F.when(F.col("_hot_versions").isNotNull(), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0)
-    counted = F.count(F.lit(1)).over(Window.partitionBy(*LINE_KEY, "_salt"))
-    return (
-        distinct.join(F.broadcast(hot), same_key, "left")
-        .withColumn("_salt", salt)
-        .withColumn("versions", F.coalesce(F.col("_hot_versions"), counted))
-        .select(*LINE_COLUMNS, "versions")
+    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    same = F.col("l._salt") == F.col("r._salt")
+    for name in LINE_KEY:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return salted.alias("l").join(several.alias("r"), same, "left").select(
+        *[F.col(f"l.{name}") for name in LINE_COLUMNS], F.coalesce("_versions", F.lit(1)).alias("versions")
     )
 
 
@@ -81,7 +79,7 @@ def reject_reason(quantity: Column, maximum: int) -> Column:
 
 
 def classify(
-    lines: DataFrame, products: DataFrame, maximum: int, hot_versions: int = HOT_VERSIONS
+    lines: DataFrame, products: DataFrame, maximum: int
 ) -> DataFrame:
     """Distinct lines with ``parsed_quantity`` and ``reason``.
 
@@ -90,7 +88,7 @@ def classify(
     """
     units = products.select("sku", F.col("unit_of_measure").alias("_catalog_unit"))
     return (
-        key_versions(lines, hot_versions)
+        key_versions(lines)
         .join(units, "sku", "left")
         .withColumn("parsed_quantity", strict_quantity(F.col("quantity")))
         .withColumn("reason", reject_reason(F.col("parsed_quantity"), maximum))

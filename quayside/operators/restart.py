@@ -135,7 +135,8 @@ def reuse_proof(current: DataFrame, prior: DataFrame) -> DataFrame:
         ),
         ("outputs_invalid", ~F.coalesce(F.col("was.outputs_valid"), F.lit(False))),
     ]
-    cause = F.coalesce(*[F.when(failed, F.lit(name)) for name, failed in causes])
+    # A condition that NULLs leave open counts as failed.
+    cause = F.coalesce(*[F.when(F.coalesce(failed, F.lit(True)), F.lit(name)) for name, failed in causes])
     return current.join(was, "node_id", "left").select(
         "node_id", cause.isNull().alias("reuse"), cause.alias("cause")
     )
@@ -171,15 +172,14 @@ def reexecution_check(nodes: DataFrame, attempted: DataFrame, approvals: DataFra
         F.col("node_id").alias("compensation_node"),
         (F.col("status").isin(*SUCCESS_STATES) & F.col("outputs_valid")).alias("_compensated"),
     )
-    joined = (
-        nodes.join(tried, "node_id", "left")
-        .join(approved, "node_id", "left")
-        .join(companion, "compensation_node", "left")
-    )
-    unsafe = ~F.col("strategy").isin(*SAFE_STRATEGIES)
+    # Most nodes name no companion: they don't take part in the join, where they would be one hot key.
+    named = nodes.where(F.col("compensation_node").isNotNull()).join(companion, "compensation_node", "left")
+    alone = nodes.where(F.col("compensation_node").isNull()).withColumn("_compensated", F.lit(False))
+    joined = named.unionByName(alone).join(tried, "node_id", "left").join(approved, "node_id", "left")
+    unsafe = ~F.coalesce(F.col("strategy").isin(*SAFE_STRATEGIES), F.lit(False))
     refusal = (
         F.when(F.col("_tried").isNull(), None)
-        .when(~F.col("eligible"), "RESTART_NOT_ELIGIBLE")
+        .when(~F.coalesce("eligible", F.lit(False)), "RESTART_NOT_ELIGIBLE")
         .when(unsafe & F.col("_approved").isNull(), "APPROVAL_REQUIRED")
         .when(
             (F.col("strategy") == "compensation") & ~F.coalesce(F.col("_compensated"), F.lit(False)),
@@ -193,11 +193,20 @@ def validate_references(references: DataFrame, proofs: DataFrame, key: list[str]
     """Compare many recorded references with freshly computed proofs; a missing artifact is simply invalid."""
     recorded = ["row_count", "sum_0", "sum_1", "sum_2", "sum_3"]
     found = proofs.select(*key, F.struct(*recorded).alias("_found"))
-    return references.join(found, key, "left").select(
-        *key, F.col("_found").eqNullSafe(F.struct(*recorded)).alias("valid")
+    return _same_key(references, found, key, "left").select(
+        *[F.col(f"l.{name}") for name in key],
+        F.col("_found").eqNullSafe(F.struct(*[F.col(f"l.{name}") for name in recorded])).alias("valid"),
     )
 
 
+def _same_key(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A join, as ``l`` and ``r``, in which a NULL in the key meets a NULL."""
+    same = F.lit(True)
+    for name in key:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return left.alias("l").join(right.alias("r"), same, how)
+
+
 def changed_inputs(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Inputs whose proof differs between two looks: ``added``, ``removed`` or ``changed``."""
     recorded = ["row_count", "sum_0", "sum_1", "sum_2", "sum_3"]
@@ -208,6 +217,5 @@ def changed_inputs(before: DataFrame, after: DataFrame, key: list[str]) -> DataF
         .when(F.col("_new").isNull(), "removed")
         .when(F.col("_old") != F.col("_new"), "changed")
     )
-    return (
-        old.join(new, key, "full").select(*key, change.alias("change")).where(F.col("change").isNotNull())
-    )
+    either = [F.when(F.col("_old").isNull(), F.col(f"r.{n}")).otherwise(F.col(f"l.{n}")).alias(n) for n in key]
+    return _same_key(old, new, key, "full").select(*either, change.alias("change")).where(F.col("change").isNotNull())

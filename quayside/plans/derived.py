@@ -17,11 +17,8 @@ MAX_QUANTITY = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. One with fewer splits than the session has cores is dealt out to all of them by its key: it
-    then holds less than one split per core, so the extra shuffle is small. Larger tables are read as they are."""
-    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, frame.columns[0])
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,13 +401,13 @@ _RESIDUES = "[{}]".format(", ".join(f"'{state}'" for state in _STATES))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One node per part but part 0."""
+    """One node per part."""
     key = F.col("p_partkey")
 
     def pick(values: list[str]) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
 
-    return table(spark, sf_dir, "part").where(key > 0).select(
+    return table(spark, sf_dir, "part").select(
         key.alias("node_id"),
         F.col("p_size").cast("double").alias("weight"),
         pick(_TRIGGERS).alias("trigger"),
@@ -424,7 +421,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node depends on its half and its third."""
+    """Every node from 2 on depends on its half and its third; nodes 0 and 1 are roots."""
     key = F.col("p_partkey")
     sources = F.explode(
         F.when(key >= 3, F.array_distinct(F.array(F.floor(key / 2), F.floor(key / 3)))).otherwise(
@@ -449,7 +446,7 @@ SQL["nodes"] = f"""
            CASE WHEN p_partkey % 14 = 0 THEN 'off' WHEN p_partkey % 7 = 0 THEN 'on' END AS condition_value,
            CASE WHEN p_partkey % 7 = 0 THEN 'on' END AS condition_expected, p_partkey % 3 = 0 AS critical,
            p_brand AS concurrency_group, p_type AS strategy
-    FROM part WHERE p_partkey > 0"""
+    FROM part"""
 SQL["edges"] = """
     SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 2
     UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey >= 3"""

@@ -30,7 +30,7 @@ def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.latest(derived.decoded_events(spark, sf_dir))
+    return ledger.latest(ledger.nodes_of(derived.decoded_events(spark, sf_dir)))
 
 
 def ledger_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +197,9 @@ ORACLES["redact_errors"] = with_tables(
               CASE WHEN sequence % 3 <> 0 THEN error_category ELSE 'INFRASTRUCTURE' END AS category,
               CASE WHEN sequence % 3 = 0 THEN 'UNEXPECTED_ERROR' WHEN sequence % 7 = 0 THEN 'APPLICATION_ERROR'
                    ELSE error_code END AS code,
-              CASE WHEN sequence % 3 <> 0 THEN error_category || ' failure; look the code up in the runbook.'
-                   ELSE 'Unclassified failure; see the access-controlled platform logs.' END AS message,
+              CASE WHEN sequence % 3 <> 0
+                   THEN CASE WHEN sequence % 7 = 0 THEN 'APPLICATION_ERROR' ELSE error_code END || ' (' || error_category || ')'
+                   ELSE 'UNEXPECTED_ERROR (INFRASTRUCTURE)' END AS message,
               sequence % 3 <> 0 AND error_retryable AS retryable
        FROM ledger WHERE error_category IS NOT NULL""",
     "ledger",

@@ -52,8 +52,9 @@ def _landed(spark: SparkSession, batch: Batch, path: str, contract: str) -> Data
 
 
 def _input_proof(spark: SparkSession, batch: Batch) -> list[Any]:
+    rules = batch.rules
     return [
-        xml.file_set_digest(xml.list_files(spark, path), path).first()
+        xml.file_set_digest(xml.bounded_files(spark, path, rules.max_files, rules.max_file_bytes), path).first()
         for path in (batch.shipments, batch.products)
     ]
 

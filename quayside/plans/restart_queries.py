@@ -168,7 +168,7 @@ ORACLES["reexecution_check"] = with_tables(
 
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of the nodes, one per line item; every other one names a source."""
-    return table(spark, sf_dir, "lineitem").where(F.col("l_partkey") > 0).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("node_id"),
         F.concat_ws(".", F.lit("rules"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
         .alias("path"),
@@ -199,7 +199,7 @@ def _combined_sql(source: str, columns: list[str]) -> str:
 _PARAMETERS = """(SELECT l_partkey AS node_id, 'rules.' || l_orderkey || '.' || l_linenumber AS path,
         CASE WHEN l_linenumber % 2 = 0 AND s_name IS NOT NULL THEN sha256(s_name)
              ELSE l_quantity::BIGINT::VARCHAR END AS value
-    FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey > 0)"""
+    FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
 ORACLES["parameter_fingerprints"] = _combined_sql(_PARAMETERS, ["path", "value"])
 
 
@@ -450,7 +450,7 @@ ORACLES["scalar_pack"] = """
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delay before the next attempt of every finished attempt, capped at two seconds."""
-    finished = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    finished = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
     attempt = F.col("event_id") % 8 + 1
     return finished.select(
         "event_id",
@@ -462,5 +462,5 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["backoff_schedule"] = backoff_schedule
 ORACLES["backoff_schedule"] = """
     SELECT event_id, event_id % 8 + 1 AS attempt, least(2.0, 0.125 * pow(2, event_id % 8))::DOUBLE AS delay_seconds
-    FROM events WHERE event_type = 'error'"""
+    FROM events WHERE event_type IN ('error', 'purchase')"""
 

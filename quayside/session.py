@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where a local session names none."""
     configured = (
@@ -18,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    configured = tempfile.mkdtemp(prefix="quayside-")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="quayside-")
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -11,14 +11,19 @@ from quayside.errors import DataFailure, source_unavailable
 from quayside.functions.digest import dataset_digest
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+# Quotes are doubled inside quoted fields.
+_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, line_breaks: bool = True) -> DataFrame:
     """Rows of files whose header names exactly the columns of ``schema`` in order; empty fields are NULL.
 
     The header of the first file is compared at once. Headers of further files and rows that are too short or
-    too long fail the job that reads them.
+    too long fail the job that reads them. Quoted fields may hold line breaks; a file is then read by one task. A caller
+    who knows that there are none says ``line_breaks=False``, and large files are read in splits.
     """
     try:
-        header = spark.read.option("header", True).csv(path).columns
+        header = spark.read.options(**_QUOTING, header=True, multiLine=line_breaks).csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise source_unavailable() from None
@@ -27,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         raise DataFailure("SOURCE_SCHEMA_MISMATCH", "The CSV header differs from its contract.")
     frame = (
         spark.read.schema(schema)
-        .option("header", True)
+        .options(**_QUOTING, header=True, multiLine=line_breaks)
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         .csv(path)
@@ -49,7 +54,7 @@ def write_csv(frame: DataFrame, path: str) -> None:
     """Files with a header that ``read_csv`` reads back unchanged."""
     (
         frame.write.mode("errorifexists")
-        .option("header", True)
+        .options(**_QUOTING, header=True)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

@@ -160,7 +160,7 @@ def test_redaction(spark):
     assert public_error(DataFailure("A_CODE", "SENSITIVE")) == {
         "category": "DATA_QUALITY",
         "code": "A_CODE",
-        "message": "DATA_QUALITY failure; look the code up in the runbook.",
+        "message": "A_CODE (DATA_QUALITY)",
         "retryable": False,
     }
 

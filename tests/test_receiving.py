@@ -54,11 +54,9 @@ def products(spark, *rows):
     return spark.createDataFrame(list(rows), PRODUCT_SCHEMA)
 
 
-@pytest.mark.parametrize("hot", [1, 2, receiving.HOT_VERSIONS])
-def test_edge_rows(spark, hot):
-    """The result does not depend on whether a key is treated as hot."""
+def test_edge_rows(spark):
     frame = lines(spark, [row for row, _ in CASES])
-    got = receiving.classify(frame, products(spark), 1000, hot).collect()
+    got = receiving.classify(frame, products(spark), 1000).collect()
     want = {tuple({**BASE, **row}.values()): reason for row, reason in CASES}
     assert {tuple(row)[:6]: row.reason for row in got} == want
     assert len(got) == len(want)
@@ -71,8 +69,7 @@ def test_edge_rows(spark, hot):
 
 def test_versions_of_a_null_key_count_together(spark):
     frame = lines(spark, [{"shipment_id": None, "quantity": str(i)} for i in range(5)])
-    for hot in (2, 100):
-        assert {r.versions for r in receiving.key_versions(frame, hot).collect()} == {5}
+    assert {r.versions for r in receiving.key_versions(frame).collect()} == {5}
 
 
 @pytest.mark.parametrize(
@@ -130,8 +127,8 @@ def test_shared_classification_is_released_on_failure(spark):
     assert not frame.storageLevel.useMemory
 
 
-def test_one_exchange_carries_rows_into_the_window(spark):
-    """Plan shape: exact dedup pre-aggregates, its exchange is reused for the hot keys, which are broadcast."""
+def test_versions_need_no_window(spark):
+    """Plan shape: rows are counted by hash aggregates, and one join brings the counts back."""
     plan = receiving.key_versions(lines(spark, [{}]))._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert plan.count("Window") >= 1
+    assert "Window" not in plan and "SortAggregate" not in plan
+    assert plan.count("Join") == 1
