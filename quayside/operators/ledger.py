@@ -245,8 +245,8 @@ def run_timeline(events: DataFrame) -> DataFrame:
         nodes_of(events), ["scope", "run_id", "node_id"], F.col("sequence"), F.struct("status"), "_before"
     )
     run = ["scope", "run_id"]
-    now = (F.col("status") == "RUNNING").cast("long")
-    before = F.coalesce((F.col("_before.status") == "RUNNING").cast("long"), F.lit(0).cast("long"))
+    now = F.col("status").eqNullSafe("RUNNING").cast("long")
+    before = F.col("_before.status").eqNullSafe("RUNNING").cast("long")
     running = ordered.running_sum(moved, run, F.col("sequence"), now - before, "running_nodes")
     finished = F.when(F.col("status").isin(*TERMINAL_STATES), F.col("node_id"))
     return ordered.last_known(running, run, F.col("sequence"), finished, "last_finished").select(

@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import graph_queries, ledger_queries, receiving_queries, restart_queries, source_queries
-
-MODULES = [receiving_queries, ledger_queries, graph_queries, restart_queries, source_queries]
+from quayside.plans import (
+    graph_queries,
+    ledger_queries,
+    mixed_queries,
+    receiving_queries,
+    restart_queries,
+    source_queries,
+)
+
+MODULES = [receiving_queries, ledger_queries, mixed_queries, graph_queries, restart_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
