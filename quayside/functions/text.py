@@ -14,6 +14,8 @@ WHITE_SPACE = (
 UNSIGNED_18_DIGITS = r"\A[0-9]{1,18}\z"
 ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 OPERATION_ID = r"\A[a-z][a-z0-9_]{0,63}\z"
+# One part of a path: no separators, and neither the folder itself nor the one above.
+PATH_PART = r"\A(?!\.{1,2}\z)[^/\\]+\z"
 IDENTIFIER = r"\A[A-Za-z_][A-Za-z0-9_]*\z"
 XML_FILE = r"(?i)\.xml\z"
 
@@ -42,10 +44,7 @@ def iso_date(column: Column) -> Column:
 
 def safe_segment(column: Column) -> Column:
     """True where a value may be one part of a path."""
-    return F.coalesce(
-        (column != "") & ~column.isin(".", "..") & ~column.contains("/") & ~column.contains("\\"),
-        F.lit(False),
-    )
+    return full_match(column, PATH_PART)
 
 
 def long_or_null(total: Column, limit: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from typing import Any
 
@@ -19,6 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quayside.errors import DataFailure
 from quayside.functions.digest import dataset_digest, proof_fingerprint
+from quayside.functions.text import PATH_PART
 
 REFERENCE_SCHEMA = StructType(
     [
@@ -35,6 +37,7 @@ REFERENCE_SCHEMA = StructType(
         StructField("schema", StringType()),
     ]
 )
+_PLAIN = re.compile(PATH_PART.replace(r"\z", r"\Z"))
 _IDENTITY = ["path", "version", "table_id", "digest", "row_count", "schema"]
 _MANIFEST_SCHEMA = StructType([f for f in REFERENCE_SCHEMA if f.name in _IDENTITY and f.name != "path"])
 
@@ -59,11 +62,13 @@ def content_proof(frame: DataFrame) -> dict[str, Any]:
 
 
 def artifact_path(base: str, scope: str, run_id: str, node_id: str, attempt: int, name: str) -> str:
-    """Folder of one output of one attempt; parts that could leave the base folder are refused."""
-    parts = [scope, run_id, node_id, str(attempt), name]
-    if any(not part or "/" in part or "\\" in part or part in (".", "..") for part in parts):
-        raise DataFailure("INVALID_ARTIFACT_PATH", "Identifiers must be plain path parts.", "CONFIGURATION")
-    return "/".join([base.rstrip("/"), *parts])
+    """Folder of one output of one attempt, below ``base``."""
+    path = base.rstrip("/")
+    for part in (scope, run_id, node_id, str(attempt), name):
+        if not _PLAIN.fullmatch(part):
+            raise DataFailure("INVALID_ARTIFACT_PATH", "A name does not fit into a path.", "CONFIGURATION")
+        path += f"/{part}"
+    return path
 
 
 def write_version(frame: DataFrame, path: str, version: int = 0) -> dict[str, Any]:
@@ -130,44 +135,28 @@ def _fingerprint(value: Any) -> str:
 
 
 class Proofs:
-    """Proofs completed within one attempt. Explicit validation always checks again."""
+    """Reference rows that this attempt has seen to be good. Asking without ``use_cached`` always looks again."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._proven: set[str] = set()
+        self._good: set[tuple] = set()
 
     def clear(self) -> None:
-        self._proven.clear()
+        self._good = set()
 
     def remember(self, reference: dict[str, Any]) -> None:
-        self._proven.add(_fingerprint({name: reference[name] for name in _IDENTITY}))
+        self._good.add(_row(reference))
 
     def validate(self, reference: dict[str, Any], use_cached: bool = False) -> bool:
-        """Do identity, schema, row count and content still match? Missing data is invalid, not an error."""
-        if not set(_IDENTITY) <= reference.keys():
+        """Does what is stored now give the same reference row? Missing data gives none."""
+        row = _row(reference)
+        if None in row:
             return False
-        key = _fingerprint({name: reference[name] for name in _IDENTITY})
-        if use_cached and key in self._proven:
-            return True
-        self._proven.discard(key)
-        valid = self._matches(reference)
-        if valid:
-            self._proven.add(key)
-        return valid
-
-    def _matches(self, reference: dict[str, Any]) -> bool:
-        path, version = reference["path"], reference["version"]
-        manifest = read_manifest(self.spark, path, version)
-        if manifest is None or manifest["table_id"] != reference["table_id"]:
-            return False
-        try:
-            self.spark.catalog.refreshByPath(_data(path, version))
-            found = content_proof(self.spark.read.parquet(_data(path, version)))
-        except AnalysisException as error:
-            if _absent(error):
-                return False
-            raise
-        return all(found[name] == reference[name] for name in ("digest", "row_count", "schema"))
+        if not use_cached:
+            self._good.discard(row)
+        if row not in self._good and stored_row(self.spark, reference) == row:
+            self._good.add(row)
+        return row in self._good
 
     def read(self, reference: dict[str, Any]) -> DataFrame:
         """The dataset behind a valid reference."""
@@ -178,6 +167,26 @@ class Proofs:
         return self.spark.read.parquet(_data(reference["path"], reference["version"]))
 
 
+def _row(reference: dict[str, Any]) -> tuple:
+    return tuple(reference.get(name) for name in _IDENTITY)
+
+
+def stored_row(spark: SparkSession, reference: dict[str, Any]) -> tuple | None:
+    """The reference row of a version as its manifest and data give it now, None where either is missing."""
+    path, version = reference["path"], reference["version"]
+    manifest = read_manifest(spark, path, version)
+    if manifest is None:
+        return None
+    try:
+        spark.catalog.refreshByPath(_data(path, version))
+        proof = content_proof(spark.read.parquet(_data(path, version)))
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        return None
+    return _row({"path": path, "version": version, "table_id": manifest["table_id"], **proof})
+
+
 def publish(
     proofs: Proofs,
     references_path: str,
