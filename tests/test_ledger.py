@@ -199,3 +199,28 @@ def test_late_success_loses_its_outputs(spark):
     late, good = ledger.late_success(frame).collect()
     assert (late.status, late.outputs, late.error_code, late.retryable) == ("TIMED_OUT", None, "DEADLINE_EXCEEDED", True)
     assert (good.status, good.outputs, good.error_code, good.retryable) == ("SUCCEEDED", "out", None, False)
+
+
+def test_open_intervals_count_as_running(spark):
+    rows = [("g", 10, 20, 1), ("g", 15, None, 1), ("g", 30, 40, 1), ("g", 35, 35, 5), ("g", None, 50, 7)]
+    frame = spark.createDataFrame(rows, "g string, started_us long, ended_us long, demand long")
+    row = ledger.peak_usage(frame.where("started_us is not null"), ["g"]).first()
+    assert (row.peak, row.first_peak_us) == (2, 15)
+
+
+def test_runs_and_outbox_entries_have_rules_of_their_own(spark):
+    columns = "scope string, entity_type string, entity_id string, sequence long, event_type string, status string, execution_uncertain boolean"
+    rows = [
+        ("S", "run", "R", 1, "RUN_STARTED", "RUNNING", False),
+        ("S", "node", "N", 2, "NODE_CREATED", "PENDING", False),
+        ("S", "outbox", "O", 3, "OUTBOX_COMMITTED", "PENDING_DISPATCH", False),
+        ("S", "outbox", "O", 4, "OUTBOX_REFERENCE_REFRESHED", "PENDING_DISPATCH", False),
+        ("S", "run", "R", 5, "RUN_FINISHED", "RECOVERY_REQUIRED", False),
+        ("S", "run", "R", 6, "RUN_RECONCILED", "FAILED", False),
+        ("S", "run", "R", 7, "RUN_STARTED", "RUNNING", False),
+        ("S", "outbox", "P", 8, "OUTBOX_REFERENCE_REFRESHED", "PENDING_DISPATCH", False),
+        ("S", "lease", "L", 9, "TAKEN", "HELD", False),
+        ("S", "node", "N", 10, "NODE_READY", None, False),
+    ]
+    found = ledger.illegal_transitions(spark.createDataFrame(rows, columns)).collect()
+    assert sorted(r.sequence for r in found) == [7, 8, 9, 10]

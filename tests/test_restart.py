@@ -155,3 +155,35 @@ def test_credential_shapes(spark):
     frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(TEXTS)], "id long, text string")
     found = {r.id: (r.secret_names, r.account_key_settings, r.credential_uris) for r in credentials.credential_scan(frame, "id", "text", "t").collect()}
     assert {i: found.get(i, (0, 0, 0)) for i in range(len(TEXTS))} == {i: want for i, (_, want) in enumerate(TEXTS)}
+
+
+def test_null_conditions_refuse_reuse(spark):
+    current = spark.createDataFrame(
+        [(i, *values) for i, values in enumerate([(False, True), (None, True), (False, None)])],
+        "node_id int, invalidated boolean, eligible boolean",
+    ).selectExpr(
+        "*", "'k' business_run_key", "'d' dag_id", "'1' dag_version", "array('1') compatible_versions",
+        "'c' code_version", "'f' code_fingerprint", "'i' input_fingerprint", "'reuse_valid' policy",
+        "'merge' strategy", "'cp' checkpoint_name",
+    )
+    prior = current.selectExpr(
+        "node_id", "business_run_key", "dag_id", "dag_version", "code_version", "code_fingerprint", "input_fingerprint",
+        "'SUCCEEDED' status", "false execution_uncertain", "'o' outputs_fingerprint", "true outputs_valid",
+        "named_struct('name', 'cp', 'input_fingerprint', 'i', 'outputs_fingerprint', 'o') checkpoint",
+    )
+    found = {r.node_id: r.cause for r in restart.reuse_proof(current, prior).collect()}
+    assert found == {0: None, 1: "invalidated", 2: "not_eligible"}
+    for column in ("policy", "strategy"):
+        lost = current.withColumn(column, F.lit(None).cast("string"))
+        assert not any(r.reuse for r in restart.reuse_proof(lost, prior).collect())
+
+
+def test_null_keys_meet(spark):
+    proofs = spark.createDataFrame(
+        [(None, 1, "a", "b", "c", "d"), ("x", 2, "a", "b", "c", "d")],
+        "k string, row_count long, sum_0 string, sum_1 string, sum_2 string, sum_3 string",
+    )
+    assert restart.changed_inputs(proofs, proofs, ["k"]).count() == 0
+    assert all(r.valid for r in restart.validate_references(proofs, proofs, ["k"]).collect())
+    changed = restart.changed_inputs(proofs, proofs.where("k = 'x'"), ["k"]).collect()
+    assert [(r.k, r.change) for r in changed] == [(None, "removed")]

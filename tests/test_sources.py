@@ -4,6 +4,7 @@ import shutil
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quayside.contracts import LINE_SCHEMA, PRODUCT_SCHEMA
 from quayside.errors import DataFailure
@@ -203,3 +204,13 @@ def test_ledger_append_and_suffix(spark, base):
     assert "PartitionFilters: [isnotnull(shard" in plan and "GreaterThan(sequence,1)" in plan
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         ledger_table.create(spark, base)
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    schema = StructType([StructField("a", StringType()), StructField("b", StringType())])
+    (tmp_path / "x.csv").write_text('a,b\n"x ""y"" z","two\nlines"\n\\,"c,d"\n')
+    rows = {tuple(r) for r in delimited.read_csv(spark, str(tmp_path / "x.csv"), schema).collect()}
+    assert rows == {('x "y" z', "two\nlines"), ("\\", "c,d")}
+    frame = spark.createDataFrame([*rows, (None, 'q"')], schema)
+    delimited.write_csv(frame, str(tmp_path / "out"))
+    assert {tuple(r) for r in delimited.read_csv(spark, str(tmp_path / "out"), schema).collect()} == {*rows, (None, 'q"')}

@@ -228,3 +228,43 @@ def test_control_rows_are_published(spark, landing):
         )["receipt"]
         assert [r.asDict() for r in proofs.read(reference).collect()] == [row]
         assert json.loads(json.dumps(reference))["row_count"] == 1
+
+
+def status_of(spark, *documents: bytes, **limits):
+    frame = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(documents)], "n int, content binary")
+    rows = xml.document_status(frame, "product_catalog", **limits).collect()
+    return [r.status for r in sorted(rows, key=lambda r: r.n)]
+
+
+def test_no_document_type_is_ever_opened(spark, tmp_path):
+    """The DTD would supply the missing version, so a parser that opened it would find the document good."""
+    spec = XML_CONTRACTS["product_catalog"]
+    dtd = tmp_path / "d.dtd"
+    dtd.write_text(f'<!ATTLIST {spec.root} schemaVersion CDATA "1.0">')
+    good = document("product_catalog", PRODUCTS["filters"])
+    bare = good.replace(' schemaVersion="1.0"', "")
+    typed = f'<!DOCTYPE {spec.root} SYSTEM "file://{dtd}">{bare}'
+    frame = spark.createDataFrame([(bytearray(typed.encode()),)], "content binary")
+    parsed = xml.parse_documents(frame, "product_catalog").first()
+    assert (parsed.status, parsed.records) == ("UNSAFE_XML", None)
+    missing = typed.replace(str(dtd), str(tmp_path / "absent.dtd"))
+    assert status_of(spark, missing.encode(), good.encode()) == ["UNSAFE_XML", "OK"]
+
+
+def test_record_limit_comes_before_structure(spark):
+    rows = [("S", "d", "EA")] * 4
+    spec = XML_CONTRACTS["product_catalog"]
+    element = spec.fields[1][0]
+    bad = document("product_catalog", rows).replace(f"<{element}>d</{element}>", "", 1)
+    assert status_of(spark, bad.encode(), max_records=2) == ["XML_RECORD_LIMIT"]
+    assert status_of(spark, bad.encode(), max_records=4) == ["XML_STRUCTURE_MISMATCH"]
+
+
+def test_single_byte_encodings(spark):
+    text = document("product_catalog", [("S", "5 € – «é»", "EA")])
+    held = {"windows-1252": "5 € – «é»", "iso-8859-15": "5 € - «é»"}
+    for charset, value in held.items():
+        body = f'<?xml version="1.0" encoding="{charset}"?>' + text.replace("5 € – «é»", value)
+        frame = spark.createDataFrame([(bytearray(body.encode(charset)),)], "content binary")
+        row = xml.parse_documents(frame, "product_catalog").first()
+        assert row.status is None and row.records[0].description == value
