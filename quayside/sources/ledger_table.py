@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quayside.contracts import EVENT_SCHEMA
 from quayside.operators.ledger import assign_sequence
 
+STRETCH = 1 << 20  # sequence numbers of a shard that one task writes
 STORED_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("shard", StringType())])
 
 
@@ -31,12 +32,17 @@ def create(spark: SparkSession, path: str) -> None:
 def append(spark: SparkSession, path: str, batch: DataFrame, order: str) -> None:
     """Number ``batch`` behind the committed events of its scopes and append it as one commit.
 
-    Only the scope and sequence columns of the committed events are read.
+    Of the committed events only the shards that the batch touches are opened (a shard is one of 256, so their list is
+    short), and of those only scope and sequence. Each shard's rows are written by few tasks, split by stretches of the
+    sequence, so that a commit adds few files and a large scope is still written in parallel.
     """
-    numbered = assign_sequence(read(spark, path), batch, F.col(order))
+    touched = [row["shard"] for row in batch.select(_shard(F.col("scope")).alias("shard")).distinct().collect()]
+    committed = spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col("shard").isin(touched)).drop("shard")
+    numbered = assign_sequence(committed, batch, F.col(order))
     (
         numbered.select(*EVENT_SCHEMA.names)
         .withColumn("shard", _shard(F.col("scope")))
+        .repartition("shard", F.floor(F.col("sequence") / STRETCH))
         .sortWithinPartitions("shard", "scope", "sequence")
         .write.partitionBy("shard")
         .mode("append")
