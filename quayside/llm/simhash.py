@@ -34,6 +34,8 @@ from quayside.session import materialize, scratch_path
 SEED = 42
 BLOCK_ROWS = 30_000  # table entries that one task holds, about
 SMALL = 64  # buckets up to this size are compared pair by pair
+LARGE = 2048  # and beyond this size parted by groups of at least
+GROUP_BITS = 8  # bits
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -82,7 +84,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
 
 
 def _spanning(prints: np.ndarray, limit: int) -> list[np.ndarray]:
-    """Links (i, j) that connect what is connected among many fingerprints, by breadth-first search."""
+    """Links (i, j) that connect what is connected among many fingerprints.
+
+    A large bucket is parted first: two near fingerprints agree in at least one of ``limit`` + 1 groups of the bits that
+    vary in it, so only those that agree in a group are compared, unless the limit is too wide for such groups.
+    """
+    if len(prints) > LARGE:
+        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
+        varying = np.flatnonzero(bits.any(0) & ~bits.all(0))
+        if len(varying) >= GROUP_BITS * (limit + 1):
+            found = []
+            for group in np.array_split(varying, limit + 1):
+                key = np.packbits(bits[:, group], axis=1)
+                value = np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel()
+                order = np.argsort(value, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1], True])
+                for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if high - low > 1:
+                        rows = order[low:high]
+                        found += [rows[links] for links in _search(prints[rows], limit)]
+            return found
+    return _search(prints, limit)
+
+
+def _search(prints: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Links by breadth-first search: each round compares one fingerprint with those that nothing has reached yet."""
     left = np.arange(len(prints))
     links = []
     while len(left):

@@ -79,6 +79,25 @@ def test_links_reach_all_near_fingerprints(spark, monkeypatch, width, lead):
     assert Counter((i, f"{p:016x}", root[i]) for i, p in enumerate(held)) == expected
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2])
+def test_large_buckets_are_parted_without_loss(monkeypatch, limit):
+    rng = np.random.default_rng(limit)
+    centres = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+    flips = rng.integers(0, 32, (40, 30, 3))
+    held = {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c, f in zip(centres, flips, strict=True) for a, b, _ in f}
+    prints = np.array(sorted(held), np.uint64).reshape(-1, 1)
+
+    def groups(found):
+        group = list(range(len(prints)))
+        for i, j in np.concatenate([*found, np.zeros((0, 2), np.int64)]).astype(int).tolist():
+            group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+        return group
+
+    whole = groups(simhash._search(prints, limit))
+    monkeypatch.setattr(simhash, "LARGE", 10)
+    assert groups(simhash._spanning(prints, limit)) == whole
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
