@@ -49,6 +49,7 @@ COVER = (1, 5, 11, 24, 25, 27)  # fixed values: each difference modulo 31 is one
 DEPTH = WINDOW - PERIOD + 1
 ANCHOR_BYTES = 8_000_000  # of anchors that meet in one task, about
 BLOCK_BYTES = 5_000_000  # of text that one task sorts, about
+SLICE_BYTES = 8_000_000  # of text whose stretches are packed together
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -211,7 +212,7 @@ def later_strings(joined: DataFrame, blocks: int) -> DataFrame:
     kinds = {"hash": "<i8", **NAME, "low": "<i4", "more": "u1", "shift": "u1"}
 
     def stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", SLICE_BYTES):
             records: dict[tuple, list] = {}
             settled: list[tuple[int, int, int, int]] = []
             marks = part.column("marks")
@@ -245,7 +246,8 @@ def later_strings(joined: DataFrame, blocks: int) -> DataFrame:
             rows = []
             for bucket, values in by_bucket(block, held):
                 numbers = np.frombuffer(values.pop("number"), np.int64).tolist()
-                rows.append((bucket, values | {"data": b"".join([texts[i] for i in numbers]), "settled": b""}))
+                data = pa.compress(b"".join([texts[i] for i in numbers]), "zstd", asbytes=True)
+                rows.append((bucket, values | {"data": data, "settled": b""}))
             if settled:
                 empty = dict.fromkeys([*kinds, "data"], b"")
                 rows.append((abs(settled[0][1]) % blocks, empty | {"settled": np.array(settled, "<i8").tobytes()}))
@@ -253,7 +255,12 @@ def later_strings(joined: DataFrame, blocks: int) -> DataFrame:
 
     def solve(table: pa.Table) -> pa.Table:
         held = unpacked(table, kinds)
-        data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
+        parts = []
+        for more, packed in zip(table.column("more").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if packed:
+                size = int(np.frombuffer(more, np.uint8).sum(dtype=np.int64)) + WINDOW * len(more)
+                parts.append(pa.decompress(packed, size, "zstd", asbytes=True))
+        data = np.frombuffer(b"".join(parts), np.uint8)
         settled = np.frombuffer(b"".join(table.column("settled").to_pylist()), "<i8").reshape(-1, 4)
         count = held["more"].astype(np.int64) + 1
         begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
