@@ -48,8 +48,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # fixed values: each difference modulo 31 is one of two of these
 DEPTH = WINDOW - PERIOD + 1
 ANCHOR_BYTES = 8_000_000  # of anchors that meet in one task, about
-BLOCK_BYTES = 5_000_000  # of text that one task sorts, about
-SLICE_BYTES = 8_000_000  # of text whose stretches are packed together
+BLOCK_BYTES = 3_000_000  # of text that one task sorts, about
+SLICE_BYTES = 4_000_000  # of text whose stretches are packed together
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -94,7 +94,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     columns = {"hash": "<u8", **NAME, "low": "<i4", "more": "u1", "shift": "u1", "known": "u1"}
 
     def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", SLICE_BYTES // 4):
             data, starts = joined_bytes(part.column("text"))
             hashes, row, low, high, place = slice_anchors(data, starts)
             if not len(hashes):
