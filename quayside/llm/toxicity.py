@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.bpe import BEYOND_LATIN
 from quayside.llm.common import pieces
 from quayside.session import materialize, scratch_path
 
@@ -39,8 +40,12 @@ CLEAN_SHARE = 0.02  # of a term's documents that may be clean
 STEM_LETTERS = (4, 8)
 WINDOW = 6
 THRESHOLD = 0.3
+KEEP = 200_000  # words that a task remembers to match nothing
 
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+# The same for texts of Latin letters only; a short character class is twice as fast.
+LATIN = "".join(c for c in map(chr, range(0x250)) if re.fullmatch(r"[^\W\d_]", c))
+LATIN_TOKEN = re.compile(f"[{LATIN}]+|[\"“”„«»]")
 MARKS = frozenset("\"“”„«»")
 # Verbs of reporting, and words that address someone.
 REPORTS = frozenset(
@@ -53,13 +58,18 @@ FEATURES = ("exact", "misspelled", "addressed", "quoted")
 
 def spelled(text: str) -> str:
     """Lower case, with the digits and signs that stand in for letters read as letters inside words."""
-    lowered = text.lower()
-    return SWAPPED.sub(lambda found: found.group().translate(LETTERS), lowered)
+    return SWAPPED.sub(_letters, text.lower())
 
 
 # Signs written for letters.
 LETTERS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
-SWAPPED = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])")
+SWAPPED = re.compile("[013457@$]+")
+
+
+def _letters(found: re.Match) -> str:
+    """The letters of some signs that stand between letters; other signs stay."""
+    inside = found.string[found.start() - 1 : found.start()].isalpha() and found.string[found.end() : found.end() + 1].isalpha()
+    return found.group().translate(LETTERS) if inside else found.group()
 
 
 def edits_allowed(term: str) -> int:
@@ -173,21 +183,24 @@ class Reader:
 
     def __init__(self, model: Model):
         self.automaton, self.weights = Automaton(model.terms), model.weights
-        self.seen: dict[str, tuple[int, int] | None] = {}
+        self.clean: set[str] = set(MARKS)  # words known to match nothing
 
     def spans(self, text: str) -> list[tuple[int, int, int, int, bool, bool]]:
         """(start, end, term, edits, addressed, quoted) of every match in the text."""
         lowered = spelled(text)
-        words = TOKEN.findall(lowered)
+        token = TOKEN if BEYOND_LATIN.search(lowered) else LATIN_TOKEN
+        words = token.findall(lowered)
         hits = {}
-        for word in set(words):
-            found = self.automaton.match(word) if word not in MARKS else None
+        for word in set(words).difference(self.clean):
+            found = self.automaton.match(word)
             if found is not None:
                 hits[word] = found
+            elif len(self.clean) < KEEP:
+                self.clean.add(word)
         if not hits:
             return []
         out, open_mark = [], False
-        tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(lowered)]
+        tokens = [(m.group(), m.start(), m.end()) for m in token.finditer(lowered)]
         for i, (word, start, end) in enumerate(tokens):
             if word in MARKS:
                 open_mark = not open_mark
