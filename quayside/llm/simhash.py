@@ -207,6 +207,24 @@ def block_links(ids: np.ndarray, prints: np.ndarray, values: np.ndarray, visitor
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between ids one per id: to the smallest id that it reaches over them. A block thus hands on no more
+    links than it has members, however many of its pairs are near."""
+    ids, place = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
+
+
 def links(table: DataFrame, entries: int, words: int, per_word: int, max_distance: int) -> DataFrame:
     """Spanning links (a, b) of ``table`` (id bigint, fingerprint hex string), ids and fingerprints each unique.
 
@@ -250,8 +268,8 @@ def links(table: DataFrame, entries: int, words: int, per_word: int, max_distanc
         a, b = block_links(
             held["ids"], held["prints"].reshape(-1, words), held["seen"], held["visitor"], low, max_distance
         )
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        member, least = stars(a, b)
+        return pa.table({"a": member, "b": least})
 
     schema = "bucket bigint, ids binary, prints binary, seen binary, visitor binary"
     return table.select("id", "fingerprint").mapInArrow(deal, schema).groupBy("bucket").applyInArrow(

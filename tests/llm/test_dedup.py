@@ -98,6 +98,19 @@ def test_large_buckets_are_parted_without_loss(monkeypatch, limit):
     assert groups(simhash._spanning(prints, limit)) == whole
 
 
+def test_stars_keep_what_is_connected():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 400, (2, 260)) * 7 - 900
+    group = {int(v): int(v) for v in np.r_[a, b]}
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        one, two = sorted((group[i], group[j]))
+        group = {v: one if g == two else g for v, g in group.items()}
+    member, least = simhash.stars(a, b)
+    found = dict(zip(member.tolist(), least.tolist(), strict=True))
+    assert {v: found.get(v, v) for v in group} == group and len(member) < len(group)
+    assert len(simhash.stars(a[:0], b[:0])[0]) == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
