@@ -127,14 +127,9 @@ def _search(prints: np.ndarray, limit: int) -> list[np.ndarray]:
 
 
 def _across(prints: np.ndarray, one: np.ndarray, two: np.ndarray, limit: int) -> list[np.ndarray]:
-    """Links between two large buckets: each member's first near one on the other side, both ways."""
-    links = []
-    for side, other in ((one, two), (two, one)):
-        for i in side.tolist():
-            near = np.flatnonzero(np.bitwise_count(prints[other] ^ prints[i]).sum(1) <= limit)
-            if len(near):
-                links.append(np.array([[i, other[near[0]]]]))
-    return links
+    """Links that connect what is connected in the union of two large buckets, at any limit."""
+    rows = np.r_[one, two]
+    return [rows[links] for links in _spanning(prints[rows], limit)]
 
 
 def _pairs(starts: np.ndarray, sizes: np.ndarray, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

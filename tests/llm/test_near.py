@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quayside.llm import jaccard
+from quayside.llm import jaccard, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -98,3 +98,47 @@ def test_links_connect_what_is_similar():
             if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
                 whole = [min(whole[i], whole[j]) if g in (whole[i], whole[j]) else g for g in whole]
     assert group == whole and len(jaccard.near_pairs(sets)) == 90 - len(set(whole))
+
+
+@pytest.mark.parametrize("limit", [2, 12, 66])
+def test_large_buckets_of_neighbouring_values_lose_no_link(limit):
+    """Two buckets one flip apart, whose members are near a part of the other side only."""
+    rng = np.random.default_rng(limit)
+    one, two = 70, 75
+    prints = rng.integers(0, 1 << 64, (1, 6), dtype=np.uint64).repeat(one + two, 0)
+    for row in prints:
+        for bit in rng.choice(300, round(limit * 0.53), replace=False):
+            row[1 + bit // 60] ^= np.uint64(1 << int(bit % 60))
+    prints[one:, 0] ^= np.uint64(1)
+    values = prints[:, 0] & np.uint64(0xFFFF)
+    a, b = simhash.block_links(np.arange(one + two), prints, values, np.zeros(one + two, bool), 1, limit)
+
+    def groups(links):
+        group = list(range(one + two))
+        for i, j in links:
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(np.argwhere(apart <= limit).tolist())
+
+
+def test_near_ones_beyond_the_first_on_the_other_side():
+    """i is near j1 and j2, an earlier one near j2 only: all are one group."""
+    zero = np.zeros(6, np.uint64)
+
+    def bits(low, high):
+        out = zero.copy()
+        for bit in range(low, high):
+            out[bit // 64] |= np.uint64(1 << bit % 64)
+        return out
+
+    # On a line: j1 at -60, i at 0, j2 at 60, i' at 120, as numbers of bits set in one of two directions.
+    line = {"i'": bits(64, 184), "i": zero, "j1": bits(200, 260), "j2": bits(64, 124)}
+    prints = np.stack([line[name] for name in ("i'", "i", "j1", "j2")])
+    links = np.concatenate(simhash._across(prints, np.array([0, 1]), np.array([2, 3]), 66))
+    reached = {1}
+    for _ in range(4):
+        reached |= {x for pair in links.tolist() for x in pair if reached & set(pair)}
+    assert reached == {0, 1, 2, 3}
