@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quayside.llm.bpe import BEYOND_LATIN
@@ -73,21 +73,24 @@ def _letters(found: re.Match) -> str:
 
 
 def edits_allowed(term: str) -> int:
-    """None for short terms, where one edit gives another common word; one otherwise."""
+    """None for short terms, where one edit gives another common word; one otherwise. A fitted model also allows one in
+    stems and five letters, see ``edits_of``."""
     return 1 if len(term) >= 6 else 0
 
 
 class Automaton:
     """A lexicon trie walked by Levenshtein automata, one state set at a time."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        """``terms``: (letters, whether it is a stem that longer words may begin with)."""
+    def __init__(self, terms: list[tuple[str, bool]], edits: list[int] | None = None):
+        """``terms``: (letters, whether it is a stem that longer words may begin with). ``edits``: how many each allows,
+        by default none in stems and ``edits_allowed`` in words."""
+        self.allowed = edits or [0 if stem else edits_allowed(term) for term, stem in terms]
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[tuple[int, bool] | None] = [None]
         self.reach: list[int] = [0]  # the most edits that any term below a node allows
         for number, (term, stem) in enumerate(terms):
             node = 0
-            allowed = 0 if stem else edits_allowed(term)
+            allowed = self.allowed[number]
             self.reach[0] = max(self.reach[0], allowed)
             for letter in term:
                 if letter not in self.next[node]:
@@ -98,7 +101,6 @@ class Automaton:
                 node = self.next[node][letter]
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node] = (number, stem)
-        self.allowed = [0 if stem else edits_allowed(term) for term, stem in terms]
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
         self.found: list[tuple[int, int] | None] = []
@@ -156,19 +158,38 @@ class Automaton:
             state = self._move(state, letter) if following is None else following
             if state < 0:
                 return stem
-            if self.stems[state] is not None:
-                stem = stem or self.stems[state]
+            begun = self.stems[state]
+            if begun is not None and (stem is None or begun[1] < stem[1]):
+                stem = begun
+                if not stem[1]:
+                    return stem
         whole = self.found[state]
         return whole if stem is None or (whole is not None and whole[1] < stem[1]) else stem
 
 
+    def misspelled(self, word: str) -> set[int]:
+        """All terms that the word spells or begins with by at least one edit, and not without."""
+        state, out, exact = self.start, set(), set()
+        for place, letter in enumerate(word, 1):
+            following = self.moves[state].get(letter)
+            state = self._move(state, letter) if following is None else following
+            if state < 0:
+                break
+            for node, used in self.states[state].items():
+                end = self.ends[node]
+                if end and (end[1] or place == len(word)) and used <= self.allowed[end[0]]:
+                    (out if used else exact).add(end[0])
+        return out - exact
+
+
 @dataclass
 class Model:
-    """Terms with weights, and the logistic model's coefficients (one per feature, then the constant)."""
+    """Terms with weights and allowed edits, and the logistic model's coefficients (one per feature, then the constant)."""
 
     terms: list[tuple[str, bool]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     coefficients: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES) + [-3.0])
+    edits: list[int] | None = None
 
     def reader(self) -> Reader:
         return Reader(self)
@@ -182,7 +203,7 @@ class Reader:
     """Reads a text's features with a model's lexicon."""
 
     def __init__(self, model: Model):
-        self.automaton, self.weights = Automaton(model.terms), model.weights
+        self.automaton, self.weights = Automaton(model.terms, model.edits), model.weights
         self.clean: set[str] = set(MARKS)  # words known to match nothing
 
     def spans(self, text: str) -> list[tuple[int, int, int, int, bool, bool]]:
@@ -260,9 +281,10 @@ def candidate_terms(rows: DataFrame) -> DataFrame:
     return seen.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
-def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float]]:
-    """The terms that mark toxic documents: (term, stem, weight). A term is left out if a shorter stem that it begins
-    with marks as many documents, or a whole word is as good as its stem."""
+def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float, int]]:
+    """The terms that mark toxic documents: (term, stem, weight, edits). A stem is left out if one whole word makes up
+    its documents; a stem or word is left out if a shorter stem that it begins with serves it: a word's misspellings
+    too, so words stay beside a stem that allows no edit."""
     least = max(LEAST_TOXIC, TOXIC_SHARE * rows.where("toxic = 1").count())
     best = (
         candidate_terms(rows.where("toxic in (0, 1)"))
@@ -271,29 +293,55 @@ def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float]]
         .limit(10 * size)
         .collect()
     )
-    chosen: dict[str, tuple[bool, float]] = {}
+    most: dict[str, int] = {}  # the toxic documents of the commonest whole word that begins so
+    for row in best:
+        if not row.stem:
+            for n in range(STEM_LETTERS[0], len(row.term)):
+                most[row.term[:n]] = max(most.get(row.term[:n], 0), row.toxic)
+    stems: set[str] = set()
+    chosen = []
     for row in sorted(best, key=lambda r: (len(r.term), r.stem, r.term)):
-        if any(row.term[:n] in chosen and chosen[row.term[:n]][0] for n in range(2, len(row.term))):
-            continue
-        if row.term in chosen:
-            continue
-        weight = math.log((row.toxic + 0.5) / (row.clean + 0.5))
-        chosen[row.term] = (row.stem, weight)
-    # A whole word shadows stems of itself that mark no other word.
-    words = {term for term, (stem, _) in chosen.items() if not stem}
-    counts = {(row.term, row.stem): row.toxic for row in best}
-    kept = [
-        (term, stem, weight)
-        for term, (stem, weight) in chosen.items()
-        if not (stem and any(w.startswith(term) and counts[w, False] >= 0.98 * counts[term, True] for w in words))
+        if row.stem:
+            if most.get(row.term, 0) >= 0.98 * row.toxic or any(row.term[:n] in stems for n in range(2, len(row.term))):
+                continue
+            stems.add(row.term)
+        chosen.append(row)
+    chosen = sorted(chosen, key=lambda r: (-r.toxic, r.term, r.stem))[: 3 * size]
+    edits = edits_of(rows, [(row.term, row.stem, row.toxic) for row in chosen])
+    serving = {row.term: allowed for row, allowed in zip(chosen, edits, strict=True) if row.stem}
+
+    def served(row: Row, allowed: int) -> bool:
+        starts = [row.term[:n] for n in range(2, len(row.term) + 1)]
+        return not row.stem and any(serving.get(start, -1) >= allowed for start in starts)
+
+    kept = [(row, allowed) for row, allowed in zip(chosen, edits, strict=True) if not served(row, allowed)]
+    return [
+        (row.term, row.stem, math.log((row.toxic + 0.5) / (row.clean + 0.5)), allowed) for row, allowed in kept[:size]
+    ]
+
+
+def edits_of(rows: DataFrame, terms: list[tuple[str, bool, int]]) -> list[int]:
+    """The edits that each term (term, stem, toxic documents) allows: one in words of six letters or more, and one in
+    stems and words of five where the clean documents hold no words that are a misspelling then, but for the share
+    that a term's own clean documents may have."""
+    plain = [(term, stem) for term, stem, _ in terms]
+    tried = [1 if stem or len(term) >= 5 else 0 for term, stem in plain]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(plain, tried)
+        for batch in batches:
+            met: list[int] = []
+            for text in batch.column("text").to_pylist():
+                words = set(TOKEN.findall(spelled(text)))
+                met += set().union(*[automaton.misspelled(word) for word in words])
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32())], ["term"])
+
+    counted = rows.where("toxic = 0").select("text").mapInArrow(run, "term int").groupBy("term").count().collect()
+    clean = {row["term"]: row["count"] for row in counted}  # at most one row per term
+    return [
+        1 if not stem and edits_allowed(term) else int(bool(tried[i]) and clean.get(i, 0) <= CLEAN_SHARE * toxic)
+        for i, (term, stem, toxic) in enumerate(terms)
     ]
-    for row in best:  # the words whose stems have just gone
-        if not row.stem and row.term not in chosen:
-            covered = any(stem and row.term.startswith(term) for term, stem, _ in kept)
-            if not covered:
-                kept.append((row.term, False, math.log((row.toxic + 0.5) / (row.clean + 0.5))))
-    counted = sorted(kept, key=lambda t: (-counts.get((t[0], t[1]), 0), t[0]))
-    return counted[:size]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAINING_ROWS) -> Model:
@@ -302,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAININ
     if not seen["rows"]:
         return Model()
     terms = lexicon(rows)
-    model = Model([(term, stem) for term, stem, _ in terms], [weight for *_, weight in terms])
+    model = Model([t[:2] for t in terms], [t[2] for t in terms], edits=[t[3] for t in terms])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
@@ -326,13 +374,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAININ
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0.5) -> list[float]:
     """Ridge-penalised logistic regression by Newton steps. Coefficients of abuse start at one and don't turn
-    negative; a quotation counts no more than abuse does."""
+    negative; a quotation counts no more than abuse does. The penalty of misspelled terms is that of their distance
+    from exact ones, so without misspellings among the labelled documents they count alike."""
     beta = np.r_[np.ones(x.shape[1] - 2), 0.0, -3.0]
-    ridge = np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
+    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, penalty), 1e-6])
+    ridge[0, 0] += penalty
+    ridge[0, 1] = ridge[1, 0] = -penalty
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (n * (y - p)) - ridge * beta
-        hessian = (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(ridge)
+        gradient = x.T @ (n * (y - p)) - ridge @ beta
+        hessian = (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge
         step = np.linalg.solve(hessian, gradient)
         beta = beta + step / max(1.0, float(np.abs(step).max()))
         beta[:-1] = np.maximum(beta[:-1], 0.0)
