@@ -52,3 +52,11 @@ def materialize(
     writer.parquet(path)
     back = frame.sparkSession.read.schema(frame.schema).parquet(path)
     return back, {name: int(value or 0) for name, value in seen.get.items()}
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder of this library that no plan reads any more. Anything outside the shared folder stays."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError("Only folders below the shared one are removed.")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
