@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from quayside.llm import (
     bpe,
+    decontamination,
     packing,
     quality,
+    shallot,
     simhash,
     substring_dedup,
     suffix_dedup,
     token_rollup,
     topk,
     toxicity,
+    vector_codes,
     warc,
 )
 from quayside.llm.common import read, ship
@@ -147,6 +150,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and exact squared distance of every vector after five rounds from forty centroids."""
+    return shallot.report(read(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector by eight codebooks of sixteen entries, trained for six rounds."""
+    return vector_codes.report(read(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that every document holds verbatim."""
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -335,3 +356,118 @@ FROM k
 
 
 ORACLES["op10_quality"] = _sql_quality()
+
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _sql_floor(total: str, count: str) -> str:
+    """Whole-number division that goes down."""
+    return f"(({total} - (({total} % {count}) + {count}) % {count}) // {count})"
+
+
+def _sql_squared(a: str, b: str) -> str:
+    terms = f"list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))"
+    return f"coalesce(list_sum({terms}), 0)::bigint"
+
+
+def _sql_clustering() -> str:
+    steps = []
+    for i in range(shallot.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := d, c := c)) AS b FROM (
+    SELECT v.rid, c.c, {_sql_squared("v.t", "c.t")} AS d FROM v, c{i} c) GROUP BY rid
+)""")
+        if i < shallot.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(n.t, c.t) AS t FROM c{i} c LEFT JOIN (
+    SELECT c, list(x ORDER BY pos) AS t FROM (
+      SELECT c, pos, {_sql_floor("sum(x)::hugeint", "count(*)")}::bigint AS x
+      FROM (SELECT b.c AS c, unnest(t) AS x, generate_subscripts(t, 1) AS pos FROM a{i} JOIN v USING (rid))
+      GROUP BY c, pos) GROUP BY c) n USING (c)
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: floor({shallot.SCALE} * x::double)::bigint) AS t
+  FROM embeddings WHERE {FINITE} AND len(embedding) = {shallot.DIMENSIONS}
+), c0 AS MATERIALIZED (
+  SELECT c - 1 AS c, t FROM (
+    SELECT row_number() OVER (ORDER BY sha256('{shallot.SEED}' || vec_id) NULLS LAST, t) AS c, t FROM v)
+  WHERE c <= {shallot.CLUSTERS}
+), {", ".join(steps)}
+SELECT vec_id, b.c::int AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::bigint AS cluster_inertia,
+  (sum(b.d) OVER ())::bigint AS inertia, sha256(array_to_string(c.t, ',')) AS centroid_sha256
+FROM a{shallot.ROUNDS} JOIN v USING (rid) JOIN c{shallot.ROUNDS} c ON c.c = b.c
+"""
+
+
+def _sql_codes() -> str:
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := d, k := k)) AS b FROM (
+    SELECT q.rid, q.p, e.k, {_sql_squared("q.s", "e.s")} AS d FROM q JOIN e{i} e USING (p)) GROUP BY rid, p
+)""")
+        if i < rounds:
+            steps.append(f"""e{i + 1} AS MATERIALIZED (
+  SELECT e.p, e.k, coalesce(n.s, e.s) AS s FROM e{i} e LEFT JOIN (
+    SELECT p, k, list(x ORDER BY pos) AS s FROM (
+      SELECT p, k, pos, {_sql_floor("sum(x)::hugeint", "count(*)")}::bigint AS x
+      FROM (SELECT p, b.k AS k, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM a{i} JOIN q USING (rid, p))
+      GROUP BY p, k, pos) GROUP BY p, k) n USING (p, k)
+)""")
+    return f"""
+WITH f AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::double)::bigint) AS t
+  FROM embeddings WHERE {FINITE}
+), w AS (SELECT (ceil(max(len(t)) / {parts}))::bigint AS width FROM f),
+v AS MATERIALIZED (
+  SELECT rid, vec_id, label, width, row_number() OVER (ORDER BY vec_id NULLS LAST, t) - 1 AS place,
+    list_resize(t, width * {parts}, 0) AS t FROM f, w
+), q AS MATERIALIZED (
+  SELECT rid, place, p, t[p * width + 1:(p + 1) * width] AS s FROM v, range({parts}) r(p)
+), e0 AS MATERIALIZED (SELECT p, place AS k, s FROM q WHERE place < {entries}),
+{", ".join(steps)},
+m AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM e{rounds}),
+o AS (
+  SELECT rid, string_agg(printf('%02x', b.k), '' ORDER BY p) AS code, sum(b.d)::bigint AS error FROM a{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256
+FROM o JOIN v USING (rid), m
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _sql_clustering()
+ORACLES["op12_vector_codes"] = _sql_codes()
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TEST_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLES["op13_decontamination"] = f"""
+WITH i AS (
+  SELECT coalesce(item_id::varchar, '') AS item, words, least({decontamination.WINDOW}, len(words)) AS m
+  FROM (SELECT item_id, {_TEST_WORDS} AS words FROM benchmark) WHERE len(words) > 0
+), t AS (
+  SELECT DISTINCT item, m, array_to_string(words[j:j + m - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS j FROM i)
+), d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_TEST_WORDS} AS words FROM documents),
+s AS (
+  SELECT rid, j, m, array_to_string(words[j:j + m - 1], ' ') AS w
+  FROM (SELECT rid, words, m, unnest(range(1, len(words) - m + 2)) AS j
+    FROM d, (SELECT DISTINCT m FROM t) WHERE len(words) >= m)
+), h AS MATERIALIZED (SELECT rid, j, m, item FROM s JOIN t USING (m, w)),
+n AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(j, j + m)) AS p FROM h) GROUP BY rid
+), k AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid
+)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""
