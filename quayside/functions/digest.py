@@ -1,4 +1,9 @@
-"""Content hashes that do not depend on row order."""
+"""Content hashes that do not depend on row order.
+
+A row's hash covers its columns in name order, each value written with its length. A dataset's digest is its row count
+and, for each of the first ``WORDS`` 32-bit words of the hashes, the sum of that word over all rows. Sums of plain LONGs
+combine on the map side, so no group is ever held in one place.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +11,28 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampType, VariantType
 
-CHUNKS = 4
+WORDS = 4
+_HALF = 1 << 16
 
 
-def canonical_json(columns: Iterable[str]) -> Column:
-    """Compact JSON of the named columns in name order, NULLs kept, times in UTC."""
-    return F.to_json(
-        F.struct(*[F.col(f"`{name}`") for name in sorted(columns)]),
-        {"ignoreNullFields": "false", "timeZone": "UTC"},
-    )
+def _text(column: Column, kind: DataType) -> Column:
+    if isinstance(kind, BinaryType):
+        return F.hex(column)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(column).cast("string")  # whatever the session's time zone
+    if isinstance(kind, (StructType, ArrayType, MapType, VariantType)):
+        return F.to_json(column, {"timeZone": "UTC"})
+    return column.cast("string")
+
+
+def row_hash(frame: DataFrame, columns: Iterable[str]) -> Column:
+    """SHA-256 over the named columns of ``frame``: ``<bytes>:<text>`` each, or ``-`` for NULL."""
+    kinds = {field.name: field.dataType for field in frame.schema.fields}
+    texts = [_text(F.col(f"`{name}`"), kinds[name]) for name in sorted(columns)]
+    marked = [F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")) for text in texts]
+    return F.sha2(F.concat_ws(",", *marked), 256)
 
 
 def composite_id(**parts: Column) -> Column:
@@ -24,57 +41,28 @@ def composite_id(**parts: Column) -> Column:
     return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
 
 
-def hash_sums(digest: Column) -> list[Column]:
-    """Sums of the four unsigned 64-bit quarters of a hex digest; NULL digests add nothing.
+def dataset_digest(frame: DataFrame, *group: str) -> DataFrame:
+    """``row_count`` and ``sum_0`` … of the whole frame, or per ``group``. Duplicates count, order does not.
 
-    Addition commutes, so partial sums combine on the map side and no group is ever held in one place.
+    Each word is added up in two halves of 16 bits: a LONG holds the halves of 2^47 rows, and only the one result row of
+    a group is put together as decimals.
     """
-    return [
-        F.coalesce(
-            F.sum(F.conv(F.substring(digest, i * 16 + 1, 16), 16, 10).cast("decimal(38,0)")),
-            F.lit(0).cast("decimal(38,0)"),
-        )
-        .cast("string")
-        .alias(f"sum_{i}")
-        for i in range(CHUNKS)
-    ]
-
-
-def dataset_digest(frame: DataFrame, *group: str) -> DataFrame:
-    """Row count and hash sums of the whole frame, or per ``group``. Duplicates count, order does not."""
     columns = [name for name in frame.columns if name not in group]
-    hashed = frame.select(*group, F.sha2(canonical_json(columns), 256).alias("_digest"))
-    if not group:
-        return _whole_digest(hashed)
-    return hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("row_count"), *hash_sums(F.col("_digest")))
-
-
-def _whole_digest(hashed: DataFrame) -> DataFrame:
-    """The ungrouped sums. Each task first adds 32-bit halves as plain LONGs, which no partition can overflow
-    (that takes 2^31 rows), and only the one row per task is added up as decimals."""
-    halves = {
-        f"_half_{i}": F.conv(F.substring("_digest", i * 8 + 1, 8), 16, 10).cast("long")
-        for i in range(2 * CHUNKS)
-    }
-    per_task = (
-        hashed.select(F.spark_partition_id().alias("_task"), "_digest")
-        .groupBy("_task")
-        .agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(half).alias(name) for name, half in halves.items()])
-    )
+    hashed = frame.select(*group, row_hash(frame, columns).alias("_hash"))
+    words = [F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("long").alias(f"_word_{i}") for i in range(WORDS)]
+    halves = []
+    for i in range(WORDS):
+        halves.append(F.sum(F.shiftright(f"_word_{i}", 16)).alias(f"_upper_{i}"))
+        halves.append(F.sum(F.col(f"_word_{i}").bitwiseAND(_HALF - 1)).alias(f"_lower_{i}"))
+    counted = hashed.select(*group, *words)
+    counted = counted.groupBy(*group) if group else counted
+    summed = counted.agg(F.count(F.lit(1)).alias("row_count"), *halves)
 
-    def total(name: str) -> Column:
-        return F.coalesce(F.sum(F.col(name).cast("decimal(19,0)")), F.lit(0)).cast("decimal(28,0)")
-
-    return per_task.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
-        *[
-            (total(f"_half_{2 * i}") * F.lit(1 << 32).cast("decimal(10,0)") + total(f"_half_{2 * i + 1}"))
-            .cast("decimal(38,0)")
-            .cast("string")
-            .alias(f"sum_{i}")
-            for i in range(CHUNKS)
-        ],
-    )
+    def whole(i: int) -> Column:
+        upper, lower = (F.coalesce(f"_{side}_{i}", F.lit(0)).cast("decimal(20,0)") for side in ("upper", "lower"))
+        return (upper * F.lit(_HALF).cast("decimal(6,0)") + lower).cast("decimal(38,0)").cast("string").alias(f"sum_{i}")
+
+    return summed.select(*group, "row_count", *[whole(i) for i in range(WORDS)])
 
 
 def proof_fingerprint(schema: str | Column) -> Column:
@@ -84,8 +72,6 @@ def proof_fingerprint(schema: str | Column) -> Column:
     """
     schema = F.lit(schema) if isinstance(schema, str) else schema
     return F.sha2(
-        F.concat_ws(
-            "|", F.col("row_count").cast("string"), schema, *[F.col(f"sum_{i}") for i in range(CHUNKS)]
-        ),
+        F.concat_ws("|", F.col("row_count").cast("string"), schema, *[F.col(f"sum_{i}") for i in range(WORDS)]),
         256,
     )

@@ -2,20 +2,48 @@
 
 All traversals work on whole frontiers. Runs of nodes with a single dependency are collapsed first by pointer
 doubling, so a chain of n nodes costs log2(n) rounds instead of n; the frontier loop then only walks the
-nodes that have several dependencies. Every round is one job that writes its frontier to the shared folder,
-which keeps lineage short and survives lost executors.
+nodes that have several dependencies, and takes ``LEVELS`` levels of them in one round: each level reads the one before
+once, so the plan of a round grows with its levels and not with their powers. A round writes one folder, which keeps
+lineage short and survives lost executors; all folders are read by one scan.
+
+``node_id`` may be a struct, so that many graphs (one per run, say) are walked in the same rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.contracts import BAD_STATES, SUCCESS_STATES
 from quayside.session import materialize, scratch_path
 
+LEVELS = 8  # of the graph that one round walks
+PRIME = (1 << 61) - 1  # fingerprints that are carried down a graph are numbers modulo this
+
+
+def _modulo(number: Column) -> Column:
+    return F.pmod(number, F.lit(PRIME).cast("decimal(38,0)")).cast("bigint")
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Products of two numbers below 2^61 fit 38 digits."""
+    return _modulo(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return _modulo(a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+
+
+def short_hash(text: Column) -> Column:
+    """60 bits of a text's hash as a number."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+
+
+def edge_factor(src: Column, dst: Column) -> Column:
+    return short_hash(F.concat_ws(">", src.cast("string"), dst.cast("string"))) + 1
+
 
 def undefined_references(references: DataFrame, defined: DataFrame) -> DataFrame:
     """References ``(owner, kind, name)`` to things that ``defined(kind, name)`` does not know.
@@ -51,9 +79,11 @@ class _Collapsed:
     """A graph whose single-dependency nodes have been folded into the node above them (their head).
 
     ``folded``: node_id, head, hops, path_weight (own weight included, the head's not), marked (an origin lies
-    on the path, the head not included). ``heads``: node_id, weight, marked, degree (0 or at least 2).
-    ``links``: head, dst, hops, path_weight, marked, degree, weight of dst; one per dependency of a head.
+    on the path, the head not included). ``heads``: node_id, weight, marked, own, degree (0 or at least 2).
+    ``links``: head, dst, hops, path_weight, marked, degree, weight and own of dst; one per dependency of a head.
     ``endless``: folded nodes that hang on a loop of single dependencies.
+
+    Folded nodes and links also say how the head's fingerprint becomes theirs: ``factor`` times it plus ``offset``.
     """
 
     folded: DataFrame
@@ -63,8 +93,16 @@ class _Collapsed:
 
 
 def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
-    """``nodes`` carries weight and marked. Edges are taken once each."""
-    spark = nodes.sparkSession
+    """``nodes`` carries weight and marked, and ``own`` where fingerprints are wanted. Edges are taken once each."""
+    hashed = "own" in nodes.columns
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def factor(src: str, dst: str) -> Column:
+        return edge_factor(F.col(src), F.col(dst)) if hashed else zero
+
+    def times(a: Column, b: Column) -> Column:
+        return _times(a, b) if hashed else zero
+
     distinct_edges = edges.select("src", "dst").distinct()
     degrees = distinct_edges.groupBy("dst").agg(
         F.count(F.lit(1)).alias("degree"), F.min("src").alias("only_src")
@@ -74,12 +112,13 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             "node_id",
             F.col("weight").cast("double").alias("weight"),
             "marked",
+            F.col("own") if hashed else zero.alias("own"),
             F.coalesce("degree", F.lit(0)).cast("long").alias("degree"),
             "only_src",
         ),
         f"{path}/nodes",
     )
-    heads = described.where(F.col("degree") != 1).select("node_id", "weight", "marked", "degree")
+    heads = described.where(F.col("degree") != 1).select("node_id", "weight", "marked", "own", "degree")
     single = described.where(F.col("degree") == 1)
 
     # Whether a pointer already ends at a head is known by looking its target up among the single nodes.
@@ -91,6 +130,8 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             F.lit(1).cast("long").alias("hops"),
             F.col("weight").alias("path_weight"),
             "marked",
+            factor("only_src", "node_id").alias("factor"),
+            F.col("own").alias("offset"),
             F.coalesce("_open", F.lit(False)).alias("open"),
         ),
         f"{path}/pointers-0",
@@ -108,6 +149,8 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             F.col("hops").alias("_hops"),
             F.col("path_weight").alias("_weight"),
             F.col("marked").alias("_marked"),
+            F.col("factor").alias("_factor"),
+            F.col("offset").alias("_offset"),
             F.col("open").alias("_open"),
         )
         jumped = pointers.where("open").join(above, F.col("head") == F.col("_above")).select(
@@ -116,6 +159,8 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             (F.col("hops") + F.col("_hops")).alias("hops"),
             (F.col("path_weight") + F.col("_weight")).alias("path_weight"),
             (F.col("marked") | F.col("_marked")).alias("marked"),
+            times(F.col("factor"), F.col("_factor")).alias("factor"),
+            (_plus(_times(F.col("factor"), F.col("_offset")), F.col("offset")) if hashed else zero).alias("offset"),
             F.col("_open").alias("open"),
         )
         pointers, counts = materialize(
@@ -134,6 +179,8 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
         F.col("hops").alias("_hops"),
         F.col("path_weight").alias("_weight"),
         F.col("marked").alias("_marked"),
+        F.col("factor").alias("_factor"),
+        F.col("offset").alias("_offset"),
     ).unionByName(
         endless.select(
             F.col("node_id").alias("src"),
@@ -141,11 +188,11 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             F.lit(0).cast("long").alias("_hops"),
             F.lit(0.0).alias("_weight"),
             F.col("marked").alias("_marked"),
+            zero.alias("_factor"),
+            zero.alias("_offset"),
         )
     )
-    joining = heads.where(F.col("degree") >= 2).select(
-        F.col("node_id").alias("dst"), "degree", "weight", F.col("marked").alias("dst_marked")
-    )
+    joining = heads.where(F.col("degree") >= 2).select(F.col("node_id").alias("dst"), "degree", "weight", "own")
     links, _ = materialize(
         distinct_edges.join(joining, "dst").join(above, "src", "left").select(
             F.coalesce("_head", "src").alias("head"),
@@ -153,26 +200,46 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
             (F.coalesce("_hops", F.lit(0)) + 1).cast("long").alias("hops"),
             F.coalesce("_weight", F.lit(0.0)).alias("path_weight"),
             F.coalesce("_marked", F.lit(False)).alias("marked"),
+            times(factor("src", "dst"), F.coalesce("_factor", one)).alias("factor"),
+            times(factor("src", "dst"), F.coalesce("_offset", zero)).alias("offset"),
             "degree",
             "weight",
+            "own",
         ),
         f"{path}/links",
     )
     return _Collapsed(folded, heads, links, endless)
 
 
-def _all_rounds(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
-    """Union of the written rounds."""
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+def _all_rounds(frame: DataFrame, paths: list[str]) -> DataFrame:
+    """All written rounds, of the columns of ``frame``, by one scan."""
+    return frame.sparkSession.read.schema(frame.schema).parquet(*paths)
+
+
+def _onward(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``node_id, level`` of what ``LEVELS`` steps along ``links`` reach from ``frontier`` (level 0), each node at its
+    smallest level. Only nodes found in the step before walk on."""
+    steps = links.select(F.col("head").alias("node_id"), "dst")
+    found = frontier.select("node_id", F.lit(0).alias("level"))
+    for level in range(LEVELS):
+        here = F.struct("node_id", "level")
+        next_ = F.struct(F.col("dst").alias("node_id"), F.lit(level + 1).alias("level"))
+        walked = found.alias("f").join(
+            steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & (F.col("level") == level), "left"
+        )
+        both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, next_))
+        found = (
+            walked.select("f.node_id", "level", "dst")
+            .select(F.explode(both).alias("n"))
+            .groupBy("n.node_id")
+            .agg(F.min("n.level").alias("level"))
+        )
+    return found
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, origins: DataFrame) -> DataFrame:
     """The origins and everything that depends on them, directly or not: ``node_id``."""
-    spark = nodes.sparkSession
-    path = scratch_path(spark, "descendants")
+    path = scratch_path(nodes.sparkSession, "descendants")
     marks = origins.select("node_id").distinct().withColumn("marked", F.lit(True))
     described = (
         nodes.select("node_id")
@@ -187,25 +254,26 @@ def descendants(nodes: DataFrame, edges: DataFrame, origins: DataFrame) -> DataF
         .unionAll(graph.links.where("marked").select(F.col("dst").alias("node_id")))
         .distinct()
     )
-    frontier, counts = materialize(start, f"{path}/reached-0")
-    rounds = [frontier]
-    while counts["rows"]:
-        reached = _all_rounds(spark, rounds)
-        onward = (
-            graph.links.join(frontier, F.col("head") == F.col("node_id"), "left_semi")
-            .select(F.col("dst").alias("node_id"))
-            .distinct()
-            .join(reached, "node_id", "left_anti")
-        )
-        frontier, counts = materialize(onward, f"{path}/reached-{len(rounds)}")
-        rounds.append(frontier)
-    reached = _all_rounds(spark, rounds)
+    newest = F.count_if(F.col("level") == LEVELS)
+    frontier, paths = start, []
+    while True:
+        onward = _onward(graph.links, frontier)
+        if paths:
+            onward = onward.join(reached.select("node_id"), "node_id", "left_anti")
+        paths.append(f"{path}/reached-{len(paths)}")
+        found, counts = materialize(onward, paths[-1], newest=newest)
+        reached = _all_rounds(found, paths)
+        if not counts["newest"]:
+            break
+        frontier = found.where(F.col("level") == LEVELS)
     below = graph.folded.join(
         reached.select(F.col("node_id").alias("head"), F.lit(True).alias("_reached")), "head", "left"
     )
-    return reached.unionAll(
-        below.where(F.col("marked") | F.coalesce(F.col("_reached"), F.lit(False))).select("node_id")
-    ).unionAll(graph.endless.where("marked").select("node_id"))
+    return (
+        reached.select("node_id")
+        .unionAll(below.where(F.col("marked") | F.coalesce(F.col("_reached"), F.lit(False))).select("node_id"))
+        .unionAll(graph.endless.where("marked").select("node_id"))
+    )
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -213,61 +281,157 @@ def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataF
     return nodes.select("node_id").join(descendants(nodes, edges, entries), "node_id", "left_anti")
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Longest paths from the roots and the nodes that have none.
+def _settle(links: DataFrame, state: DataFrame, hashed: bool) -> DataFrame:
+    """``LEVELS`` steps of settling heads. ``state``: node_id, degree, weight, own, seen (dependencies that have arrived),
+    wave and best (the largest over those), value (the sum of their fingerprints, each by its link), level (0 for heads
+    settled in the round before, else NULL).
 
-    First frame: ``node_id, wave, path_weight``: the number of edges on the longest path that ends in the
-    node, and the largest sum of node weights along any path, own weight included. Second frame: nodes on a
-    cycle or behind one, which never run out of open dependencies. A head is settled in the round in which
-    its last dependency was; each link is used once.
+    A step joins the heads that settled in the step before with their links and adds up what arrives. Rows of a head
+    itself are repeated by the join, so they are combined by their largest and only arrivals are added.
     """
-    spark = nodes.sparkSession
-    path = scratch_path(spark, "paths")
-    graph = _collapse(nodes.select("node_id", "weight", F.lit(False).alias("marked")), edges, path)
-    settled, counts = materialize(
-        graph.heads.where(F.col("degree") == 0).select(
-            "node_id", F.lit(0).cast("long").alias("wave"), F.col("weight").alias("total")
-        ),
-        f"{path}/round-0/settled=true",
+    steps = links.select(
+        F.col("head").alias("node_id"),
+        "dst",
+        "hops",
+        "path_weight",
+        F.col("degree").alias("dst_degree"),
+        F.col("weight").alias("dst_weight"),
+        F.col("own").alias("dst_own"),
+        "factor",
+        "offset",
     )
-    rounds, waiting = [settled], None
-    while counts["rows"]:
-        arrived = settled.join(graph.links, F.col("node_id") == F.col("head")).select(
-            "dst",
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("bigint")
+    print_ = _plus(F.col("value"), F.col("f.own"))
+    handed = _plus(_times(F.col("factor"), print_), F.col("offset")) if hashed else zero
+    for level in range(LEVELS):
+        walked = state.alias("f").join(
+            steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & (F.col("level") == level), "left"
+        )
+        own = F.struct(
+            F.col("f.node_id").alias("node_id"),
             "degree",
             "weight",
-            F.lit(1).cast("long").alias("seen"),
+            F.col("f.own").alias("own"),
+            "seen",
+            zero.alias("arrived"),
+            "wave",
+            "best",
+            "value",
+            zero.alias("handed"),
+            "level",
+        )
+        total = F.col("best") + F.col("weight")
+        arrival = F.struct(
+            F.col("dst").alias("node_id"),
+            F.col("dst_degree").alias("degree"),
+            F.col("dst_weight").alias("weight"),
+            F.col("dst_own").alias("own"),
+            zero.alias("seen"),
+            F.lit(1).cast("bigint").alias("arrived"),
             (F.col("wave") + F.col("hops")).alias("wave"),
-            (F.col("total") + F.col("path_weight")).alias("best"),
+            (total + F.col("path_weight")).alias("best"),
+            zero.alias("value"),
+            handed.alias("handed"),
+            none.alias("level"),
         )
-        if waiting is not None:
-            arrived = arrived.unionByName(waiting)
+        rows = F.when(F.col("dst").isNull(), F.array(own)).otherwise(F.array(own, arrival))
         merged = (
-            arrived.groupBy("dst", "degree", "weight")
-            .agg(F.sum("seen").alias("seen"), F.max("wave").alias("wave"), F.max("best").alias("best"))
-            .withColumn("settled", F.col("seen") == F.col("degree"))
+            walked.select(F.explode(rows).alias("n"))
+            .groupBy("n.node_id")
+            .agg(
+                F.max("n.degree").alias("degree"),
+                F.max("n.weight").alias("weight"),
+                F.max("n.own").alias("own"),
+                (F.max("n.seen") + F.sum("n.arrived")).alias("seen"),
+                F.max("n.wave").alias("wave"),
+                F.max("n.best").alias("best"),
+                (_modulo(F.max("n.value") + F.sum(F.col("n.handed").cast("decimal(20,0)"))) if hashed else zero).alias("value"),
+                F.max("n.level").alias("level"),
+            )
         )
-        here, counts = materialize(
-            merged,
-            f"{path}/round-{len(rounds)}",
-            ["settled"],
-            rows=F.count_if(F.col("settled")),
-        )
-        waiting = here.where(~F.col("settled")).drop("settled")
-        settled = here.where("settled").select(
-            F.col("dst").alias("node_id"), "wave", (F.col("best") + F.col("weight")).alias("total")
-        )
-        rounds.append(settled)
-    heads = _all_rounds(spark, rounds)
-    below = graph.folded.join(
-        heads.select(F.col("node_id").alias("head"), F.col("wave").alias("_wave"), "total"), "head"
-    ).select(
+        settled = F.when(F.col("level").isNull() & (F.col("seen") == F.col("degree")), level + 1)
+        state = merged.withColumn("level", F.coalesce("level", settled))
+    return state
+
+
+def _settled_heads(graph: _Collapsed, path: str, hashed: bool) -> DataFrame:
+    """``node_id, wave, total, print`` of every head whose dependencies run out: the longest path to it in edges, the
+    largest sum of weights on a path to and including it, and its fingerprint. A head is settled in the step in which
+    its last dependency was; each link is used once."""
+    zero = F.lit(0).cast("bigint")
+    state = graph.heads.where(F.col("degree") == 0).select(
         "node_id",
+        "degree",
+        "weight",
+        "own",
+        zero.alias("seen"),
+        zero.alias("wave"),
+        F.lit(0.0).alias("best"),
+        zero.alias("value"),
+        F.lit(0).alias("level"),
+    )
+    newest = F.count_if(F.col("level") == LEVELS)
+    paths: list[str] = []
+    while True:
+        paths.append(f"{path}/round-{len(paths)}")
+        found, counts = materialize(_settle(graph.links, state, hashed), paths[-1], newest=newest)
+        if not counts["newest"]:
+            break
+        # Heads of the last step walk on; what still waits for dependencies goes with them.
+        state = found.where(F.col("level").isNull() | (F.col("level") == LEVELS)).withColumn(
+            "level", F.when(F.col("level") == LEVELS, F.lit(0))
+        )
+    # A head that settles in the last step of a round starts the next one, which writes it again as level 0.
+    print_ = _plus(F.col("value"), F.col("own")) if hashed else zero
+    return (
+        _all_rounds(found, paths)
+        .where(F.col("level") < LEVELS)
+        .select("node_id", "wave", (F.col("best") + F.col("weight")).alias("total"), print_.alias("print"))
+    )
+
+
+def _below(graph: _Collapsed, heads: DataFrame, *columns: Column) -> DataFrame:
+    """Folded nodes, each with what ``columns`` make of its head's row (``_wave``, ``_total``, ``_print``)."""
+    above = [F.col(name).alias(f"_{name}") for name in ("wave", "total", "print")]
+    return graph.folded.join(heads.select(F.col("node_id").alias("head"), *above), "head").select("node_id", *columns)
+
+
+def longest_paths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Longest paths from the roots and the nodes that have none.
+
+    First frame: ``node_id, wave, path_weight``: the number of edges on the longest path that ends in the
+    node, and the largest sum of node weights along any path, own weight included. Second frame: nodes on a
+    cycle or behind one, which never run out of open dependencies.
+    """
+    path = scratch_path(nodes.sparkSession, "paths")
+    graph = _collapse(nodes.select("node_id", "weight", F.lit(False).alias("marked")), edges, path)
+    heads = _settled_heads(graph, path, hashed=False)
+    below = _below(
+        graph,
+        heads,
         (F.col("_wave") + F.col("hops")).alias("wave"),
-        (F.col("total") + F.col("path_weight")).alias("total"),
+        (F.col("_total") + F.col("path_weight")).alias("total"),
     )
-    paths = heads.unionByName(below).withColumnRenamed("total", "path_weight")
-    return paths, nodes.select("node_id").join(paths, "node_id", "left_anti")
+    longest = heads.select("node_id", "wave", "total").unionByName(below).withColumnRenamed("total", "path_weight")
+    return longest, nodes.select("node_id").join(longest, "node_id", "left_anti")
+
+
+def carried_fingerprints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node_id, fingerprint`` over everything a node's result depends on: its ``own`` number (below 2^61, a hash of
+    its definition and inputs) plus, for each dependency, that one's fingerprint times a factor that the edge's two ends
+    give, modulo a prime. So a node's fingerprint changes with its own number, with that of any node above it and with
+    any edge between them, but for a chance of about one in 2^60; nodes below no change keep theirs.
+
+    Maps of this kind can be composed, so chains are folded by pointer doubling as for every other question here. Nodes
+    on a cycle or behind one have no fingerprint and are left out.
+    """
+    path = scratch_path(nodes.sparkSession, "fingerprints")
+    described = nodes.select("node_id", F.lit(0.0).alias("weight"), F.lit(False).alias("marked"), "own")
+    graph = _collapse(described, edges, path)
+    heads = _settled_heads(graph, path, hashed=True)
+    carried = _plus(_times(F.col("factor"), F.col("_print")), F.col("offset"))
+    below = _below(graph, heads, carried.alias("print"))
+    return heads.select("node_id", "print").unionByName(below).withColumnRenamed("print", "fingerprint")
 
 
 def topological_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -74,17 +74,16 @@ def _stretched(events: DataFrame) -> DataFrame:
     return events.withColumn("_stretch", _stretch(F.col("sequence")))
 
 
-def suffix(events: DataFrame, watermarks: DataFrame) -> DataFrame:
-    """Events behind each scope's watermark. A scope without a watermark is new and comes whole.
+def suffix(events: DataFrame, watermarks: DataFrame, how: str = "left") -> DataFrame:
+    """Events behind each scope's watermark. A scope without a watermark is new and comes whole, or, with an ``inner``
+    join, not at all.
 
     Events in a stretch beyond the watermark's own find no mark and are new by that alone.
     """
-    return (
-        _stretched(events)
-        .join(_marks(watermarks), ["scope", "_stretch"], "left")
-        .where(F.col("_seen").isNull() | (F.col("sequence") > F.col("_seen")))
-        .drop("_seen", "_stretch")
-    )
+    marked = _stretched(events).join(_marks(watermarks), ["scope", "_stretch"], "left")
+    if how == "inner":
+        marked = marked.join(watermarks.select("scope"), "scope", "left_semi")
+    return marked.where(F.col("_seen").isNull() | (F.col("sequence") > F.col("_seen"))).drop("_seen", "_stretch")
 
 
 def assign_sequence(existing: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
@@ -160,13 +159,15 @@ def changed_history(remembered: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """Newest event per entity.
+    """Newest event per entity; parts of the entity's key may be NULL, and NULL is one value.
 
-    The aggregate carries the sequence alone, so it hashes and combines on the map side; the rows follow by a join on
-    entity and sequence. Of events that repeat a sequence number one is kept.
+    One pass: each task hands on one event per entity, so an entity with most of the ledger's events is no hot key. Of
+    events that repeat a sequence number the one with the largest hash of its columns is kept.
     """
-    newest = events.groupBy(*ENTITY_KEY).agg(F.max("sequence").alias("sequence"))
-    return events.join(newest, [*ENTITY_KEY, "sequence"], "left_semi").dropDuplicates([*ENTITY_KEY, "sequence"])
+    rest = [name for name in events.columns if name not in ENTITY_KEY]
+    place = F.struct("sequence", F.xxhash64(*events.columns))
+    newest = events.groupBy(*ENTITY_KEY).agg(F.max_by(F.struct(*rest), place).alias("_newest"))
+    return newest.select(*[F.col(name if name in ENTITY_KEY else f"_newest.{name}") for name in events.columns])
 
 
 def nodes_of(events: DataFrame) -> DataFrame:

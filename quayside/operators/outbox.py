@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +27,24 @@ def with_effect_id(intents: DataFrame) -> DataFrame:
     )
 
 
-def actions(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
+def actions(existing: DataFrame, incoming: DataFrame, order: Column, carried: Sequence[str] = ()) -> DataFrame:
     """What each incoming intent does, taken in ``order`` (a LONG from 0 up): ``insert`` for a new identity,
     ``conflict`` where the identity exists for other content, ``refresh`` where a pending intent only points
     to another output reference, and ``noop``.
 
     Both frames: effect_id, payload_digest, output_reference; ``existing`` also has its status. Existing rows
     take part as the first row of their identity, so nothing is joined and an identity may occur any number
-    of times.
+    of times. The result keeps the columns ``carried`` of ``incoming``.
     """
     columns = ["effect_id", "payload_digest", "output_reference"]
-    rows = existing.select(
-        *columns, "status", F.lit(-1).cast("long").alias("_at"), F.lit(None).cast("long").alias("arrival")
-    ).unionAll(
-        incoming.select(
-            *columns,
-            F.lit(PENDING).alias("status"),
-            order.cast("long").alias("_at"),
-            order.cast("long").alias("arrival"),
-        )
+    rows = incoming.select(
+        *columns,
+        F.lit(PENDING).alias("status"),
+        order.cast("long").alias("_at"),
+        order.cast("long").alias("arrival"),
+        *carried,
+    ).unionByName(
+        existing.select(*columns, "status", F.lit(-1).cast("long").alias("_at")), allowMissingColumns=True
     )
     holder = F.struct("payload_digest", "status")
     held = ordered.first_value(rows, ["effect_id"], F.col("_at"), holder, "_held")
@@ -63,7 +64,7 @@ def actions(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFram
     return (
         conflicts.unionByName(kept)
         .where(F.col("arrival").isNotNull())
-        .select("arrival", *columns, "action")
+        .select("arrival", *columns, *carried, "action")
     )
 
 

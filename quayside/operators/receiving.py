@@ -25,19 +25,14 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
 def key_versions(lines: DataFrame) -> DataFrame:
     """Distinct rows with ``versions``, the number of distinct rows that share their line key (NULL = NULL).
 
-    Rows are counted per key with map-side partial sums, and only keys of several versions go on to the join, repeated
-    once per salt: the rows of one key, however many, meet their count in as many tasks as there are salts. A row that
-    finds no count is the only one of its key.
+    Rows are counted per key and salt first, with map-side partial sums, then per key, which keeps the set of its salts.
+    Only keys of several versions go on to the join, once for each salt that occurs: at most as often as they have rows.
+    The rows of one key, however many, meet their count in as many tasks as there are salts. A row that finds no count
+    is the only one of its key.
     """
-    distinct = dedup_lines(lines)
-    several = (
-        distinct.groupBy(*LINE_KEY)
-        .agg(F.count(F.lit(1)).alias("_versions"))
-        .where(F.col("_versions") > 1)
-        .select(*LINE_KEY, "_versions", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    )
     rest = [name for name in LINE_COLUMNS if name not in LINE_KEY]
-    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    salted = dedup_lines(lines).withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    several = conflicting_keys(salted)
     same = F.col("l._salt") == F.col("r._salt")
     for name in LINE_KEY:
         same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
@@ -46,6 +41,16 @@ def key_versions(lines: DataFrame) -> DataFrame:
     )
 
 
+def conflicting_keys(salted: DataFrame) -> DataFrame:
+    """Line keys of several distinct rows with their number, one row per ``_salt`` among those rows."""
+    per_salt = salted.groupBy(*LINE_KEY, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
+    # A key has SALTS salts at most, so its list is short.
+    per_key = per_salt.groupBy(*LINE_KEY).agg(
+        F.sum("_rows").alias("_versions"), F.collect_list("_salt").alias("_salts")
+    )
+    return per_key.where(F.col("_versions") > 1).select(*LINE_KEY, "_versions", F.explode("_salts").alias("_salt"))
+
+
 def catalog_check(products: DataFrame) -> DataFrame:
     """One row: catalog size, distinct SKUs, incomplete rows, and whether the catalog may be used."""
     incomplete = F.lit(False)

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.contracts import SAFE_STRATEGIES, SUCCESS_STATES
-from quayside.functions.digest import CHUNKS, canonical_json, hash_sums
+from quayside.functions.digest import WORDS, dataset_digest, row_hash
 
 
 def _combined(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One order-free fingerprint over all rows of ``key``. Sums of hashes combine on the map side, so a key
     with very many rows is never listed in one place."""
-    hashed = rows.select(key, F.sha2(canonical_json(columns), 256).alias("_hash"))
-    summed = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *hash_sums(F.col("_hash")))
-    parts = [F.col("_rows").cast("string"), *[F.col(f"sum_{i}") for i in range(CHUNKS)]]
+    summed = dataset_digest(rows.select(key, *columns), key)
+    parts = [F.col("row_count").cast("string"), *[F.col(f"sum_{i}") for i in range(WORDS)]]
     return summed.select(key, F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
 
 
@@ -44,7 +43,7 @@ def input_fingerprints(definitions: DataFrame, dependencies: DataFrame, columns:
         "node_id",
         ["dependency", "status", "output", "digest", "row_count"],
     ).withColumnRenamed("fingerprint", "_upstream")
-    own = definitions.select("node_id", F.sha2(canonical_json(columns), 256).alias("_own"))
+    own = definitions.select("node_id", row_hash(definitions, columns).alias("_own"))
     return own.join(upstream, "node_id", "left").select(
         "node_id", F.sha2(F.concat_ws("|", "_own", F.coalesce("_upstream", F.lit(""))), 256).alias("fingerprint")
     )

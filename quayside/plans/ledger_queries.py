@@ -96,19 +96,20 @@ def ledger_prefix_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.prefix_proof(events, derived.watermarks(events))
 
 
+def row_hash_sql(columns: list[str]) -> str:
+    """Oracle text of a row's hash (LONG, STRING and BOOLEAN only)."""
+    texts = [f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')" for name in sorted(columns)]
+    return f"sha256(concat_ws(',', {', '.join(texts)}))"
+
+
 def digest_sql(columns: list[str], source: str, group: str = "") -> str:
-    """Oracle text of the order-free digest over ``columns`` (LONG, STRING and BOOLEAN only)."""
-    entries = ", ".join(f"'{name}': {name}" for name in sorted(columns))
+    """Oracle text of the order-free digest over ``columns``."""
     head = f"{group}, " if group else ""
     sums = ", ".join(
-        f"coalesce(sum(('0x' || substr(h, {i * 16 + 1}, 16))::UBIGINT::HUGEINT), 0)::VARCHAR AS sum_{i}"
-        for i in range(4)
+        f"coalesce(sum(('0x' || substr(h, {i * 8 + 1}, 8))::UBIGINT::HUGEINT), 0)::VARCHAR AS sum_{i}" for i in range(4)
     )
     tail = f" GROUP BY {group}" if group else ""
-    return (
-        f"SELECT {head}count(*) AS row_count, {sums} FROM "
-        f"(SELECT {head}sha256(to_json({{{entries}}})::VARCHAR) AS h FROM {source}){tail}"
-    )
+    return f"SELECT {head}count(*) AS row_count, {sums} FROM (SELECT {head}{row_hash_sql(columns)} AS h FROM {source}){tail}"
 
 
 QUERIES["ledger_prefix_proof"] = ledger_prefix_proof

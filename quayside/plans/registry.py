@@ -12,10 +12,11 @@ from quayside.plans import (
     mixed_queries,
     receiving_queries,
     restart_queries,
+    run_queries,
     source_queries,
 )
 
-MODULES = [receiving_queries, ledger_queries, mixed_queries, graph_queries, restart_queries, source_queries]
+MODULES = [receiving_queries, ledger_queries, mixed_queries, graph_queries, restart_queries, run_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ from quayside.operators import credentials, outbox, restart
 from quayside.plans import derived
 from quayside.plans.derived import table, with_tables
 from quayside.plans.graph_queries import node_records
-from quayside.plans.ledger_queries import digest_sql
+from quayside.plans.ledger_queries import digest_sql, row_hash_sql
 from quayside.plans.receiving_queries import receiving_plan
 
 QUERIES = {}
@@ -232,14 +232,14 @@ def input_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["input_fingerprints"] = input_fingerprints
 ORACLES["input_fingerprints"] = with_tables(
-    f"""SELECT n.node_id, sha256(sha256(to_json({{'application': 'receiving', 'code': 'code-a',
-                   'environment': 'local', 'node_id': n.node_id, 'strategy': n.strategy,
-                   'trigger': n.trigger}})::VARCHAR) || '|' || coalesce(u.fingerprint, '')) AS fingerprint
-        FROM nodes n LEFT JOIN ({_combined_sql('''(
+    f"""SELECT n.node_id, sha256({row_hash_sql(["application", "code", "environment", "node_id", "strategy", "trigger"])}
+                   || '|' || coalesce(u.fingerprint, '')) AS fingerprint
+        FROM (SELECT *, 'receiving' AS application, 'code-a' AS code, 'local' AS environment FROM nodes) n
+        LEFT JOIN ({_combined_sql('''(
             SELECT dst AS node_id, src AS dependency, CASE WHEN status = 'SKIPPED_ALREADY_SATISFIED'
                    THEN 'SUCCEEDED' ELSE status END AS status, 'accepted' AS output, digest, row_count
             FROM edges JOIN records ON src = records.node_id)''',
-            ["dependency", "status", "output", "digest", "row_count"])}) u ON u.node_id = n.node_id""",
+            ["dependency", "status", "output", "digest", "row_count"])}) u USING (node_id)""",
     "nodes",
     "edges",
     "records",

@@ -60,3 +60,15 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError("Only folders below the shared one are removed.")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard_files(spark: SparkSession, path: str, files: list[str]) -> None:
+    """Removes files of a table of this library that newer ones have taken the place of; only ones below ``path``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    for name in files:
+        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if not file.toUri().getPath().startswith(root):
+            raise ValueError("Only files of the table are removed.")
+        system.delete(file, False)

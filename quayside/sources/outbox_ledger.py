@@ -25,13 +25,17 @@ def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> di
     """Decides what each intent does against what is stored, and appends it as one commit: new identities, and pending
     ones that point to another output. A replay appends nothing; a conflict fails the batch before anything is written.
 
+    What is stored is read from the ledger's index of intents, and only from the shards of the batch's own intents.
+
     ``intents``: scope, node_id, operation, payload_digest, output_reference and the LONG column ``order``. Returns how
     many events of each kind were appended.
     """
     named = outbox.with_effect_id(intents).where("valid_operation").drop("valid_operation")
-    stored = stored_intents(ledger_table.read(spark, path))
+    shards = ledger_table.touched_shards(named, "effect_id")
+    stored = stored_intents(ledger_table.intents(spark, path, shards))
+    carried = ["scope", "node_id", "operation"]
     decided, counts = materialize(
-        outbox.actions(stored, named, F.col(order)),
+        outbox.actions(stored, named, F.col(order), carried),
         scratch_path(spark, "outbox-decided"),
         **{action: F.count_if(F.col("action") == action) for action in (*_EVENTS, "conflict")},
     )
@@ -43,22 +47,16 @@ def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> di
     payload = F.to_json(
         F.struct("scope", "node_id", "operation", "payload_digest", "output_reference", F.lit(outbox.PENDING).alias("status"))
     )
-    # Ids and references of the decided rows; the rest of an intent comes from its batch.
-    rest = named.select("effect_id", F.col(order).alias("arrival"), "scope", "node_id", "operation")
-    batch = (
-        decided.where(F.col("action").isin(*_EVENTS))
-        .join(rest, ["effect_id", "arrival"])
-        .select(
-            "scope",
-            F.lit("outbox").alias("entity_type"),
-            F.col("effect_id").alias("entity_id"),
-            F.lit(None).cast("string").alias("run_id"),
-            "node_id",
-            kind.alias("event_type"),
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"),
-            payload.alias("payload"),
-            F.col("arrival").alias("_arrival"),
-        )
+    batch = decided.where(F.col("action").isin(*_EVENTS)).select(
+        "scope",
+        F.lit("outbox").alias("entity_type"),
+        F.col("effect_id").alias("entity_id"),
+        F.lit(None).cast("string").alias("run_id"),
+        "node_id",
+        kind.alias("event_type"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"),
+        payload.alias("payload"),
+        F.col("arrival").alias("_arrival"),
     )
     ledger_table.append(spark, path, batch, "_arrival")
     return counts

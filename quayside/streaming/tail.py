@@ -16,9 +16,6 @@ from quayside.errors import DataFailure
 from quayside.sources.ledger_table import STORED_SCHEMA
 
 
-POSITION_SCHEMA = StructType([StructField("scope", StringType()), StructField("sequence", LongType())])
-
-
 def require_continuation(positions: DataFrame, batch: DataFrame) -> None:
     """Every scope of ``batch`` must go on with the number after its newest one in ``positions``."""
     have = positions.groupBy("scope").agg(F.max("sequence").alias("_have"))
@@ -43,27 +40,31 @@ def seen_events(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).parquet(f"{target}/events/batch=*")
 
 
-def _positions(spark: SparkSession, target: str, before: int) -> DataFrame:
-    """Newest sequence per scope and batch, of the batches ahead of ``before``. The events stay unread."""
+def positions(spark: SparkSession, target: str, before: int) -> DataFrame:
+    """Newest sequence per scope, of all that was taken over ahead of batch ``before``: one row per scope, as the batch
+    ahead of it left them. The events stay unread."""
+    schema = StructType([StructField("scope", StringType()), StructField("sequence", LongType())])
     if before == 0:
-        return spark.createDataFrame([], POSITION_SCHEMA)
-    stored = StructType([*POSITION_SCHEMA.fields, StructField("batch", LongType())])
-    return spark.read.schema(stored).parquet(f"{target}/positions").where(F.col("batch") < before)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{target}/positions/batch={before - 1}")
 
 
 def follow(spark: SparkSession, ledger_path: str, target: str, checkpoint: str) -> StreamingQuery:
     """Take over all events that arrived since the last call.
 
-    A batch that is repeated after a failure replaces its own folders, so nothing is taken over twice.
+    Each batch writes its events, and all scopes' positions anew from those of the batch before. A batch that is
+    repeated after a failure replaces its own folders, so nothing is taken over twice.
     """
 
     def take_over(batch: DataFrame, number: int) -> None:
-        require_continuation(_positions(batch.sparkSession, target, number), batch)
+        have = positions(batch.sparkSession, target, number)
+        require_continuation(have, batch)
         batch.write.mode("overwrite").parquet(f"{target}/events/batch={number}")
-        newest = batch.groupBy("scope").agg(F.max("sequence").alias("sequence"))
+        newest = batch.select("scope", "sequence").unionByName(have).groupBy("scope").agg(F.max("sequence").alias("sequence"))
         newest.write.mode("overwrite").parquet(f"{target}/positions/batch={number}")
 
-    events = spark.readStream.schema(STORED_SCHEMA).parquet(ledger_path).select(*EVENT_SCHEMA.names)
+    stored = spark.readStream.schema(STORED_SCHEMA).parquet(ledger_path)
+    events = stored.where(F.col("kind") == "event").select(*EVENT_SCHEMA.names)
     return (
         events.writeStream.foreachBatch(take_over)
         .option("checkpointLocation", checkpoint)

@@ -27,8 +27,8 @@ def test_follower_takes_each_event_once_and_stops_at_a_hole(spark):
     follow()
     follow()
     assert seen() == [("a", 1, "X"), ("a", 2, "Y"), ("b", 1, "X")]
-    hole = event_batch(spark, [(0, "a", "n", "Z", "{}")]).drop("at").selectExpr("*", "9L AS sequence", "'00' AS shard")
-    hole.write.partitionBy("shard").mode("append").parquet(path)
+    hole = event_batch(spark, [(0, "a", "n", "Z", "{}")]).drop("at").selectExpr("*", "9L AS sequence", "'00' AS shard", "'event' AS kind")
+    hole.write.partitionBy("shard", "kind").mode("append").parquet(path)
     with pytest.raises(Exception, match="continue"):
         follow()
     assert len(seen()) == 3
