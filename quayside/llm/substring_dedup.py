@@ -1,14 +1,16 @@
 """Removes passages of ``window`` words that an earlier document holds too, with a count-min prefilter.
 
 1. Each window's anchor is the last smallest hash of the ``GRAM``-word grams inside it, so equal windows have equal
-   anchors at equal distances, and an anchor is seen at least as often as any of its windows. Each partition sketches
-   its anchors, once per document, and the sketches are merged by adding. The table is split into blocks of fixed size
-   whose number follows the corpus, so a block's counts never leave its task.
-2. A window is estimated repeated if all count-min rows give its anchor two or more. Estimates are never too low: no
-   repeated window is lost.
+   anchors at equal distances, and an anchor is seen at least as often as any of its windows. Each slice of a partition
+   counts its anchors, once per document, into the cells of ``ROWS`` hash rows; the cells of all slices are summed by a
+   Spark aggregate, whose map side merges the sketches of a partition. The sketch has one cell space whose size follows
+   the corpus; only cells that were hit are rows, so it is never held in one place.
+2. A window is estimated repeated if each row gives its anchor two or more. Estimates are never too low: no repeated
+   window is lost. An anchor that two documents of one slice hold is known to be repeated; the others look themselves up
+   in the merged cells, once per slice, by joins whose sides are plain, so that AQE can split a cell that many ask for.
 3. A second pass over the texts hashes only those windows, to 128 bits. Equal ones meet in a bucket, where all but
    those of the smallest document are marked. Each partition first drops what it can decide itself: of the copies of a
-   window only its earliest goes on.
+   window only its earliest goes on. So a passage in a third of all documents reaches a task once per slice.
 4. Marks return to the documents.
 
 Null and empty texts have no words. Null doc_ids come before all others. Rows with the same doc_id and text are one
@@ -42,12 +44,12 @@ from quayside.llm.common import (
     window_hashes,
 )
 from quayside.llm.repeats import NAME, by_rows, covered, dealt_by_document, named, struct_column, with_marks
+from quayside.session import materialize, scratch_path
 
 WINDOW = 50
 GRAM = 8
-CELLS = 1 << 21  # counters in a row of a block
-ROWS = 2  # of the count-min table
-LOAD = 0.1  # anchors per counter that the number of blocks is chosen for
+ROWS = 2  # of the count-min sketch
+LOAD = 0.1  # anchors per cell of a row that the number of cells is chosen for
 BUCKET_BYTES = 24_000_000  # of windows that meet in one task, about
 SECOND = 0xD6E8FEB86659FD93
 
@@ -67,8 +69,9 @@ def _anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return grams[place], low, high, words
 
 
-def repeated_anchors(docs: DataFrame, blocks: int, window: int) -> DataFrame:
-    """oid, rk, low, high: the runs of window starts whose anchor is estimated to be in two documents or more."""
+def slice_sketches(docs: DataFrame, cells: int, window: int) -> DataFrame:
+    """Per slice and anchor: ``cells`` (its cell in each row of the sketch), ``documents`` of the slice that hold it (two
+    stands for more), and ``runs`` (oid, rk, low, high): the runs of window starts that it serves in them."""
 
     def sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text"):
@@ -80,28 +83,51 @@ def repeated_anchors(docs: DataFrame, blocks: int, window: int) -> DataFrame:
                 if len(found):
                     held.append((found, low, high, np.full(len(found), oid), np.full(len(found), rk, np.int32)))
             if held:
-                found, low, high, oid, rk = (np.concatenate(column) for column in zip(*held, strict=True))
-                columns = {"hash": found, "oid": oid, "rk": rk, "low": low.astype("<i4"), "high": high.astype("<i4")}
-                block = ((found >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-                yield packed_rows(by_bucket(block, columns), list(columns))
-
-    def merge(table: pa.Table) -> pa.Table:
-        kinds = {"hash": "<u8", **NAME, "low": "<i4", "high": "<i4"}
-        held = unpacked(table, kinds)
-        order = np.lexsort((held["hash"], held["rk"], held["oid"]))
-        hashes, oid, rk = held["hash"][order], held["oid"][order], held["rk"][order]
-        first = np.r_[True, (hashes[1:] != hashes[:-1]) | (oid[1:] != oid[:-1]) | (rk[1:] != rk[:-1])]
-        estimate = None
-        for row in range(ROWS):
-            spread = mixed(held["hash"] + np.uint64(row * SECOND & (1 << 64) - 1))
-            cell = (spread & np.uint64(CELLS - 1)).astype(np.int64)
-            counts = np.bincount(cell[order][first], minlength=CELLS)
-            estimate = counts[cell] if estimate is None else np.minimum(estimate, counts[cell])
-        keep = estimate >= 2
-        return pa.table({name: held[name][keep] for name in ("oid", "rk", "low", "high")})
-
-    packed = by_rows(docs, sketch, "bucket bigint, hash binary, oid binary, rk binary, low binary, high binary")
-    return packed.groupBy("bucket").applyInArrow(merge, "oid bigint, rk int, low int, high int")
+                yield _sketch_rows(*(np.concatenate(column) for column in zip(*held, strict=True)), cells)
+
+    fields = "array<struct<oid: bigint, rk: int, low: int, high: int>>"
+    return by_rows(docs, sketch, f"cells array<bigint>, documents int, runs {fields}")
+
+
+def _sketch_rows(
+    found: np.ndarray, low: np.ndarray, high: np.ndarray, oid: np.ndarray, rk: np.ndarray, cells: int
+) -> pa.RecordBatch:
+    order = np.lexsort((rk, oid, found))
+    found, low, high, oid, rk = (values[order] for values in (found, low, high, oid, rk))
+    new = np.r_[True, found[1:] != found[:-1]]
+    other = ~new & np.r_[False, (oid[1:] != oid[:-1]) | (rk[1:] != rk[:-1])]
+    starts = np.flatnonzero(new)
+    documents = 1 + np.minimum(np.add.reduceat(other, starts), 1)
+    rows = [
+        (mixed(found[starts] + np.uint64(row * SECOND & (1 << 64) - 1)) % np.uint64(cells)).astype(np.int64) + row * cells
+        for row in range(ROWS)
+    ]
+    runs = pa.StructArray.from_arrays(
+        [pa.array(oid), pa.array(rk), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+        ["oid", "rk", "low", "high"],
+    )
+    place = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * np.int32(ROWS))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.ListArray.from_arrays(place, pa.array(np.stack(rows, 1).ravel())),
+            pa.array(documents.astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.r_[starts, len(found)].astype(np.int32)), runs),
+        ],
+        ["cells", "documents", "runs"],
+    )
+
+
+def repeated_anchors(docs: DataFrame, cells: int, window: int) -> DataFrame:
+    """oid, rk, low, high: the runs of window starts whose anchor is estimated to be in two documents or more."""
+    seen = slice_sketches(docs, cells, window)
+    counts = seen.select(F.explode("cells").alias("cell"), "documents").groupBy("cell").agg(F.sum("documents").alias("n"))
+    # Written, the merged sketch is a plain side of the joins.
+    full, _ = materialize(counts.where("n >= 2").select("cell"), scratch_path(docs.sparkSession, "sketch"))
+    known = seen.where("documents > 1").select("runs")
+    asking = seen.where("documents = 1")
+    for row in range(ROWS):
+        asking = asking.join(full, F.get("cells", F.lit(row)) == F.col("cell"), "left_semi")
+    return known.unionByName(asking.select("runs")).select(F.inline("runs"))
 
 
 def _first_of_each(keys: list[np.ndarray], oid: np.ndarray, rk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +216,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, documents: DataFrame | None
     size = text_bytes(docs)
     base = named(docs)
     anchors_likely = size / 6 / ((window - GRAM + 2) / 2)
-    live = repeated_anchors(base, bucket_count(anchors_likely, LOAD * CELLS), window)
+    live = repeated_anchors(base, bucket_count(anchors_likely, LOAD, 1 << 20), window)
     joined = with_marks(documents or dealt_by_document(base), live, ["low", "high"], "inner")
     return repeated_windows(joined, bucket_count(size / 6 * 28 / 4, BUCKET_BYTES), window)
 

@@ -8,11 +8,17 @@
    that agree in their first ``PERIOD`` bytes are told apart by the ranks of a difference-cover sample: for any two
    positions there is a step below ``PERIOD`` that brings both onto the sample, whose ranks (over ``DEPTH`` bytes) were
    computed for the block beforehand by doubling in steps of the period. The last bytes settle what is left.
-   The memory of a task is that of its block, whose size is fixed: the number of blocks follows the corpus.
+   The number of blocks follows the corpus, so a block has a fixed size but for its largest bucket.
 3. The first suffix of a bucket is its earliest, so what equals it is marked; marks return to their documents.
 
+Hot anchors (a line in a third of all documents, amid different text) are found in a sample of the documents before the
+first step: those with at least one ``HOT_SHARE``-th of its anchors, so at most ``HOT_SHARE`` of them, whose hashes are
+broadcast. Each string around a hot anchor gets an anchor of its own, the hash of all its bytes: unequal strings part
+company before any text is sent, and only those that occur again go to a bucket. The sample decides the path alone, not
+the result. A bucket then holds at most about one ``HOT_SHARE``-th of the corpus' stretches.
+
 Anchors and stretches that occur several times in one slice of a partition are settled there; only the earliest goes
-on, so a passage in a third of all documents isn't gathered in one task.
+on, so a passage in a third of all documents reaches its bucket once per slice.
 
 Null and empty texts have no bytes. Null doc_ids come before all others. Rows with the same doc_id and text are one
 document and give a row each; rows with the same doc_id and different texts are two documents, in the order of a hash.
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quayside.llm.common import (
     bucket_count,
@@ -41,6 +48,7 @@ from quayside.llm.common import (
     window_hashes,
 )
 from quayside.llm.repeats import NAME, by_rows, covered, dealt_by_document, named, struct_column, with_marks
+from quayside.session import materialize, scratch_path
 
 WINDOW = 100
 GRAM = 32
@@ -50,6 +58,9 @@ DEPTH = WINDOW - PERIOD + 1
 ANCHOR_BYTES = 8_000_000  # of anchors that meet in one task, about
 BLOCK_BYTES = 3_000_000  # of text that one task sorts, about
 SLICE_BYTES = 4_000_000  # of text whose stretches are packed together
+SAMPLED = 16  # one document in so many is looked at for hot anchors
+HOT_SHARE = 1 << 20
+HOT_LEAST = 200  # times that a hot anchor occurs in the sample at least
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -88,15 +99,50 @@ def slice_anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...
     return grams[at[cuts]], row[low], low, high, at[cuts]
 
 
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    """Hashes of the anchors that are common in a sample of the documents: ``HOT_SHARE`` at most, 8 MB."""
+    sample = docs.where(F.pmod(F.xxhash64("oid", "rk"), F.lit(SAMPLED)) == 0)
+
+    def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batch, "text", SLICE_BYTES // 4):
+            hashes, counts = np.unique(slice_anchors(*joined_bytes(part.column("text")))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
+
+    seen = by_rows(sample, find, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    often, counts = materialize(
+        seen.where(F.col("n") >= HOT_LEAST), scratch_path(docs.sparkSession, "often"), total=F.sum("n")
+    )
+    # Their sum is at least HOT_SHARE times the least of them, so there are no more than HOT_SHARE.
+    hot = often.where(F.col("n") * HOT_SHARE >= counts["total"]).select("hash").toArrow()
+    return np.sort(hot.column("hash").to_numpy().view(np.uint64))
+
+
+def parted_hot(data: np.ndarray, held: tuple[np.ndarray, ...], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The anchors of a slice, where each string around a hot one has an anchor of its own, named by all its bytes."""
+    hashes, row, low, high, place = held
+    at = np.searchsorted(hot, hashes)
+    is_hot = np.r_[hot, np.uint64(0)][at] == hashes
+    is_hot &= at < len(hot)
+    if not is_hot.any():
+        return held
+    count = (high - low + 1)[is_hot]
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[is_hot], count)
+    strings = window_hashes(BYTE_VALUES[data], WINDOW, 0xC2B2AE3D27D4EB4F)[start]
+    rest = [values[~is_hot] for values in held]
+    added = [strings, np.repeat(row[is_hot], count), start, start, start]
+    return tuple(np.concatenate(pair) for pair in zip(rest, added, strict=True))
+
+
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """oid, rk, hash, low, more, shift: the anchors that occur more than once. They serve the string starts from low
     to low + more and stand at low + shift."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs))
     columns = {"hash": "<u8", **NAME, "low": "<i4", "more": "u1", "shift": "u1", "known": "u1"}
 
     def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text", SLICE_BYTES // 4):
             data, starts = joined_bytes(part.column("text"))
-            hashes, row, low, high, place = slice_anchors(data, starts)
+            hashes, row, low, high, place = parted_hot(data, slice_anchors(data, starts), hot.value)
             if not len(hashes):
                 continue
             order = np.argsort(hashes, kind="stable")
