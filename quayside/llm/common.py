@@ -35,6 +35,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """The fold that labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
 def order_id(doc_id: str = "doc_id") -> Column:
     """The document id as an order that nulls come first in."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))

@@ -24,7 +24,7 @@ from quayside.llm import (
     vector_codes,
     warc,
 )
-from quayside.llm.common import read, ship
+from quayside.llm.common import held_out, read, ship
 from quayside.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,11 +43,6 @@ def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
     return run
 
 
-def held_out() -> F.Column:
-    """The fold that labels are never learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-
-
 @registered
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
@@ -102,13 +97,15 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
     narrow = docs.select("doc_id", "text", "source", "lang")
     load = token_rollup.events_of(narrow, "words/1", "insert", 1)
-    hashed = narrow.select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"))
+    part = token_rollup.part_of(narrow).alias("part")
+    hashed = narrow.select("doc_id", part, "source", "lang", F.sha2("text", 256).alias("h"))
     first = hashed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first"))
     versions = F.explode(F.array(*[F.lit(v) for v in token_rollup.COUNTERS])).alias("tokenizer")
 
     def events(rows: DataFrame, op: str, count: int | None) -> DataFrame:
         return rows.select(
             "doc_id",
+            "part",
             versions,
             F.lit(1).cast("long").alias("seq"),
             F.lit(op).alias("op"),
@@ -118,12 +115,13 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     copies = hashed.join(first, "h").where("doc_id > first")
-    toxic = narrow.select("doc_id", "source", "lang").join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    toxic = narrow.select("doc_id", part, "source", "lang").join(labels.where("toxic = 1"), "doc_id", "left_semi")
     takedown = events(toxic, "delete", None)
     rollup.commit("load", load)
     rollup.commit("second-version", token_rollup.events_of(narrow, "words/2", "insert", 1))
     rollup.commit("copies", events(copies, "revise", 0))
     rollup.commit("takedown", takedown)
+    rollup.compact()
     rollup.commit("takedown", takedown)
     rollup.commit("load", load)
     return rollup.totals()
@@ -176,12 +174,27 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sql_unescaped(text: str) -> str:
+    """Reads each character reference once: the text between them and what they stand for, in turns."""
+
+    def listed(values: dict) -> str:
+        return "MAP {" + ", ".join(f"{_literal(str(k))}: {_literal(v)}" for k, v in values.items()) + "}"
+
+    code = "(CASE WHEN lower(e[3]) = 'x' THEN ('0x' || e[4:-2])::INT ELSE e[3:-2]::INT END)"
+    valid = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE chr(65533) END"
+    one = (
+        f"CASE WHEN e IS NULL THEN '' WHEN e[2] = '#' THEN coalesce({listed(warc.WINDOWS)}[{code}::VARCHAR], {valid}) "
+        f"ELSE coalesce({listed(warc.NAMED)}[e[2:-2]], e) END"
+    )
+    found = f"list_transform(regexp_extract_all({text}, {_literal(warc.ENTITY)}), lambda e: {one})"
+    between = f"regexp_split_to_array({text}, {_literal(warc.ENTITY)})"
+    return f"array_to_string(list_transform(list_zip({between}, {found}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
 def _sql_plain_text(html: str) -> str:
     text = f"regexp_replace({html}, {_literal('(?is)' + warc.HIDDEN)}, ' ', 'g')"
     text = f"regexp_replace({text}, {_literal('(?i)' + warc.BREAKS)}, chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for entity, sign in warc.ENTITIES.items():
-        text = f"replace({text}, {_literal(entity)}, {_literal(sign)})"
+    text = _sql_unescaped(f"regexp_replace({text}, {_literal(warc.TAG)}, '', 'g')")
     text = f"regexp_replace({text}, '[ \\t\\r\\f ]+', ' ', 'g')"
     return f"trim(regexp_replace({text}, ' ?\\n[\\n ]*', chr(10), 'g'), ' ' || chr(10))"
 
@@ -230,15 +243,15 @@ SELECT page_id, 'conversion', tid, refers_to, mid, target_uri, 'text/plain; char
 
 ORACLES["op6_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS t FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS t
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id,
     coalesce(list_sum(list_transform(list_zip(q.t, c.t), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::int AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
@@ -249,11 +262,11 @@ WITH d AS (
     text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS copied,
     coalesce(len(regexp_extract_all(text, {_literal(token_rollup.COUNTERS['words/1'])})), 0) AS n1,
     coalesce(len(regexp_extract_all(text, {_literal(token_rollup.COUNTERS['words/2'])})), 0) AS n2
-  FROM documents
+  FROM (SELECT DISTINCT doc_id, text, source, lang FROM documents)
 ), e AS (
   SELECT source, lang, unnest(['words/1', 'words/2']) AS tokenizer,
     unnest(CASE WHEN copied THEN [0, 0] ELSE [n1, n2] END) AS n
-  FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+  FROM d WHERE NOT coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false)
 )
 SELECT source, lang, tokenizer, count(*)::bigint AS docs, sum(n)::bigint AS tokens
 FROM e GROUP BY source, lang, tokenizer
@@ -327,10 +340,11 @@ WITH w AS (
   SELECT w.*, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars,
     len(regexp_extract_all(rest, {_literal(quality.SYMBOLS)}))::bigint AS n_symbols,
     coalesce(l.n, 0)::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words,
-    [length(text) - length(rest), {classes}] AS known, [{common}] AS common
+    [length(text) - length(rest), {classes}] AS known, [{common}] AS listed
   FROM w LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)
 ), c AS (
   SELECT *, list_append(known, length(text) - list_sum(known)::bigint) AS classes,
+    list_append(listed, len(words) - list_sum(listed)::bigint) AS common,
     n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed
   FROM b
 ), e AS (
@@ -345,7 +359,7 @@ WITH w AS (
   SELECT c.*, bins[1:{size}] AS ref_classes, bins[{size + 1}:] AS ref_common FROM c LEFT JOIN f USING (lang)
 ), k AS (
   SELECT *, CASE WHEN list_sum(classes) >= {quality.LEAST_CHARS} THEN {expanded("classes", "ref_classes")} END AS dc,
-    CASE WHEN list_sum(common) >= {quality.LEAST_COMMON} THEN {expanded("common", "ref_common")} END AS dw
+    CASE WHEN n_words >= {quality.LEAST_COMPARED} THEN {expanded("common", "ref_common")} END AS dw
   FROM j
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -60,7 +60,7 @@ BLOCK_BYTES = 3_000_000  # of text that one task sorts, about
 SLICE_BYTES = 4_000_000  # of text whose stretches are packed together
 SAMPLED = 16  # one document in so many is looked at for hot anchors
 HOT_SHARE = 1 << 20
-HOT_LEAST = 200  # times that a hot anchor occurs in the sample at least
+HOT_LEAST = BLOCK_BYTES // (WINDOW + GRAM) // SAMPLED  # times in the sample; fewer stretches fit a block anyway
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

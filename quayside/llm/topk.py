@@ -6,9 +6,10 @@ non-zero terms, weighted, into a dense array of scores; a partition selection ta
 are merged. Nothing is skipped, so the result is exact. Query blocks meet candidate blocks of fixed size; no pair of
 rows leaves a task unless it is among a query's best of a block.
 
-Rows with a null vec_id, a null vector, or a vector holding null or non-finite components take no part. Rows that repeat
-a vec_id count as one, with the smallest of their vectors. Vectors may differ in length: missing components are zero. An
-empty vector scores zero against all. Ties go to the smaller vec_id. An empty table gives no rows.
+Every row is a candidate of every query but its own: rows that repeat a vec_id are candidates, and queries, each. Rows
+with a null vector, or one holding null or non-finite components, take no part. Vectors may differ in length: missing
+components are zero. An empty vector scores zero against all. Ties go to the smaller vec_id, null coming last. An empty
+table gives no rows. Components whose products could leave 64 bits end the job with an error.
 """
 
 from __future__ import annotations
@@ -19,26 +20,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import bucket_count
+from quayside.llm.vectors import sound, whole, within
 from quayside.session import materialize, scratch_path
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 8192
 SCALE = 64
 DENSE = 0.25  # postings lists that hold this share of a block are kept as plain columns
 
 
+NULL_ID = 2**63 - 1  # orders rows of null vec_id behind all others
+
+
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and ``terms`` (array<bigint>) of the rows that take part, one row per vec_id."""
-    component = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("embedding").isNotNull() & F.forall(
-        component, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    )
+    """``number`` (of the row), vec_id and ``terms`` (array<bigint>) of the rows that take part."""
     return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        .where(F.col("vec_id").isNotNull() & sound)
-        .select("vec_id", F.transform(component, lambda x: F.floor(x * scale)).alias("terms"))
-        .groupBy("vec_id")
-        .agg(F.min("terms").alias("terms"))
+        vectors.where(sound())
+        .select(F.col("vec_id").cast("long").alias("vec_id"), whole(scale).alias("terms"))
+        .select(
+            F.monotonically_increasing_id().alias("number"), "vec_id", within("terms", F.size("terms")).alias("terms")
+        )
     )
 
 
@@ -53,10 +54,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def block_best(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, ids: np.ndarray, k: int):
-    """The k best of a block for each query: (query row, id, score), ties to the smaller id."""
+def block_best(
+    queries: np.ndarray, own: np.ndarray, table: np.ndarray, numbers: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, ...]:
+    """The k best of a block for each query, whose own row's number is in ``own``: (query row, row of the block, score),
+    ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    ids, table = ids[order], table[order]
+    numbers, table = numbers[order], table[order]
     terms = min(table.shape[1], queries.shape[1])
     bound = terms * int(np.abs(table).max(initial=0)) * int(np.abs(queries).max(initial=0))
     kind = np.int32 if bound < 2**31 else np.int64
@@ -64,10 +68,10 @@ def block_best(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, id
     for term in range(terms):
         column = table[:, term].astype(kind)
         held = np.flatnonzero(column)
-        postings.append((None, column) if len(held) >= DENSE * len(ids) else (held, column[held]))
-    scores, product = np.empty(len(ids), kind), np.empty(len(ids), kind)
+        postings.append((None, column) if len(held) >= DENSE * len(table) else (held, column[held]))
+    scores, product = np.empty(len(table), kind), np.empty(len(table), kind)
     found = []
-    for row, own in enumerate(query_ids):
+    for row, itself in enumerate(own):
         scores[:] = 0
         for term in np.flatnonzero(queries[row, :terms]).tolist():
             held, weights = postings[term]
@@ -77,13 +81,12 @@ def block_best(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, id
                 np.add(scores, product, out=scores)
             else:
                 scores[held] += weights * weight
-        others = ids != own
-        chosen = np.flatnonzero(others)
+        chosen = np.flatnonzero(numbers != itself)
         if len(chosen) > k:
             least = np.partition(scores[chosen], len(chosen) - k)[len(chosen) - k]
             chosen = chosen[scores[chosen] >= least]
         best = chosen[np.argsort(-scores[chosen].astype(np.int64), kind="stable")][:k]
-        found.append((np.full(len(best), row), ids[best], scores[best].astype(np.int64)))
+        found.append((np.full(len(best), row), order[best], scores[best].astype(np.int64)))
     return tuple(np.concatenate(part) if found else np.zeros(0, np.int64) for part in zip(*found, strict=True))
 
 
@@ -97,21 +100,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE)
 
     def dealt(rows: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(own)).select("*", every)
+        return rows.select("*", F.pmod(F.xxhash64("number"), F.lit(count)).cast("int").alias(own)).select("*", every)
 
     left = dealt(queries, "query_block", query_blocks, "block", blocks).groupBy("query_block", "block")
     right = dealt(held, "block", blocks, "query_block", query_blocks).groupBy("query_block", "block")
+    names = ["number", "query_id", "vec_id", "score"]
 
     def best(asked: pa.Table, block: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([(name, pa.int64()) for name in names])
         if not asked.num_rows or not block.num_rows:
             return schema.empty_table()
-        ids = asked.column("vec_id").to_numpy()
+        own, ids = asked.column("number").to_numpy(), block.column("vec_id").fill_null(NULL_ID).to_numpy()
         row, other, score = block_best(
-            _matrix(asked.column("terms")), ids, _matrix(block.column("terms")), block.column("vec_id").to_numpy(), k
+            _matrix(asked.column("terms")), own, _matrix(block.column("terms")), block.column("number").to_numpy(), ids, k
         )
-        return pa.Table.from_arrays([pa.array(ids[row]), pa.array(other), pa.array(score)], schema=schema)
+        columns = [asked.column("number").take(row), asked.column("vec_id").take(row), block.column("vec_id").take(other)]
+        return pa.Table.from_arrays([*columns, pa.array(score)], schema=schema)
 
-    parts = left.cogroup(right).applyInArrow(best, "query_id bigint, vec_id bigint, score bigint")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = left.cogroup(right).applyInArrow(best, ", ".join(f"{name} bigint" for name in names))
+    order = Window.partitionBy("number").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )

@@ -33,7 +33,6 @@ from quayside.llm.common import pieces
 from quayside.session import materialize, scratch_path
 
 TRAINING_ROWS = 30_000  # labelled rows that a fit reads at most, chosen by hash
-TERMS = 400  # lexicon entries at most
 LEAST_TOXIC = 4  # documents that a term must mark, and
 TOXIC_SHARE = 0.004  # of all toxic ones; fewer may be chance
 CLEAN_SHARE = 0.02  # of a term's documents that may be clean
@@ -267,7 +266,7 @@ def candidate_terms(rows: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 terms, stems, toxic = [], [], []
                 for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    words = {word for word in TOKEN.findall(spelled(text)) if 3 <= len(word) <= 40}
+                    words = {word for word in TOKEN.findall(spelled(text)) if len(word) >= 3}
                     begun = {word[:n] for word in words for n in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(word) - 1) + 1)}
                     terms += [*words, *begun]
                     stems += [False] * len(words) + [True] * len(begun)
@@ -281,16 +280,15 @@ def candidate_terms(rows: DataFrame) -> DataFrame:
     return seen.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
-def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float, int]]:
-    """The terms that mark toxic documents: (term, stem, weight, edits). A stem is left out if one whole word makes up
+def lexicon(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
+    """All terms that mark toxic documents by the tests below: (term, stem, weight, edits). Each stands in ``least`` of
+    the labelled documents at least, of which there are a bounded number. A stem is left out if one whole word makes up
     its documents; a stem or word is left out if a shorter stem that it begins with serves it: a word's misspellings
     too, so words stay beside a stem that allows no edit."""
     least = max(LEAST_TOXIC, TOXIC_SHARE * rows.where("toxic = 1").count())
     best = (
         candidate_terms(rows.where("toxic in (0, 1)"))
         .where((F.col("toxic") >= least) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
-        .orderBy(F.desc("toxic"), F.length("term"), "term", "stem")
-        .limit(10 * size)
         .collect()
     )
     most: dict[str, int] = {}  # the toxic documents of the commonest whole word that begins so
@@ -306,7 +304,7 @@ def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float,
                 continue
             stems.add(row.term)
         chosen.append(row)
-    chosen = sorted(chosen, key=lambda r: (-r.toxic, r.term, r.stem))[: 3 * size]
+    chosen = sorted(chosen, key=lambda r: (-r.toxic, r.term, r.stem))
     edits = edits_of(rows, [(row.term, row.stem, row.toxic) for row in chosen])
     serving = {row.term: allowed for row, allowed in zip(chosen, edits, strict=True) if row.stem}
 
@@ -316,7 +314,7 @@ def lexicon(rows: DataFrame, size: int = TERMS) -> list[tuple[str, bool, float,
 
     kept = [(row, allowed) for row, allowed in zip(chosen, edits, strict=True) if not served(row, allowed)]
     return [
-        (row.term, row.stem, math.log((row.toxic + 0.5) / (row.clean + 0.5)), allowed) for row, allowed in kept[:size]
+        (row.term, row.stem, math.log((row.toxic + 0.5) / (row.clean + 0.5)), allowed) for row, allowed in kept
     ]
 
 

@@ -28,11 +28,17 @@ def largest(dimensions: int) -> int:
     return min(2**31 - 1, isqrt(2**62 // max(dimensions, 1)) // 2)
 
 
-def within(terms: str, dimensions: int) -> Column:
-    """``terms``; components beyond what 64-bit distances allow end the job with a message instead of a wrong result."""
-    beyond = F.exists(terms, lambda x: F.abs(x) > largest(dimensions))
-    message = F.lit(f"A vector component is beyond {largest(dimensions)} after scaling.")
-    return F.when(beyond, F.raise_error(message).cast("array<bigint>")).otherwise(F.col(terms))
+def within(terms: str, dimensions: int | Column) -> Column:
+    """``terms``; components beyond what 64-bit distances allow end the job with a message instead of a wrong result.
+    With the vector's own size for ``dimensions``, inner products of vectors of any sizes fit too."""
+    if isinstance(dimensions, int):
+        most = F.lit(largest(dimensions))
+    else:
+        # A little below ``largest``, which rounds down as well.
+        root = F.floor(F.sqrt(F.lit(float(2**62)) / F.greatest(dimensions, F.lit(1)))) - 1
+        most = F.least(F.lit(2**31 - 1).cast("bigint"), F.floor(root / 2))
+    beyond = F.exists(terms, lambda x: ~x.between(-most, most))
+    return F.when(beyond, F.raise_error(F.lit("A vector component is beyond 64-bit arithmetic after scaling.")).cast("array<bigint>")).otherwise(F.col(terms))
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:

@@ -220,3 +220,76 @@ def test_anchors_serve_each_window_once():
     assert low[0] == 0 and high[-1] == 480 and (low[1:] == high[:-1] + 1).all()
     for p, a, b in zip(place, low, high, strict=True):
         assert a <= p < a + 20 and b <= p < b + 20
+
+
+def hot_documents(count: int) -> list[tuple]:
+    """A 60-byte line and a 60-word passage, each in a third of all documents, amid different text."""
+    rng = np.random.default_rng(count)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+
+    def words(n: int) -> str:
+        return " ".join(letters[rng.integers(0, 26, rng.integers(2, 9))].tobytes().decode() for _ in range(n))
+
+    line, passage = words(40)[:60], words(60)
+    return [
+        (i, " ".join([words(20), line if i % 3 == 0 else "", words(12), passage if i % 3 == 1 else "", words(20)]))
+        for i in range(count)
+    ]
+
+
+def plain_string_removals(rows, window):
+    """(doc_id, n_removed) by every string of ``window`` bytes."""
+    seen, out = set(), []
+    for doc, text in rows:
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - window + 1):
+            piece = data[i : i + window]
+            if piece in seen:
+                gone[i : i + window] = True
+            seen.add(piece)
+        out.append((doc, int(gone.sum())))
+    return out
+
+
+def test_hot_anchors_change_nothing(spark, monkeypatch):
+    rows = hot_documents(240)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = plain_string_removals(rows, suffix_dedup.WINDOW)
+    for least, sampled in ((10, 1), (1, 1), (10**9, 16)):
+        monkeypatch.setattr(suffix_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", sampled)
+        found = suffix_dedup.removals(docs).select("doc_id", "n_removed").collect()
+        assert sorted(map(tuple, found)) == expected
+
+
+def test_hot_line_leaves_no_large_bucket(spark, monkeypatch):
+    """The stretches that meet at one anchor don't grow with the number of documents that hold the line."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 4000)
+    largest = []
+    for count in (150, 600):
+        docs = spark.createDataFrame(hot_documents(count), "doc_id long, text string").repartition(4)
+        live = suffix_dedup.repeated_anchors(suffix_dedup.named(docs), 3)
+        texts = live.groupBy("hash").agg(F.sum(F.col("more") + 1).alias("starts"), F.max("more").alias("more"))
+        largest.append(texts.where("more > 0").agg(F.max("starts")).first()[0] or 0)
+    assert max(largest) <= 20 * suffix_dedup.WINDOW
+
+
+def test_hot_passage_asks_once_per_slice(spark):
+    docs = spark.createDataFrame(hot_documents(300), "doc_id long, text string").repartition(4)
+    seen = substring_dedup.slice_sketches(substring_dedup.named(docs), 1 << 20, 50)
+    asked = seen.select(F.get("cells", F.lit(0)).alias("c"), "documents").groupBy("c")
+    top = asked.agg(F.count(F.lit(1)).alias("rows"), F.sum("documents").alias("n")).orderBy(F.desc("n")).first()
+    assert top.rows <= 4 and top.n <= 2 * top.rows
+
+
+def test_sketch_never_counts_too_low(spark):
+    """With very few cells nearly everything is estimated repeated, and results stay."""
+    rows = hot_documents(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = substring_dedup.named(docs)
+    exact = {tuple(r) for r in substring_dedup.repeated_anchors(base, 1 << 40, 50).collect()}
+    rough = {tuple(r) for r in substring_dedup.repeated_anchors(base, 64, 50).collect()}
+    assert exact and exact <= rough and len(rough) > 2 * len(exact)

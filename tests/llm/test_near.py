@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quayside.llm import jaccard, simhash
+from quayside.llm import jaccard, simhash, toxicity
+from quayside.llm.common import held_out
+from tests.llm.test_tables import plain_verdicts
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -142,3 +144,64 @@ def test_near_ones_beyond_the_first_on_the_other_side():
     for _ in range(4):
         reached |= {x for pair in links.tolist() for x in pair if reached & set(pair)}
     assert reached == {0, 1, 2, 3}
+
+
+def template_texts(seed: int, count: int, shared: int, own: int) -> list[str]:
+    rng = random.Random(seed)
+
+    def words(n: int) -> list[str]:
+        return ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+    block = words(shared)
+    return [" ".join(block + words(own)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("shared,own", [(100, 130), (100, 75)])
+def test_texts_of_one_template_make_no_large_group(spark, shared, own):
+    """600 texts that share a block, about 0.3 and 0.4 similar, and ten near copies among them."""
+    texts = template_texts(7, 600, shared, own)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[50 * i] + " end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.entries(docs, 5)
+    groups = jaccard.components(jaccard.candidate_links(found)).groupBy("root").count()
+    assert groups.agg({"count": "max"}).first()[0] <= 8
+    classes = {r.doc_id: r.class_id for r in jaccard.near_duplicates(docs, 5).collect()}
+    assert all(classes[1000 + i] == classes[50 * i] for i in range(10))
+    assert len(set(classes.values())) == 600
+
+
+def stage_rows(frame):
+    return Counter(tuple(row) for row in frame.collect())
+
+
+def test_stages_keep_what_brute_force_keeps(spark):
+    """Each stage on its own input: the rows that stay, and their texts, by a plain version of its rule."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    expected = kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in near.collect()} == expected
+
+    poor = corpus_pipeline.drop_poor(spark, docs, SF)
+    rows = docs.collect()
+    verdicts = plain_verdicts([(r.text, r.lang) for r in rows])
+    assert stage_rows(poor) == Counter(tuple(r) for r, kept in zip(rows, verdicts, strict=True) if kept)
+
+    left = corpus_pipeline.drop_repeated_passages(spark, docs, SF)
+    seen: set[tuple] = set()
+    texts = {}
+    for row in sorted(rows, key=lambda r: r.doc_id):
+        words = [w.decode() for w in WORD.findall(row.text.encode())]
+        windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        gone = {p for i, w in enumerate(windows) if w in seen for p in range(i, i + 50)}
+        seen |= set(windows)
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        if not gone or kept:
+            texts[row.doc_id] = kept if gone else row.text
+    assert {r.doc_id: r.text for r in left.collect()} == texts
+
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, ~held_out())
+    reader = model.reader()
+    scores = {r.doc_id: model.score(np.array([reader.features(r.text or "")]))[0] for r in rows}
+    assert {r.doc_id for r in clean.collect()} == {i for i, score in scores.items() if score < toxicity.THRESHOLD}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import quality, queries, simhash, token_rollup, topk
+from quayside.llm import quality, queries, token_rollup, topk
 from quayside.llm.common import apart
 from tests.oracle import compare, connect
 
@@ -48,15 +50,19 @@ VECTORS = [
 
 
 def brute_top_k(rows, k):
-    held = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(64 * x) for x in v]
-            held[i] = min(held.get(i, whole), whole)
+    held = [
+        (i, [math.floor(64 * x) for x in v])
+        for i, v in rows
+        if v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = Counter()
-    for q in (i for i in held if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(held[q], held[c], strict=False)), c) for c in held if c != q)
-        out.update((q, rank, c, -s) for rank, (s, c) in enumerate(scores[:k], 1))
+    for n, (q, asked) in enumerate(held):
+        if q is None or q % 20:
+            continue
+        others = held[:n] + held[n + 1 :]
+        scores = [(-sum(a * b for a, b in zip(asked, v, strict=False)), c is None, c) for c, v in others]
+        ranked = sorted(scores, key=lambda s: (s[0], s[1], s[2] or 0))
+        out.update((q, rank, c, -s) for rank, (s, _, c) in enumerate(ranked[:k], 1))
     return out
 
 
@@ -70,14 +76,20 @@ def test_top_k_on_awkward_vectors(spark, monkeypatch, k, block):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0, k).count() == 0
 
 
+def test_top_k_refuses_what_64_bits_do_not_hold(spark):
+    frame = spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond"):
+        topk.top_k(frame, F.col("vec_id") % 20 == 0, 2).collect()
+
+
 def test_top_k_with_many_ties_and_sparse_terms(spark):
     rows = [(i, [float(i % 3), 0.0, float(i % 7 == 0), 0.0]) for i in range(300)]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 5)
     assert Counter(map(tuple, found.collect())) == brute_top_k(rows, 5)
 
 
-def event(doc, op, n, tokenizer="t/1", seq=1, source="a", lang="en"):
-    return (doc, tokenizer, seq, op, source, lang, n)
+def event(doc, op, n, tokenizer="t/1", seq=1, source="a", lang="en", part=0):
+    return (doc, part, tokenizer, seq, op, source, lang, n)
 
 
 def test_rollup_of_batches(spark, tmp_path):
@@ -103,7 +115,7 @@ def test_rollup_of_batches(spark, tmp_path):
         ]
     )
     assert rollup.commit("one", first)
-    expected = {("a", "en", "t/1"): (1, 10), (None, "en", "t/1"): (1, 7), ("a", None, "t/1"): (1, 4), ("a", "en", "t/2"): (1, 12)}
+    expected = {("a", "en", "t/1"): (2, 19), (None, "en", "t/1"): (1, 7), ("a", None, "t/1"): (1, 4), ("a", "en", "t/2"): (1, 12)}
     assert totals() == expected
     assert not rollup.commit("one", first) and totals() == expected
     second = batch(
@@ -114,13 +126,22 @@ def test_rollup_of_batches(spark, tmp_path):
             event(8, "revise", 2),
             event(2, "revise", 100, seq=1),
             event(2, "revise", 0, seq=2, source=None),
+            event(None, "delete", None),
+            event(1, "insert", 50, part=7, source="c"),
         ]
     )
     assert rollup.commit("two", second)
-    expected = {("b", "en", "t/1"): (1, 11), ("a", "en", "t/1"): (1, 2), (None, "en", "t/1"): (1, 0), ("a", "en", "t/2"): (1, 12)}
+    expected = {("b", "en", "t/1"): (1, 11), ("c", "en", "t/1"): (1, 50), ("a", "en", "t/1"): (1, 2), (None, "en", "t/1"): (1, 0), ("a", "en", "t/2"): (1, 12)}
     assert totals() == expected
     assert rollup.commit("none", first.limit(0)) and totals() == expected
     assert not rollup.commit("two", second) and totals() == expected
+    assert rollup.compact() == 3 and totals() == expected
+    assert not rollup.commit("one", first) and totals() == expected and rollup.compact() == 0
+    third = batch([event(1, "delete", None, part=7)]).withColumn("shard", F.lit("x")).withColumn("docs", F.lit("y"))
+    plan = rollup.entries([3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan
+    assert rollup.commit("three", third)
+    assert totals() == {k: v for k, v in expected.items() if k[0] != "c"}
 
 
 def test_interrupted_commit_has_no_effect(spark, tmp_path, monkeypatch):
@@ -208,19 +229,72 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, awkward):
     assert counts[None] == 3 and counts[17] == counts[18] == counts[19] == 0
 
 
-def test_wide_fingerprints_find_similar_texts(spark):
-    """Recall of the pipeline's parameters at a Jaccard similarity of 0.8 or more."""
+LANGUAGES = {lang: " ".join(words) for lang, words in quality.COMMON_WORDS.items()}
+
+
+def sentences(lang: str, seed: int, words: int) -> str:
+    """Prose of which three words in ten are common ones of a language."""
     import random
 
-    rng = random.Random(1)
-    rows = []
-    for i in range(200):
-        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
-        rows.append((2 * i, " ".join(words)))
-        for _ in range(6):
-            words[rng.randrange(300)] = "changed"
-        rows.append((2 * i + 1, " ".join(words)))
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **corpus_pipeline.NEAR)
-    groups = {r.doc_id: r.component_id for r in found.collect()}
-    assert sum(groups[2 * i + 1] == 2 * i for i in range(200)) >= 180
-    assert all(groups[i] // 2 == i // 2 for i in groups)
+    rng = random.Random(seed)
+    common = LANGUAGES[lang].split()
+    other = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(4, 9))) for _ in range(words)]
+    return " ".join(rng.choice(common) if rng.random() < 0.3 else word for word in other)
+
+
+def test_words_decide_by_language_and_length(spark):
+    """Texts of each wrong language and long ones without common words go; short and plain ones of their own stay."""
+    rows = [(f"own-{lang}-{i}", sentences(lang, i, 200), lang) for lang in LANGUAGES for i in range(40)]
+    rows += [(f"wrong-{a}-{b}", sentences(a, 7, 200), b) for a in LANGUAGES for b in LANGUAGES if a != b]
+    rows += [(f"none-{lang}", " ".join(w for w in sentences(lang, 8, 900).split() if w not in quality.SPELLINGS), lang) for lang in LANGUAGES]
+    rows += [(f"short-{lang}", " ".join(w for w in sentences(lang, 9, 200).split() if w not in quality.SPELLINGS)[:420], lang) for lang in LANGUAGES]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality.judge(frame).collect()}
+    assert all(kept[name] == name.startswith(("own", "short")) for name in kept), {n: k for n, k in kept.items() if not k}
+
+
+def plain_verdicts(rows):
+    """kept of (text, lang) rows, by the rules in plain Python."""
+
+    def histograms(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        rest = "".join(c for c in text if unicodedata.category(c) != "Ll")
+        known = [len(text) - len(rest)] + [len(regex.findall(p, rest)) for p in quality.CLASSES.values()]
+        listed = [sum(quality.SPELLINGS.get(w) == v for w in words) for v in quality.VOCABULARY]
+        return [*known, len(text) - sum(known)], [*listed, len(words) - sum(listed)]
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        total = 0.0
+        for a, b in zip([x / sum(p) for x in p], [x / sum(q) for x in q], strict=True):
+            total += sum(x * math.log2(2 * x / (x + y)) for x, y in ((a, b), (b, a)) if x)
+        return math.sqrt(max(0.0, total / 2))
+
+    held = []
+    for text, lang in rows:
+        n, _, _, _, repeated = base_counts(text)
+        held.append((n < 50 or 100 * repeated > 50 * n, lang, n, *histograms(text or "")))
+    sums = {}
+    for failed, lang, _, classes, words in held:
+        if not failed and lang in quality.COMMON_WORDS:
+            old = sums.setdefault(lang, ([0] * len(classes), [0] * len(words)))
+            for into, counts in zip(old, (classes, words), strict=True):
+                for i, x in enumerate(counts):
+                    into[i] += math.floor(x * 1e6 / sum(counts)) if sum(counts) else 0
+    out = []
+    for failed, lang, n, classes, words in held:
+        far = False
+        if lang in sums:
+            far = sum(classes) >= quality.LEAST_CHARS and distance(classes, sums[lang][0]) > quality.MAX_CLASS_DISTANCE
+            far |= n >= quality.LEAST_COMPARED and distance(words, sums[lang][1]) > quality.MAX_WORD_DISTANCE
+        out.append(not failed and not far)
+    return out
+
+
+def test_verdicts_on_awkward_rows(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(n, r.text, r.lang) for n, r in enumerate([*awkward.collect(), *docs.collect()])]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), with_text=False)
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    assert [kept[n] for n in range(len(rows))] == plain_verdicts([row[1:] for row in rows])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -251,6 +253,70 @@ def test_plain_text(spark):
     assert [r.t for r in row.collect()] == ["One &amp; two x\nthree\na\nb", "", None]
 
 
+REFERENCES = [
+    "1 < 2 and 3 > 1",
+    "a&#8217;s caf&eacute; &#x27;q&#X27; &mdash; &hellip; &amp;lt; &unknown; &nbsp;x &apos;",
+    "&#0; &#xD800; &#x110000; &#9999999; &#146; &#129; &#xfffd; & &; &#; &#x; a&b;c &&lt;&gt;",
+    "&lt;b&gt; x<b>y</b> <3 <-- a<!-- no --> <?php x ?> </p>z",
+    "",
+    "&#128512;&#x1F600;" * 50,
+]
+
+
+def test_character_references_are_read_once(spark):
+    frame = spark.createDataFrame([(t,) for t in REFERENCES], "t string")
+    found = [r.u for r in frame.select(warc.unescaped(F.col("t")).alias("u")).collect()]
+
+    def plain(match):
+        inner = match[0][1:-1]
+        if not inner.startswith("#"):
+            return warc.NAMED.get(inner, match[0])
+        code = int(inner[2:], 16) if inner[1] in "xX" else int(inner[1:])
+        if code in warc.WINDOWS:
+            return warc.WINDOWS[code]
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+
+    assert found == [re.sub(warc.ENTITY, plain, t) for t in REFERENCES]
+    texts = [r.t for r in frame.select(warc.plain_text(F.col("t")).alias("t")).collect()]
+    assert texts[0] == "1 < 2 and 3 > 1"
+    assert texts[1] == "a’s café 'q' — … &lt; &unknown; x '"
+    assert texts[3] == "<b> xy <3 <-- a\nz"
+
+
+def record(version, block, length=None, kind="response", ending=b"\r\n\r\n"):
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{len(block)}>\r\nX-Note: a:b\r\n more\r\n"
+    size = "" if length is None else f"Content-Length: {length}\r\n"
+    return f"{head}{size}\r\n".encode() + block + ending
+
+
+def test_records_end_where_their_length_says(spark, tmp_path):
+    inner = b"x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nfake\r\n\r\nWARC/1.0 y"
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\ncaf\u00e9".encode("latin-1")
+    broken = b"HTTP/1.1 200 OK\r\n\r\n\xff\xfeab"
+    blocks = [b"HTTP/1.0 200 OK\r\n\r\none", inner, b"", latin, broken]
+    data = b"".join(record("1.0" if i % 2 else "1.1", block, len(block)) for i, block in enumerate(blocks))
+    (tmp_path / "a.warc").write_bytes(data + record("1.0", b"no length"))
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as file:
+        file.write(data + record("1.1", b"cut off", 50, ending=b""))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    expected = Counter((f"1.{0 if i % 2 else 1}", block, False) for i, block in enumerate(blocks) for _ in range(2))
+    expected += Counter([("1.0", b"no length", False), ("1.1", b"cut off", True)])
+    assert Counter((r.version, bytes(r.block), r.truncated) for r in rows) == expected
+    assert {r.headers["x-note"] for r in rows} == {"a:b more"}
+    payloads = Counter(r.payload for r in warc.response_rows(warc.read(spark, str(tmp_path))).collect())
+    assert payloads["one"] == 2 and payloads["caf\u00e9"] == 2 and payloads[""] == 2 and payloads["\ufffd\ufffdab"] == 2
+
+
+def test_derivatives_of_repeated_and_clashing_rows(spark):
+    long = "<p>" + "word &amp; " * 60_000 + "</p>"
+    rows = [(1, "u", long, "x", "y"), (1, "u", long, "x", "y"), (None, None, None, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string, refers_to string")
+    made = warc.derivatives(warc.responses(pages, "2026-01-01T00:00:00Z"), "page_id").collect()
+    ids = Counter(r.record_id for r in made)
+    assert len(made) == 6 and sorted(ids.values()) == [1, 1, 2, 2]
+    assert {r.content_length for r in made if r.warc_type == "conversion"} == {len("word & " * 60_000) - 1, 0}
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20).union(
         spark.createDataFrame([(None, None, None), (7, "http://x", "")], "page_id long, url string, html string")
@@ -261,7 +327,7 @@ def test_warc_files_round_trip(spark, tmp_path):
     warc.write(made, str(tmp_path / "out"))
     read = warc.read(spark, str(tmp_path / "out")).collect()
     blocks = {r.record_id: (r.block, r.refers_to, str(r.content_length)) for r in made.collect()}
-    back = {r.headers["warc-record-id"]: (r.block, r.headers["warc-refers-to"], r.headers["content-length"]) for r in read}
+    back = {r.headers["warc-record-id"]: (r.block.decode(), r.headers["warc-refers-to"], r.headers["content-length"]) for r in read}
     assert back == blocks
     ids = {(r.refers_to, r.warc_type): r for r in made.collect()}
     for (source, kind), row in ids.items():
