@@ -54,12 +54,17 @@ def materialize(
     return back, {name: int(value or 0) for name, value in seen.get.items()}
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote and that no plan reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Removes a scratch folder of this library that no plan reads any more. Anything outside the shared folder stays."""
+    """Removes a scratch folder. Anything outside the shared folder stays."""
     if not path.startswith(f"{shared_dir(spark)}/"):
         raise ValueError("Only folders below the shared one are removed.")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, path)
 
 
 def discard_files(spark: SparkSession, path: str, files: list[str]) -> None:

@@ -95,7 +95,8 @@ def _write(rows: DataFrame, path: str) -> None:
 def compact(spark: SparkSession, path: str) -> int:
     """Replaces the position files by one per shard and returns how many there were. Until the old ones are gone the
     new ones only repeat them, so a reader or writer at any moment sees the same positions."""
-    old = stored(spark, path, "position").inputFiles()
+    rows = stored(spark, path, "position").select("_metadata.file_path").distinct().collect()
+    old = [row["file_path"] for row in rows if "/kind=position/" in row["file_path"]]
     newest = positions(spark, path).select("*", shard_of(F.col("scope")).alias("shard"), F.lit("position").alias("kind"))
     full = spark.createDataFrame([], STORED_SCHEMA).unionByName(newest, allowMissingColumns=True)
     _write(full, path)

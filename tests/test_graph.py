@@ -125,3 +125,82 @@ def test_condition_can_skip(spark):
     edges = spark.createDataFrame([], "src long, dst long")
     got = {r.node_id: r.decision for r in graph.trigger_rollup(nodes, edges).collect()}
     assert got == {0: "RUN", 1: "SKIPPED_CONDITION", 2: "SKIPPED_CONDITION"}
+
+
+def test_ladder_walks_many_levels_a_round(spark, monkeypatch):
+    """200 levels of two nodes that depend on both of the level above."""
+    edges = {(2 * (d - 1) + a, 2 * d + b) for d in range(1, 201) for a in (0, 1) for b in (0, 1)}
+    nodes, links = frames(spark, 402, edges)
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda frame, path, *a, **k: (written.append(path), plain(frame, path, *a, **k))[1])
+    paths, stuck = graph.longest_paths(nodes, links)
+    assert {r.node_id: r.wave for r in paths.collect()} == {n: n // 2 for n in range(402)}
+    assert stuck.isEmpty() and len(written) <= 40
+    written.clear()
+    start = spark.createDataFrame([(100,)], "node_id long")
+    assert {r.node_id for r in graph.descendants(nodes, links, start).collect()} == {100, *range(102, 402)}
+    assert len(written) <= 40
+
+
+def test_ring_needs_log_rounds(spark, monkeypatch):
+    edges = {(n, (n + 1) % 200) for n in range(200)}
+    nodes, links = frames(spark, 200, edges)
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda frame, path, *a, **k: (written.append(path), plain(frame, path, *a, **k))[1])
+    start = spark.createDataFrame([(7,)], "node_id long")
+    assert {r.node_id for r in graph.descendants(nodes, links, start).collect()} == set(range(200))
+    assert len(written) <= 14
+    assert {r.node_id for r in graph.cyclic_nodes(nodes, links).collect()} == set(range(200))
+
+
+def plain_prints(count, edges, own, factor):
+    above = {n: [s for s, d in edges if d == n] for n in range(count)}
+    done = {}
+    while len(done) < count:
+        ready = [n for n in range(count) if n not in done and all(s in done for s in above[n])]
+        if not ready:
+            return done
+        for n in ready:
+            done[n] = (own[n] + sum(factor[s, n] * done[s] for s in above[n])) % graph.PRIME
+    return done
+
+
+@pytest.mark.parametrize("levels", [2, 8])
+def test_carried_fingerprints(spark, monkeypatch, levels):
+    monkeypatch.setattr(graph, "LEVELS", levels)
+    rng = random.Random(5)
+    edges = {(rng.randrange(d), d) for d in range(1, 50) for _ in range(rng.choice([0, 1, 1, 3]))}
+    edges |= {(n, n + 1) for n in range(50, 69)} | {(70, 71), (71, 70), (71, 72)}
+    own = {n: rng.randrange(1 << 60) for n in range(73)}
+    links = spark.createDataFrame(sorted(edges), "src long, dst long")
+    pairs = links.select("src", "dst", graph.edge_factor(links.src, links.dst).alias("f")).collect()
+    factor = {(r.src, r.dst): r.f for r in pairs}
+
+    def prints(own):
+        nodes = spark.createDataFrame(sorted(own.items()), "node_id long, own long")
+        return {r.node_id: r.fingerprint for r in graph.carried_fingerprints(nodes, links).collect()}
+
+    first = prints(own)
+    assert first == plain_prints(73, edges, own, factor) and set(first) == set(range(70))
+    second = prints({**own, 3: own[3] + 1, 60: 0})
+    assert {n for n in first if first[n] != second[n]} == reach(edges, [3, 60])
+
+
+def test_graphs_of_many_runs_are_walked_together(spark):
+    from quayside.operators import runs
+
+    nodes = [(s, r, n) for s, r in (("a", "1"), ("a", "2"), ("b", "1")) for n in "wxyz" if (s, n) != ("b", "y")]
+    active = [("a", "1", "w", 1.0), ("a", "1", "y", 2.5), ("a", "2", "x", 4.0), ("b", "1", "w", 8.0), ("b", "1", "z", 0.25)]
+    edges = [("w", "x"), ("w", "y"), ("x", "z"), ("y", "z")]
+    found = runs.critical_paths(
+        spark.createDataFrame(nodes, "scope string, run_id string, node_id string"),
+        spark.createDataFrame(active, "scope string, run_id string, node_id string, active_seconds double"),
+        spark.createDataFrame(edges, "src string, dst string"),
+    )
+    assert {(r.scope, r.run_id): r.critical_path_us for r in found.collect()} == {
+        ("a", "1"): 3_500_000,
+        ("a", "2"): 4_000_000,
+        ("b", "1"): 8_250_000,
+    }

@@ -224,3 +224,24 @@ def test_runs_and_outbox_entries_have_rules_of_their_own(spark):
     ]
     found = ledger.illegal_transitions(spark.createDataFrame(rows, columns)).collect()
     assert sorted(r.sequence for r in found) == [7, 8, 9, 10]
+
+
+def test_latest_keeps_null_keys_and_settles_ties(spark):
+    rows = [
+        (None, "node", "n", 1, "A"),
+        (None, "node", "n", 2, "B"),
+        ("s", "node", None, 5, "C"),
+        ("s", "node", None, 4, "D"),
+        (None, "run", None, 1, "E"),
+        ("s", "node", "m", 3, "F"),
+        ("s", "node", "m", 3, "G"),
+        ("s", "node", "m", 3, "G"),
+    ]
+    schema = "scope string, entity_type string, entity_id string, sequence long, status string"
+    found = [
+        {(r.scope, r.entity_type, r.entity_id): r.status for r in ledger.latest(spark.createDataFrame(order, schema)).collect()}
+        for order in (rows, rows[::-1])
+    ]
+    assert found[0] == found[1] and len(found[0]) == 4
+    assert found[0][None, "node", "n"] == "B" and found[0]["s", "node", None] == "C" and found[0][None, "run", None] == "E"
+    assert found[0]["s", "node", "m"] in ("F", "G")

@@ -132,3 +132,19 @@ def test_versions_need_no_window(spark):
     plan = receiving.key_versions(lines(spark, [{}]))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortAggregate" not in plan
     assert plan.count("Join") == 1
+
+
+def test_conflicting_keys_meet_only_salts_that_occur(spark):
+    """One key with most of the rows, several with two versions, and many plain ones."""
+    rows = [(f"S{i}", "1", str(i)) for i in range(500)] + [("HOT", "1", str(i)) for i in range(700)]
+    rows += [("S1", "1", "x"), ("S2", "1", "x"), (None, None, "1"), (None, None, "2")]
+    lines = spark.createDataFrame(
+        [(s, n, "SKU", "WH", q, "EA") for s, n, q in rows for _ in range(2)], LINE_SCHEMA
+    ).repartition(5)
+    found = receiving.key_versions(lines).groupBy("shipment_id", "versions").count().collect()
+    versions = {r.shipment_id: (r.versions, r["count"]) for r in found}
+    assert versions["HOT"] == (700, 700) and versions["S1"] == (2, 2) and versions[None] == (2, 2)
+    assert sum(1 for v in versions.values() if v == (1, 1)) == 498
+    salted = receiving.dedup_lines(lines).withColumn("_salt", F.pmod(F.xxhash64("quantity"), F.lit(receiving.SALTS)).cast("int"))
+    joined = receiving.conflicting_keys(salted)
+    assert joined.count() <= receiving.SALTS + 6 and joined.where("shipment_id = 'HOT'").count() <= receiving.SALTS

@@ -268,3 +268,39 @@ def test_single_byte_encodings(spark):
         frame = spark.createDataFrame([(bytearray(body.encode(charset)),)], "content binary")
         row = xml.parse_documents(frame, "product_catalog").first()
         assert row.status is None and row.records[0].description == value
+
+
+def statuses(spark, texts):
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "n int, content binary")
+    rows = xml.document_status(frame, "shipment_batch").collect()
+    return [row.status for row in sorted(rows, key=lambda row: row.n)]
+
+
+def test_long_prologs_have_a_status(spark):
+    good = document("shipment_batch", LINES["asn-1001"])
+    doctype = '<!DOCTYPE ShipmentBatch [<!ENTITY e "v">]>'
+    many = "<!---->" * 100_000
+    mixed = "<!-- a -- > --><?p x?>\n \t" * 20_000
+    found = statuses(spark, [many + good, many + doctype + good, mixed + good, mixed + doctype + good, many, "<!--" * 100_000])
+    assert found == ["OK", "UNSAFE_XML", "MALFORMED_XML", "UNSAFE_XML", "MALFORMED_XML", "MALFORMED_XML"]
+
+
+def test_instance_attributes_are_found_behind_signs_in_values(spark):
+    xsi = 'xmlns:i="http://www.w3.org/2001/XMLSchema-instance"'
+    good = document("shipment_batch", LINES["asn-1001"])
+
+    def rooted(extra):
+        return good.replace("<ShipmentBatch ", f"<ShipmentBatch {extra} ")
+
+    aside = "<!-- " + "<" * 50_000 + " <a i:x='' -->"
+    found = statuses(
+        spark,
+        [
+            rooted(xsi),
+            rooted(f'{xsi} i:schemaLocation="a b"'),
+            rooted(f"xmlns:b='>' {xsi} i:schemaLocation = 'a b'"),
+            good.replace("<ShipmentLine>", f"<ShipmentLine {xsi} i:nil='false'>"),
+            rooted(xsi).replace("</ShipmentBatch>", aside + "</ShipmentBatch>"),
+        ],
+    )
+    assert found == ["OK", "XML_STRUCTURE_MISMATCH", "XML_STRUCTURE_MISMATCH", "XML_STRUCTURE_MISMATCH", "OK"]
