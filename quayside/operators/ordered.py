@@ -5,6 +5,9 @@ is cut into segments of ``width`` values, so no segment can hold more than ``wid
 first reduced to one summary row (combined on the map side), the summaries are carried forward to the next
 segment, and the carried row joins its segment as an extra first row of an ordinary window. Groups that fit
 one segment carry nothing. A list of widths repeats the same step over the summaries.
+
+Where the order column is sparse or dense by turns, as times are, ``quantile_segments`` cuts it at sampled quantiles
+instead, so that every segment has about as many rows, whatever the values.
 """
 
 from __future__ import annotations
@@ -15,11 +18,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEQUENCE_WIDTHS = (1 << 20,)
-TIME_WIDTHS = (1 << 20, 1 << 20)
+SEGMENT_ROWS = 1 << 20
+MOST_SEGMENTS = 1 << 12
+COARSE = 64  # bounds that a row is compared with in each of two steps
 
 _ORDER, _SEGMENT, _VALUE, _CARRIED = "_order", "_segment", "_value", "_carried"
 
 
+def quantile_segments(frame: DataFrame, order: str) -> Column:
+    """The segment of a row by its LONG column ``order``: how many of the bounds are not above it.
+
+    One pass counts the rows and takes approximate quantiles, so the driver gets ``MOST_SEGMENTS`` numbers at most. Rows
+    that tie share a segment. A row is compared with the coarse bounds first, then with the fine ones between two.
+    """
+    rows = frame.where(F.col(order).isNotNull()).count()
+    segments = min(MOST_SEGMENTS, -(-rows // SEGMENT_ROWS))
+    if segments < 2:
+        return F.lit(0)
+    shares = [i / segments for i in range(1, segments)]
+    bounds = frame.select(F.percentile_approx(order, shares, 10 * segments).alias("b")).first()["b"]
+    bounds = sorted(set(bounds))
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda bound: bound <= F.col(order)))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(value).cast("long") for value in values])
+
+    groups = [bounds[i : i + COARSE] for i in range(0, len(bounds), COARSE)]
+    if len(groups) == 1:
+        return below(longs(bounds))
+    coarse = below(longs([group[0] for group in groups]))
+    fine = F.get(F.array(*[longs(group) for group in groups]), F.greatest(coarse - 1, F.lit(0)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * COARSE + below(fine))
+
+
 def running_sum(
     frame: DataFrame,
     keys: Sequence[str],
@@ -75,6 +108,39 @@ def last_known(
     return _finish(_scan(_prepare(frame, order, value), list(keys), "last", list(widths)), name)
 
 
+def sum_and_last(
+    frame: DataFrame, keys: Sequence[str], order: Column, value: Column, last: Column, names: tuple[str, str]
+) -> DataFrame:
+    """``running_sum`` of ``value`` and ``last_known`` of ``last`` together, by one set of segments: the summaries carry
+    both, and rows are shuffled once."""
+    keys = list(keys)
+    rows = frame.withColumns(
+        {
+            _ORDER: order.cast("long"),
+            "_add": value,
+            "_keep": last,
+            _SEGMENT: F.floor(order.cast("long") / SEQUENCE_WIDTHS[0]),
+        }
+    )
+    known = F.when(F.col("_keep").isNotNull(), F.col(_ORDER))
+    summaries = rows.groupBy(*keys, _SEGMENT).agg(F.sum("_add").alias("_add"), F.max_by("_keep", known).alias("_keep"))
+    ahead = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summaries.withColumns(
+        {
+            "_add": F.sum("_add").over(ahead),
+            "_keep": F.last("_keep", ignorenulls=True).over(ahead),
+            _CARRIED: F.lit(True),
+        }
+    ).where(F.coalesce(F.col("_add") != 0, F.lit(False)) | F.col("_keep").isNotNull())
+    both = rows.withColumn(_CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    ordered = Window.partitionBy(*keys, _SEGMENT).orderBy(F.col(_ORDER).asc_nulls_first())
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = both.withColumns(
+        {names[0]: F.sum("_add").over(so_far), names[1]: F.last("_keep", ignorenulls=True).over(so_far)}
+    )
+    return done.where(~F.col(_CARRIED)).drop(_ORDER, _SEGMENT, _CARRIED, "_add", "_keep")
+
+
 def _prepare(frame: DataFrame, order: Column, value: Column) -> DataFrame:
     return frame.withColumns({_ORDER: order.cast("long"), _VALUE: value})
 

@@ -24,7 +24,7 @@ def _hash(prefix: str, column: str) -> Column:
 
 
 # --- reuse of prior results --------------------------------------------------------------------
-# Every residue of the node id breaks one condition, so each cause occurs.
+# Every residue of the node id breaks one condition, so each cause occurs; others leave values open or break a second.
 
 
 def current_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def current_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("0.3").alias("code_version"),
         F.lit("code-a").alias("code_fingerprint"),
         _hash("in-", "node_id").alias("input_fingerprint"),
-        (case != 9).alias("eligible"),
-        F.when(case == 10, "always_run").otherwise("reuse_valid").alias("policy"),
+        F.when(F.col("node_id") % 23 != 5, case != 9).alias("eligible"),
+        F.when((case == 10) | (F.col("node_id") % 31 == 4), "always_run").otherwise("reuse_valid").alias("policy"),
         F.when(case == 12, "none").otherwise("merge").alias("strategy"),
         F.concat(F.lit("cp-"), "node_id").alias("checkpoint_name"),
     )
@@ -67,7 +67,7 @@ def prior_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 2 == 0, "SKIPPED_ALREADY_SATISFIED")
         .otherwise("SUCCEEDED")
         .alias("status"),
-        unless(3, F.lit("2024-01-02"), "2023-12-31").alias("business_run_key"),
+        F.when(key % 29 != 3, unless(3, F.lit("2024-01-02"), "2023-12-31")).alias("business_run_key"),
         unless(4, F.lit("receiving"), "shipping").alias("dag_id"),
         F.when(case == 5, "1.0").when(case == 18, "1.9").otherwise("2.0").alias("dag_version"),
         unless(6, F.lit("0.3"), "0.2").alias("code_version"),
@@ -76,21 +76,65 @@ def prior_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (case == 11).alias("execution_uncertain"),
         F.when(case != 13, proof).alias("checkpoint"),
         outputs.alias("outputs_fingerprint"),
-        (case != 17).alias("outputs_valid"),
+        F.when(key % 37 != 2, case != 17).alias("outputs_valid"),
     )
 
 
-_CAUSES = (
-    "invalidated no_prior_record prior_not_successful business_run_key dag_id dag_version code_version "
-    "code_fingerprint input_fingerprint not_eligible policy execution_uncertain unsafe_strategy no_checkpoint "
-    "checkpoint_name checkpoint_inputs checkpoint_outputs outputs_invalid"
-).split()
-
 QUERIES["reuse_proof"] = lambda spark, sf_dir: restart.reuse_proof(
     current_nodes(spark, sf_dir), prior_nodes(spark, sf_dir)
 )
+derived.SQL["current_nodes"] = """
+    SELECT node_id, node_id % 19 = 0 AS invalidated, '2024-01-02' AS business_run_key, 'receiving' AS dag_id,
+           '2.0' AS dag_version, ['1.9'] AS compatible_versions, '0.3' AS code_version, 'code-a' AS code_fingerprint,
+           sha256('in-' || node_id) AS input_fingerprint,
+           CASE WHEN node_id % 23 <> 5 THEN node_id % 19 <> 9 END AS eligible,
+           CASE WHEN node_id % 19 = 10 OR node_id % 31 = 4 THEN 'always_run' ELSE 'reuse_valid' END AS policy,
+           CASE WHEN node_id % 19 = 12 THEN 'none' ELSE 'merge' END AS strategy, 'cp-' || node_id AS checkpoint_name
+    FROM nodes"""
+derived.SQL["prior_nodes"] = """
+    SELECT node_id, CASE WHEN k = 2 THEN 'FAILED' WHEN node_id % 2 = 0 THEN 'SKIPPED_ALREADY_SATISFIED' ELSE 'SUCCEEDED' END
+               AS status,
+           CASE WHEN node_id % 29 = 3 THEN NULL WHEN k = 3 THEN '2023-12-31' ELSE '2024-01-02' END AS business_run_key,
+           CASE WHEN k = 4 THEN 'shipping' ELSE 'receiving' END AS dag_id,
+           CASE WHEN k = 5 THEN '1.0' WHEN k = 18 THEN '1.9' ELSE '2.0' END AS dag_version,
+           CASE WHEN k = 6 THEN '0.2' ELSE '0.3' END AS code_version,
+           CASE WHEN k = 7 THEN 'code-b' ELSE 'code-a' END AS code_fingerprint,
+           CASE WHEN k = 8 THEN 'other' ELSE sha256('in-' || node_id) END AS input_fingerprint,
+           k = 11 AS execution_uncertain, k <> 13 AS has_checkpoint,
+           CASE WHEN k = 14 THEN 'other' ELSE 'cp-' || node_id END AS checkpoint_name,
+           CASE WHEN k = 15 THEN 'other' ELSE sha256('in-' || node_id) END AS checkpoint_inputs,
+           CASE WHEN k = 16 THEN 'other' ELSE sha256('out-' || node_id) END AS checkpoint_outputs,
+           sha256('out-' || node_id) AS outputs_fingerprint,
+           CASE WHEN node_id % 37 <> 2 THEN k <> 17 END AS outputs_valid
+    FROM (SELECT node_id, node_id % 19 AS k FROM nodes) WHERE k <> 1"""
+derived.NEEDS |= {"current_nodes": ["nodes"], "prior_nodes": ["nodes"]}
+# Each condition that has to hold, in the order of the causes.
+_CONDITIONS = {
+    "invalidated": "NOT c.invalidated",
+    "no_prior_record": "p.node_id IS NOT NULL",
+    "prior_not_successful": "p.status IN ('SUCCEEDED', 'SKIPPED_ALREADY_SATISFIED')",
+    "business_run_key": "p.business_run_key = c.business_run_key",
+    "dag_id": "p.dag_id = c.dag_id",
+    "dag_version": "p.dag_version = c.dag_version OR list_contains(c.compatible_versions, p.dag_version)",
+    "code_version": "p.code_version = c.code_version",
+    "code_fingerprint": "p.code_fingerprint = c.code_fingerprint",
+    "input_fingerprint": "p.input_fingerprint = c.input_fingerprint",
+    "not_eligible": "c.eligible",
+    "policy": "c.policy = 'reuse_valid'",
+    "execution_uncertain": "NOT p.execution_uncertain",
+    "unsafe_strategy": "c.strategy <> 'none'",
+    "no_checkpoint": "p.has_checkpoint",
+    "checkpoint_name": "p.checkpoint_name = c.checkpoint_name",
+    "checkpoint_inputs": "p.checkpoint_inputs = c.input_fingerprint",
+    "checkpoint_outputs": "p.checkpoint_outputs = p.outputs_fingerprint",
+    "outputs_invalid": "p.outputs_valid",
+}
+_BROKEN = " ".join(f"WHEN NOT coalesce({holds}, false) THEN '{cause}'" for cause, holds in _CONDITIONS.items())
 ORACLES["reuse_proof"] = with_tables(
-    f"""SELECT node_id, node_id % 19 = 18 AS reuse, {_CAUSES}[node_id % 19 + 1] AS cause FROM nodes""", "nodes"
+    f"""SELECT node_id, cause IS NULL AS reuse, cause FROM (
+         SELECT c.node_id, CASE {_BROKEN} END AS cause FROM current_nodes c LEFT JOIN prior_nodes p USING (node_id))""",
+    "current_nodes",
+    "prior_nodes",
 )
 
 QUERIES["reuse_provenance"] = lambda spark, sf_dir: restart.reuse_provenance(prior_nodes(spark, sf_dir))

@@ -91,7 +91,9 @@ def test_batch_numbering_continues(spark):
     assert got == {("a", 5, 4), ("a", 10, 5), ("b", 7, 1)}
 
 
-def test_peak_usage_by_brute_force(spark):
+@pytest.mark.parametrize("segment", [10, 1 << 20])
+def test_peak_usage_by_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(ledger.ordered, "SEGMENT_ROWS", segment)
     rng = random.Random(3)
     rows = []
     for group in "xy":
@@ -245,3 +247,9 @@ def test_latest_keeps_null_keys_and_settles_ties(spark):
     assert found[0] == found[1] and len(found[0]) == 4
     assert found[0][None, "node", "n"] == "B" and found[0]["s", "node", None] == "C" and found[0][None, "run", None] == "E"
     assert found[0]["s", "node", "m"] in ("F", "G")
+
+
+def test_peak_usage_shuffles_three_times(spark):
+    frame = spark.createDataFrame([("g", 1, 2, 1)], "g string, started_us long, ended_us long, demand long")
+    plan = ledger.peak_usage(frame, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
