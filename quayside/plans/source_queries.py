@@ -43,19 +43,42 @@ QUERIES["xml_intake"] = xml_intake
 ORACLES["xml_intake"] = with_tables("SELECT * FROM lines", "lines")
 
 
-def xml_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _landed_texts(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as text files, one per source and language, in the order of their ids."""
+    path = scratch_path(spark, "texts")
+    named = [F.coalesce(name, F.lit("none")).alias(name) for name in ("source", "lang")]
+    texts = derived.table(spark, sf_dir, "documents").select(*named, "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    dealt = texts.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id", "value")
+    dealt.drop("doc_id").write.partitionBy("source", "lang").text(path)
+    return path
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def file_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and sizes of the landed files."""
-    return xml.file_statistics(xml.list_files(spark, _landed_xml(spark, sf_dir)))
+    return xml.file_statistics(_listed(spark, _landed_texts(spark, sf_dir)))
 
 
-def xml_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content fingerprint of the landed file set."""
-    path = _landed_xml(spark, sf_dir)
-    return xml.file_set_digest(xml.list_files(spark, path), path)
+def file_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of the landed file set, in which a file goes by its folder: Spark makes up the rest of its name."""
+    path = _landed_texts(spark, sf_dir)
+    return xml.file_set_digest(_listed(spark, path).withColumn("path", F.regexp_replace("path", "/[^/]*$", "")), path)
 
 
-QUERIES["file_statistics"] = xml_statistics
-QUERIES["file_set_fingerprint"] = xml_fingerprint
+QUERIES["file_statistics"] = file_statistics
+QUERIES["file_set_fingerprint"] = file_set_fingerprint
+derived.SQL["landed"] = """
+    SELECT 'source=' || source || '/lang=' || lang AS path, strlen(content)::BIGINT AS length, sha256(content) AS sha256
+    FROM (SELECT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
+                 string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, coalesce(text, '')) AS content
+          FROM documents GROUP BY ALL)"""
+ORACLES["file_statistics"] = with_tables(
+    "SELECT count(*) AS files, max(length) AS largest, sum(length)::BIGINT AS total_bytes FROM landed", "landed"
+)
+ORACLES["file_set_fingerprint"] = with_tables(digest_sql(["path", "length", "sha256"], "landed"), "landed")
 
 
 def _document(case: Column) -> Column:
@@ -139,13 +162,12 @@ ORACLES["csv_intake"] = with_tables("SELECT * FROM lines", "lines")
 
 
 def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and content hash of every landed CSV file."""
-    path = scratch_path(spark, "csv")
-    delimited.write_csv(derived.lines(spark, sf_dir), path)
-    return delimited.source_digest(spark, path)
+    """One digest over sizes and contents of the landed files."""
+    return delimited.source_digest(spark, _landed_texts(spark, sf_dir))
 
 
 QUERIES["file_digest"] = file_digest
+ORACLES["file_digest"] = with_tables(digest_sql(["length", "sha256"], "landed"), "landed")
 
 
 def publish_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
