@@ -306,8 +306,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     windows, _ = materialize(test_windows(benchmark, window), scratch_path(spark, "test-windows"))
     found, _ = materialize(occurrences(docs, windows, window), scratch_path(spark, "occurrences"))
     holders = found.where(F.size("hits") > 0)
-    held = holders.select("oid", "rk", F.explode("hits.key").alias("key")).distinct()
-    items = held.join(windows.select("key", "item").distinct(), "key").select("oid", "rk", "item").distinct()
+    # Both sides of the join are read from files, so that AQE can split a window that very many documents hold.
+    named_windows, _ = materialize(windows.select("key", "item").distinct(), scratch_path(spark, "window-items"))
+    held = holders.select("oid", "rk", F.explode("hits.key").alias("key"))
+    items = held.join(named_windows, "key").select("oid", "rk", "item").distinct()
     # A document's own items and spans: bounded by the benchmark and by its length.
     named_items = items.groupBy("oid", "rk").agg(F.sort_array(F.collect_list("item")).alias("items"))
     spans = (

@@ -116,7 +116,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {int(n): int(c) for n, c in held.groupBy("length").count().collect()}  # capacity rows at most
     salts = bucket_count(sum(histogram.values()), RANKED)
     salted = held.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         salted.groupBy("length", "__salt")
