@@ -64,14 +64,19 @@ def _character(reference: Column) -> Column:
     return F.when(inner.startswith("#"), numbered).otherwise(named)
 
 
-def unescaped(text: Column) -> Column:
-    """A text with its character references read, each once: ``&amp;lt;`` becomes ``&lt;``."""
+def _read_references(text: Column) -> Column:
     between = F.split(text, ENTITY, -1)
     found = F.transform(F.regexp_extract_all(text, F.lit(f"({ENTITY})")), _character)
     joined = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(text.contains("&"), joined).otherwise(text)
 
 
+def unescaped(text: Column) -> Column:
+    """A text with its character references read, each once: ``&amp;lt;`` becomes ``&lt;``. The text is bound to a
+    variable, so that what makes it up is worked out once."""
+    return F.element_at(F.transform(F.array(text), _read_references), 1)
+
+
 def plain_text(html: Column) -> Column:
     """The visible text, one line per block. A tag begins with a letter, ``/``, ``!`` or ``?``; other angles are text."""
     text = F.regexp_replace(html, f"(?is){HIDDEN}", " ")
