@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.contracts import SAFE_STRATEGIES, SUCCESS_STATES
-from quayside.functions.digest import WORDS, dataset_digest, row_hash
+from quayside.functions.digest import SUMS, dataset_digest, row_hash, short_digest
 
 
-def _combined(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One order-free fingerprint over all rows of ``key``. Sums of hashes combine on the map side, so a key
-    with very many rows is never listed in one place."""
-    summed = dataset_digest(rows.select(key, *columns), key)
-    parts = [F.col("row_count").cast("string"), *[F.col(f"sum_{i}") for i in range(WORDS)]]
-    return summed.select(key, F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
+def _combined(digest: DataFrame, key: str) -> DataFrame:
+    """One order-free fingerprint over all rows of ``key`` from their digest. Sums of hashes combine on the map side, so
+    a key with very many rows is never listed in one place."""
+    parts = [F.col("row_count").cast("string"), *[F.col(f"sum_{i}") for i in range(SUMS)]]
+    return digest.select(key, F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
 
 
 def parameter_fingerprints(parameters: DataFrame, sources: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def parameter_fingerprints(parameters: DataFrame, sources: DataFrame) -> DataFra
     resolved = parameters.join(
         sources.select("source_id", F.col("fingerprint").alias("_source")), "source_id", "left"
     ).withColumn("value", F.coalesce("_source", "value"))
-    return _combined(resolved, "node_id", ["path", "value"])
+    return _combined(dataset_digest(resolved.select("node_id", "path", "value"), "node_id"), "node_id")
 
 
 def input_fingerprints(definitions: DataFrame, dependencies: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,9 +38,10 @@ def input_fingerprints(definitions: DataFrame, dependencies: DataFrame, columns:
     """
     settled = F.when(F.col("status").isin(*SUCCESS_STATES), "SUCCEEDED").otherwise(F.col("status"))
     upstream = _combined(
-        dependencies.withColumn("status", settled),
+        short_digest(
+            dependencies.select("node_id", "dependency", settled.alias("status"), "output", "digest", "row_count"), "node_id"
+        ),
         "node_id",
-        ["dependency", "status", "output", "digest", "row_count"],
     ).withColumnRenamed("fingerprint", "_upstream")
     own = definitions.select("node_id", row_hash(definitions, columns).alias("_own"))
     return own.join(upstream, "node_id", "left").select(

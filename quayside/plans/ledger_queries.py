@@ -96,20 +96,32 @@ def ledger_prefix_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.prefix_proof(events, derived.watermarks(events))
 
 
-def row_hash_sql(columns: list[str]) -> str:
+def row_hash_sql(columns: list[str], named: bool = False) -> str:
     """Oracle text of a row's hash (LONG, STRING and BOOLEAN only)."""
     texts = [f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')" for name in sorted(columns)]
+    if named:
+        texts = [f"'{len(name)}:{name}=' || {text}" for name, text in zip(sorted(columns), texts)]
     return f"sha256(concat_ws(',', {', '.join(texts)}))"
 
 
 def digest_sql(columns: list[str], source: str, group: str = "") -> str:
     """Oracle text of the order-free digest over ``columns``."""
+    return _sums_sql(row_hash_sql(columns, named=True), 16, source, group)
+
+
+def short_digest_sql(columns: list[str], source: str, group: str = "") -> str:
+    """Oracle text of the short one."""
+    return _sums_sql(row_hash_sql(columns), 8, source, group)
+
+
+def _sums_sql(row_hash: str, digits: int, source: str, group: str) -> str:
     head = f"{group}, " if group else ""
     sums = ", ".join(
-        f"coalesce(sum(('0x' || substr(h, {i * 8 + 1}, 8))::UBIGINT::HUGEINT), 0)::VARCHAR AS sum_{i}" for i in range(4)
+        f"coalesce(sum(('0x' || substr(h, {i * digits + 1}, {digits}))::UBIGINT::HUGEINT), 0)::VARCHAR AS sum_{i}"
+        for i in range(4)
     )
     tail = f" GROUP BY {group}" if group else ""
-    return f"SELECT {head}count(*) AS row_count, {sums} FROM (SELECT {head}{row_hash_sql(columns)} AS h FROM {source}){tail}"
+    return f"SELECT {head}count(*) AS row_count, {sums} FROM (SELECT {head}{row_hash} AS h FROM {source}){tail}"
 
 
 QUERIES["ledger_prefix_proof"] = ledger_prefix_proof

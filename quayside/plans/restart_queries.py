@@ -12,7 +12,7 @@ from quayside.operators import credentials, outbox, restart
 from quayside.plans import derived
 from quayside.plans.derived import table, with_tables
 from quayside.plans.graph_queries import node_records
-from quayside.plans.ledger_queries import digest_sql, row_hash_sql
+from quayside.plans.ledger_queries import digest_sql, row_hash_sql, short_digest_sql
 from quayside.plans.receiving_queries import receiving_plan
 
 QUERIES = {}
@@ -232,11 +232,10 @@ QUERIES["parameter_fingerprints"] = lambda spark, sf_dir: restart.parameter_fing
 )
 
 
-def _combined_sql(source: str, columns: list[str]) -> str:
-    inner = digest_sql(columns, source, "node_id")
+def _combined_sql(digest: str) -> str:
     return (
         "SELECT node_id, sha256(row_count || '|' || sum_0 || '|' || sum_1 || '|' || sum_2 || '|' || sum_3) "
-        f"AS fingerprint FROM ({inner})"
+        f"AS fingerprint FROM ({digest})"
     )
 
 
@@ -244,7 +243,7 @@ _PARAMETERS = """(SELECT l_partkey AS node_id, 'rules.' || l_orderkey || '.' ||
         CASE WHEN l_linenumber % 2 = 0 AND s_name IS NOT NULL THEN sha256(s_name)
              ELSE l_quantity::BIGINT::VARCHAR END AS value
     FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
-ORACLES["parameter_fingerprints"] = _combined_sql(_PARAMETERS, ["path", "value"])
+ORACLES["parameter_fingerprints"] = _combined_sql(digest_sql(["path", "value"], _PARAMETERS, "node_id"))
 
 
 def input_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,11 +278,10 @@ ORACLES["input_fingerprints"] = with_tables(
     f"""SELECT n.node_id, sha256({row_hash_sql(["application", "code", "environment", "node_id", "strategy", "trigger"])}
                    || '|' || coalesce(u.fingerprint, '')) AS fingerprint
         FROM (SELECT *, 'receiving' AS application, 'code-a' AS code, 'local' AS environment FROM nodes) n
-        LEFT JOIN ({_combined_sql('''(
+        LEFT JOIN ({_combined_sql(short_digest_sql(["dependency", "status", "output", "digest", "row_count"], '''(
             SELECT dst AS node_id, src AS dependency, CASE WHEN status = 'SKIPPED_ALREADY_SATISFIED'
                    THEN 'SUCCEEDED' ELSE status END AS status, 'accepted' AS output, digest, row_count
-            FROM edges JOIN records ON src = records.node_id)''',
-            ["dependency", "status", "output", "digest", "row_count"])}) u USING (node_id)""",
+            FROM edges JOIN records ON src = records.node_id)''', "node_id"))}) u USING (node_id)""",
     "nodes",
     "edges",
     "records",

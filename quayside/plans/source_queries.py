@@ -16,7 +16,7 @@ from quayside.functions.digest import dataset_digest
 from quayside.operators import receiving, restart
 from quayside.plans import derived
 from quayside.plans.derived import with_tables
-from quayside.plans.ledger_queries import digest_sql
+from quayside.plans.ledger_queries import digest_sql, short_digest_sql
 from quayside.plans.receiving_queries import classified
 from quayside.session import scratch_path
 from quayside.sources import delimited, ledger_table, snapshots, xml
@@ -78,7 +78,7 @@ derived.SQL["landed"] = """
 ORACLES["file_statistics"] = with_tables(
     "SELECT count(*) AS files, max(length) AS largest, sum(length)::BIGINT AS total_bytes FROM landed", "landed"
 )
-ORACLES["file_set_fingerprint"] = with_tables(digest_sql(["path", "length", "sha256"], "landed"), "landed")
+ORACLES["file_set_fingerprint"] = with_tables(short_digest_sql(["path", "length", "sha256"], "landed"), "landed")
 
 
 def _document(case: Column) -> Column:
@@ -167,7 +167,7 @@ def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["file_digest"] = file_digest
-ORACLES["file_digest"] = with_tables(digest_sql(["length", "sha256"], "landed"), "landed")
+ORACLES["file_digest"] = with_tables(short_digest_sql(["length", "sha256"], "landed"), "landed")
 
 
 def publish_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

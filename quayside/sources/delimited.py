@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quayside.errors import DataFailure, source_unavailable
-from quayside.functions.digest import dataset_digest
+from quayside.functions.digest import short_digest
 
 
 # Quotes are doubled inside quoted fields.
@@ -69,4 +69,4 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def source_digest(spark: SparkSession, path: str) -> DataFrame:
     """One digest over sizes and contents of a file or folder."""
-    return dataset_digest(file_digests(spark, path).drop("path"))
+    return short_digest(file_digests(spark, path).drop("path"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quayside.errors import DataFailure
-from quayside.functions.digest import WORDS, dataset_digest, proof_fingerprint
+from quayside.functions.digest import SUMS, dataset_digest, proof_fingerprint
 from quayside.functions.text import PATH_PART
 
 REFERENCE_SCHEMA = StructType(
@@ -123,7 +123,7 @@ def content_proofs(spark: SparkSession, versions: list[tuple[str, int, str]]) ->
         digests.append(dataset_digest(rows.select("*", _folder(F.col("_metadata.file_path")).alias("_folder")), "_folder"))
     found = functools.reduce(DataFrame.unionByName, digests)
     # A version without rows has no row of its own.
-    none = {"row_count": 0, **{f"sum_{i}": "0" for i in range(WORDS)}}
+    none = {"row_count": 0, **{f"sum_{i}": "0" for i in range(SUMS)}}
     joined = wanted.join(found, F.col("folder") == F.col("_folder"), "left").na.fill(none)
     return joined.select("folder", proof_fingerprint(F.col("schema")).alias("digest"), "row_count", "schema")
 

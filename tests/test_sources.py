@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 import shutil
 
@@ -84,6 +85,20 @@ def test_digest_ignores_column_order(spark):
     assert dataset_digest(frame).first() == dataset_digest(frame.select("y", "x")).first()
 
 
+def test_digest_covers_the_whole_hash_and_the_names(spark):
+    frame = spark.createDataFrame([(n, f"é{n}" if n % 3 else None) for n in range(50)], "n long, word string")
+    hashes = []
+    for n in range(50):
+        word = f"é{n}".encode() if n % 3 else None
+        text = f"1:n={len(str(n))}:{n},4:word=".encode() + (b"-" if word is None else b"%d:%s" % (len(word), word))
+        hashes.append(hashlib.sha256(text).hexdigest())
+    assert all(len(hash_) == 64 for hash_ in hashes)
+    expected = [str(sum(int(hash_[16 * i : 16 * i + 16], 16) for hash_ in hashes)) for i in range(4)]
+    got = dataset_digest(frame).first()
+    assert [got.row_count, *(got[f"sum_{i}"] for i in range(4))] == [50, *expected]
+    assert dataset_digest(frame.withColumnRenamed("word", "x")).first() != got
+
+
 def test_reference_pins_identity_and_content(spark, base):
     first = snapshots.write_version(numbers(spark, 2, 1), f"{base}/one")
     second = snapshots.write_version(numbers(spark, 1, 2), f"{base}/two")
