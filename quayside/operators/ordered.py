@@ -21,6 +21,7 @@ SEQUENCE_WIDTHS = (1 << 20,)
 SEGMENT_ROWS = 1 << 20
 MOST_SEGMENTS = 1 << 12
 COARSE = 64  # bounds that a row is compared with in each of two steps
+KEY_BUCKETS = 1 << 14
 
 _ORDER, _SEGMENT, _VALUE, _CARRIED = "_order", "_segment", "_value", "_carried"
 
@@ -53,6 +54,18 @@ def quantile_segments(frame: DataFrame, order: str) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * COARSE + below(fine))
 
 
+def crowded(frame: DataFrame, keys: Sequence[str]) -> Column | None:
+    """A condition that holds for every row whose key has more than ``SEGMENT_ROWS`` rows, or None where there is none.
+
+    Rows are counted per bucket of keys; the driver gets the buckets above that bound. All other keys are known to fit
+    one task's sort as a segment does, and need no segments.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    counts = frame.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    full = [row["bucket"] for row in counts.where(F.col("rows") > SEGMENT_ROWS).collect()]
+    return bucket.isin(full) if full else None
+
+
 def running_sum(
     frame: DataFrame,
     keys: Sequence[str],

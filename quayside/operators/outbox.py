@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.errors import DataFailure
@@ -32,42 +32,67 @@ def actions(existing: DataFrame, incoming: DataFrame, order: Column, carried: Se
     ``conflict`` where the identity exists for other content, ``refresh`` where a pending intent only points
     to another output reference, and ``noop``.
 
-    Both frames: effect_id, payload_digest, output_reference; ``existing`` also has its status. Existing rows
-    take part as the first row of their identity, so nothing is joined and an identity may occur any number
-    of times. The result keeps the columns ``carried`` of ``incoming``.
+    Both frames: effect_id, payload_digest, output_reference; ``existing`` also has its status, and ``sequence`` where it
+    holds several records of an identity, of which the newest counts. Existing rows take part ahead of the incoming ones
+    of their identity, so nothing is joined and an identity may occur any number of times. The result keeps the columns
+    ``carried`` of ``incoming``.
+
+    Rows are shuffled once, by identity; only identities that are too large for one task are cut into segments.
     """
     columns = ["effect_id", "payload_digest", "output_reference"]
-    rows = incoming.select(
-        *columns,
-        F.lit(PENDING).alias("status"),
-        order.cast("long").alias("_at"),
-        order.cast("long").alias("arrival"),
-        *carried,
-    ).unionByName(
-        existing.select(*columns, "status", F.lit(-1).cast("long").alias("_at")), allowMissingColumns=True
+    arriving = incoming.select(
+        *columns, F.lit(PENDING).alias("status"), order.cast("long").alias("_at"), order.cast("long").alias("arrival"), *carried
     )
-    holder = F.struct("payload_digest", "status")
-    held = ordered.first_value(rows, ["effect_id"], F.col("_at"), holder, "_held")
+    stored = existing.select(*columns, "status", _stored_place(existing).alias("_at"))
+    large = ordered.crowded(existing.select("effect_id").unionAll(incoming.select("effect_id")), ["effect_id"])
+    if large is None:
+        held = _held(arriving.unionByName(stored, allowMissingColumns=True))
+    else:
+        newest = F.max_by(F.struct(*stored.columns), "_at")
+        first = stored.where(large).groupBy("effect_id").agg(newest.alias("_newest")).select("_newest.*")
+        held = _held(arriving.where(~large).unionByName(stored.where(~large), allowMissingColumns=True)).unionByName(
+            _held_in_segments(arriving.where(large).unionByName(first, allowMissingColumns=True))
+        )
     same = F.col("payload_digest") == F.col("_held.payload_digest")
-    conflicts = held.where(~same).withColumn("action", F.lit("conflict"))
-    # Only intents for the same content touch the stored reference, so each looks at the one before it.
-    before = ordered.previous(
-        held.where(same), ["effect_id"], F.col("_at"), F.struct("output_reference"), "_stored"
-    )
     moved = ~F.col("output_reference").eqNullSafe(F.col("_stored.output_reference"))
     action = (
-        F.when(F.col("_stored").isNull(), "insert")
+        F.when(~same, "conflict")
+        .when(F.col("_stored").isNull(), "insert")
         .when((F.col("_held.status") == PENDING) & moved, "refresh")
         .otherwise("noop")
     )
-    kept = before.withColumn("action", action).drop("_stored")
-    return (
-        conflicts.unionByName(kept)
-        .where(F.col("arrival").isNotNull())
-        .select("arrival", *columns, *carried, "action")
+    return held.where(F.col("arrival").isNotNull() & same.isNotNull()).select(
+        "arrival", *columns, *carried, action.alias("action")
     )
 
 
+def _stored_place(existing: DataFrame) -> Column:
+    """A place in the order, below 0."""
+    return F.col("sequence") - F.lit(1 << 62) if "sequence" in existing.columns else F.lit(-1).cast("long")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows with ``_held``, the content that holds their identity, and ``_stored``, the reference that the row for the
+    same content before them left."""
+    by_identity = Window.partitionBy("effect_id").orderBy("_at")
+    so_far = by_identity.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = by_identity.rowsBetween(Window.unboundedPreceding, -1)
+    holder = F.struct("payload_digest", "status")
+    newest = F.last(F.when(F.col("_at") < 0, holder), ignorenulls=True).over(so_far)
+    held = rows.withColumn("_held", F.coalesce(newest, F.first(holder).over(so_far)))
+    same = F.col("payload_digest") == F.col("_held.payload_digest")
+    return held.withColumn("_stored", F.last(F.when(same, F.struct("output_reference")), ignorenulls=True).over(ahead))
+
+
+def _held_in_segments(rows: DataFrame) -> DataFrame:
+    """The same for identities of any size that have one stored row at most."""
+    held = ordered.first_value(rows, ["effect_id"], F.col("_at"), F.struct("payload_digest", "status"), "_held")
+    same = F.col("payload_digest") == F.col("_held.payload_digest")
+    # Only intents for the same content touch the stored reference, so each looks at the one before it.
+    before = ordered.previous(held.where(same), ["effect_id"], F.col("_at"), F.struct("output_reference"), "_stored")
+    return before.unionByName(held.where(~same), allowMissingColumns=True)
+
+
 def new_intents(decided: DataFrame) -> DataFrame:
     """Rows to append as OUTBOX_COMMITTED."""
     return decided.where(F.col("action") == "insert").drop("action").withColumn("status", F.lit(PENDING))

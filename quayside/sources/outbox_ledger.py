@@ -21,6 +21,14 @@ def stored_intents(events: DataFrame) -> DataFrame:
     )
 
 
+def _records(events: DataFrame) -> DataFrame:
+    """Every stored record of the committed intents, with its sequence number."""
+    read = events.where(F.col("entity_type") == "outbox").select(
+        F.col("entity_id").alias("effect_id"), "sequence", F.from_json("payload", _PAYLOAD).alias("p")
+    )
+    return read.select("effect_id", "sequence", "p.payload_digest", "p.output_reference", "p.status")
+
+
 def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> dict[str, int]:
     """Decides what each intent does against what is stored, and appends it as one commit: new identities, and pending
     ones that point to another output. A replay appends nothing; a conflict fails the batch before anything is written.
@@ -32,10 +40,10 @@ def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> di
     """
     named = outbox.with_effect_id(intents).where("valid_operation").drop("valid_operation")
     shards = ledger_table.touched_shards(named, "effect_id")
-    stored = stored_intents(ledger_table.intents(spark, path, shards))
+    stored = _records(ledger_table.intents(spark, path, shards))
     carried = ["scope", "node_id", "operation"]
     decided, counts = materialize(
-        outbox.actions(stored, named, F.col(order), carried),
+        outbox.actions(stored, named, F.col(order), carried).where(F.col("action") != "noop"),
         scratch_path(spark, "outbox-decided"),
         **{action: F.count_if(F.col("action") == action) for action in (*_EVENTS, "conflict")},
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.errors import DataFailure
-from quayside.operators import credentials, outbox, restart
+from quayside.operators import credentials, ordered, outbox, restart
 
 # --- outbox ------------------------------------------------------------------------------------
 
@@ -187,3 +187,25 @@ def test_null_keys_meet(spark):
     assert all(r.valid for r in restart.validate_references(proofs, proofs, ["k"]).collect())
     changed = restart.changed_inputs(proofs, proofs.where("k = 'x'"), ["k"]).collect()
     assert [(r.k, r.change) for r in changed] == [(None, "removed")]
+
+
+def test_actions_on_stored_records_and_large_identities(spark, monkeypatch):
+    """Several stored records of an identity count by their newest; identities beyond one task's rows go by segments."""
+    rng = random.Random(9)
+    incoming = [(at, f"e{rng.choice([0, 0, 0, *range(10)])}", rng.choice("ab"), rng.choice("xyz")) for at in range(200)]
+    records = [(f"e{i % 6}", "ab"[i % 5 == 0], rng.choice("xyz"), rng.choice([outbox.PENDING, "DISPATCHED"]), i) for i in range(20)]
+    newest = {row[0]: row[:4] for row in records}
+    columns = "effect_id string, payload_digest string, output_reference string"
+    stored = spark.createDataFrame(records, f"{columns}, status string, sequence long")
+    batch = spark.createDataFrame(incoming, f"at long, {columns}")
+    expected = play(list(newest.values()), incoming)
+    decided = outbox.actions(stored, batch, F.col("at"))
+    assert {r.arrival: r.action for r in decided.collect()} == expected
+    plan = decided._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 50)
+    assert ordered.crowded(batch, ["effect_id"]) is not None
+    for widths in ((1 << 20,), (16,)):
+        monkeypatch.setattr(ordered.first_value, "__defaults__", (widths,))
+        monkeypatch.setattr(ordered.previous, "__defaults__", (widths,))
+        assert {r.arrival: r.action for r in outbox.actions(stored, batch, F.col("at")).collect()} == expected
