@@ -22,11 +22,14 @@ def stored_intents(events: DataFrame) -> DataFrame:
 
 
 def _records(events: DataFrame) -> DataFrame:
-    """Every stored record of the committed intents, with its sequence number."""
+    """Every stored record of the committed intents, with its sequence number and its identity as bytes."""
     read = events.where(F.col("entity_type") == "outbox").select(
-        F.col("entity_id").alias("effect_id"), "sequence", F.from_json("payload", _PAYLOAD).alias("p")
+        F.unhex("entity_id").alias("effect_id"), "sequence", F.from_json("payload", _PAYLOAD).alias("p")
+    )
+    # What is no hash is the identity of no intent.
+    return read.where(F.col("effect_id").isNotNull()).select(
+        "effect_id", "sequence", "p.payload_digest", "p.output_reference", "p.status"
     )
-    return read.select("effect_id", "sequence", "p.payload_digest", "p.output_reference", "p.status")
 
 
 def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> dict[str, int]:
@@ -42,8 +45,10 @@ def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> di
     shards = ledger_table.touched_shards(named, "effect_id")
     stored = _records(ledger_table.intents(spark, path, shards))
     carried = ["scope", "node_id", "operation"]
+    # Identities are hashes, which take half the room as bytes.
+    as_bytes = named.withColumn("effect_id", F.unhex("effect_id"))
     decided, counts = materialize(
-        outbox.actions(stored, named, F.col(order), carried).where(F.col("action") != "noop"),
+        outbox.actions(stored, as_bytes, F.col(order), carried).where(F.col("action") != "noop"),
         scratch_path(spark, "outbox-decided"),
         **{action: F.count_if(F.col("action") == action) for action in (*_EVENTS, "conflict")},
     )
@@ -58,7 +63,7 @@ def commit(spark: SparkSession, path: str, intents: DataFrame, order: str) -> di
     batch = decided.where(F.col("action").isin(*_EVENTS)).select(
         "scope",
         F.lit("outbox").alias("entity_type"),
-        F.col("effect_id").alias("entity_id"),
+        F.lower(F.hex("effect_id")).alias("entity_id"),
         F.lit(None).cast("string").alias("run_id"),
         "node_id",
         kind.alias("event_type"),

@@ -311,3 +311,17 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     frame = spark.createDataFrame([*rows, (None, 'q"')], schema)
     delimited.write_csv(frame, str(tmp_path / "out"))
     assert {tuple(r) for r in delimited.read_csv(spark, str(tmp_path / "out"), schema).collect()} == {*rows, (None, 'q"')}
+
+
+def test_replays_leave_no_rows_behind(spark, base, monkeypatch):
+    """What a commit keeps for itself is what it appends, with identities as bytes."""
+    ledger_table.create(spark, base)
+    kept = []
+    plain = outbox_ledger.materialize
+    monkeypatch.setattr(outbox_ledger, "materialize", lambda *a, **k: (kept.append(plain(*a, **k)), kept[-1])[1])
+    for batch in ([(0, "p", "r"), (1, "p", "r")], [(0, "p", "r"), (1, "p", "r")], [(1, "p", "moved")]):
+        outbox_ledger.commit(spark, base, intent_batch(spark, batch), "arrival")
+    assert [dict(frame.dtypes)["effect_id"] for frame, _ in kept] == ["binary"] * 3
+    assert [frame.count() for frame, _ in kept][1] == 0
+    stored = outbox_ledger.stored_intents(ledger_table.intents(spark, base)).select("effect_id").collect()
+    assert all(re.fullmatch("[0-9a-f]{64}", row.effect_id) for row in stored)
