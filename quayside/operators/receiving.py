@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quayside.contracts import LINE_COLUMNS, LINE_KEY, MAX_LONG, PLAN_GROUPS, PRODUCT_COLUMNS
 from quayside.errors import DataFailure
 from quayside.functions.text import long_or_null, missing, strict_quantity
+from quayside.operators import ordered
 
 SALTS = 64  # copies of a conflicting key's count that its rows are spread over
 
@@ -25,6 +26,30 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
 def key_versions(lines: DataFrame) -> DataFrame:
     """Distinct rows with ``versions``, the number of distinct rows that share their line key (NULL = NULL).
 
+    Rows are shuffled once, by key; those of keys too large for one task, be it by copies or versions, are told apart
+    and counted by salts.
+    """
+    large = ordered.crowded(lines, LINE_KEY)
+    if large is None:
+        return _counted_by_key(lines)
+    return _counted_by_key(lines.where(~large)).unionByName(_counted_by_salt(lines.where(large)))
+
+
+def _counted_by_key(lines: DataFrame) -> DataFrame:
+    """Dealt by their key, copies collapse, versions are counted and counts are looked up where the rows are. The key is
+    a struct, so that NULL parts meet by plain equality and both sides of the join keep the one deal."""
+    rest = [name for name in LINE_COLUMNS if name not in LINE_KEY]
+    keyed = lines.select(F.struct(*LINE_KEY).alias("_key"), *rest).repartition("_key").dropDuplicates()
+    several = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_versions")).where(F.col("_versions") > 1)
+    return keyed.join(several.hint("shuffle_hash"), "_key", "left").select(
+        *[F.col(f"_key.{name}" if name in LINE_KEY else name).alias(name) for name in LINE_COLUMNS],
+        F.coalesce("_versions", F.lit(1)).alias("versions"),
+    )
+
+
+def _counted_by_salt(lines: DataFrame) -> DataFrame:
+    """The same for keys with any number of rows.
+
     Rows are counted per key and salt first, with map-side partial sums, then per key, which keeps the set of its salts.
     Only keys of several versions go on to the join, once for each salt that occurs: at most as often as they have rows.
     The rows of one key, however many, meet their count in as many tasks as there are salts. A row that finds no count

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quayside.contracts import LINE_SCHEMA, PRODUCT_SCHEMA
 from quayside.errors import DataFailure
-from quayside.operators import receiving
+from quayside.operators import ordered, receiving
 
 BASE = dict(
     shipment_id="ASN-TEST",
@@ -148,3 +150,27 @@ def test_conflicting_keys_meet_only_salts_that_occur(spark):
     salted = receiving.dedup_lines(lines).withColumn("_salt", F.pmod(F.xxhash64("quantity"), F.lit(receiving.SALTS)).cast("int"))
     joined = receiving.conflicting_keys(salted)
     assert joined.count() <= receiving.SALTS + 6 and joined.where("shipment_id = 'HOT'").count() <= receiving.SALTS
+
+
+def test_versions_take_one_shuffle_but_for_large_keys(spark, monkeypatch):
+    """Keys of more rows than one task sorts, by copies, versions or NULL keys, are counted by salts."""
+    rows = [("A", "1", "s", "w", str(i % 40), "EA") for i in range(120)]
+    rows += [("B", "1", "s", "w", "1", "EA")] * 90 + [(None, "1", "s", "w", str(i), None) for i in range(70)]
+    rows += [(f"C{i}", "1", "s", "w", str(q), "EA") for i in range(60) for q in range(1 + i % 2)]
+    frame = spark.createDataFrame(rows, LINE_SCHEMA)
+    versions = {}
+    for row in set(rows):
+        versions[row[:2]] = versions.get(row[:2], 0) + 1
+    expected = sorted((*map(str, row), versions[row[:2]]) for row in set(rows))
+
+    def counted():
+        got = receiving.key_versions(frame)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((*map(str, row[:6]), row.versions) for row in got.collect())
+        return found, len(set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)))
+
+    assert counted() == (expected, 1)
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 50)
+    assert ordered.crowded(frame, ["shipment_id", "line_id"]) is not None
+    got, shuffles = counted()
+    assert got == expected and shuffles > 1
