@@ -4,7 +4,9 @@ All traversals work on whole frontiers. Runs of nodes with a single dependency a
 doubling, so a chain of n nodes costs log2(n) rounds instead of n; the frontier loop then only walks the
 nodes that have several dependencies, and takes ``LEVELS`` levels of them in one round: each level reads the one before
 once, so the plan of a round grows with its levels and not with their powers. A round writes one folder, which keeps
-lineage short and survives lost executors; all folders are read by one scan.
+lineage short and survives lost executors; all folders are read by one scan. Walks carry the columns of their question
+only. Distinct edges are written once (``prepared_edges``), so that joins know their size, and several walks over one
+graph can share them.
 
 ``node_id`` may be a struct, so that many graphs (one per run, say) are walked in the same rounds.
 """
@@ -21,19 +23,40 @@ from quayside.session import materialize, scratch_path
 
 LEVELS = 8  # of the graph that one round walks
 PRIME = (1 << 61) - 1  # fingerprints that are carried down a graph are numbers modulo this
+HALF = (1 << 31) - 1
+_FACTOR = "_factor_of_edge"
 
 
 def _modulo(number: Column) -> Column:
-    return F.pmod(number, F.lit(PRIME).cast("decimal(38,0)")).cast("bigint")
+    """Of a number up to 2^63 - 1."""
+    return F.pmod(number, F.lit(PRIME))
+
+
+def _half(number: Column) -> Column:
+    return number.bitwiseAND(HALF)
+
+
+def _shifted(number: Column) -> Column:
+    """2^31 times a number below 2^62 modulo 2^61 - 1, not fully reduced: a bit from the 61st on counts 61 places lower."""
+    return F.shiftright(number, 30) + F.shiftleft(number.bitwiseAND((1 << 30) - 1), 31)
 
 
 def _times(a: Column, b: Column) -> Column:
-    """Products of two numbers below 2^61 fit 38 digits."""
-    return _modulo(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+    """The product of two numbers below 2^61 by halves of 31 bits; no intermediate result passes 2^63."""
+    high, low = F.shiftright(a, 31) * F.shiftright(b, 31), _half(a) * _half(b)
+    middle = F.shiftright(a, 31) * _half(b) + _half(a) * F.shiftright(b, 31)
+    return _modulo(high * 2 + _shifted(middle) + low)
 
 
 def _plus(a: Column, b: Column) -> Column:
-    return _modulo(a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+    """Of two numbers below 2^61."""
+    return _modulo(a + b)
+
+
+def _total(numbers: Column) -> Column:
+    """The sum of a group's numbers below 2^61, added up by halves, which fit a LONG for up to 2^32 rows."""
+    high, low = F.sum(F.shiftright(numbers, 31)), F.sum(_half(numbers))
+    return _modulo(_shifted(_modulo(high)) + _modulo(low))
 
 
 def short_hash(text: Column) -> Column:
@@ -74,16 +97,86 @@ def entry_mismatch(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> Da
     )
 
 
+def prepared_edges(edges: DataFrame, factors: bool = True) -> DataFrame:
+    """Distinct edges, with their ``factors`` in fingerprints if these are wanted, written once; edges that were prepared
+    before stay as they are.
+
+    Rows are dealt out before they are compared, because a table of few files is read by few tasks.
+    """
+    if _FACTOR in edges.columns:
+        return edges
+    path = scratch_path(edges.sparkSession, "edges")
+    distinct = edges.select("src", "dst").repartition("src", "dst").distinct()
+    factor = edge_factor(F.col("src"), F.col("dst")) if factors else F.lit(0).cast("long")
+    return materialize(distinct.withColumn(_FACTOR, factor), path)[0]
+
+
+@dataclass(frozen=True)
+class _Carried:
+    """What a walk carries: path lengths (``weight`` of nodes), ``marks`` (boolean columns of nodes) or ``numbers``
+    (LONG columns of nodes) from which fingerprints are made."""
+
+    paths: bool = False
+    marks: tuple[str, ...] = ()
+    numbers: tuple[str, ...] = ()
+
+    def own(self) -> list[str]:
+        """Columns of a node."""
+        return (["weight"] if self.paths else []) + [*self.marks, *self.numbers]
+
+    def of_node(self) -> dict[str, Column]:
+        """A pointer over one dependency, which ends in the node itself; ``_FACTOR`` is that of the edge."""
+        fields = {"hops": F.lit(1).cast("long"), "path_weight": F.col("weight")} if self.paths else {}
+        fields |= {name: F.col(name) for name in self.marks}
+        if self.numbers:
+            fields |= {"factor": F.col(_FACTOR)} | {f"offset_{name}": F.col(name) for name in self.numbers}
+        return fields
+
+    def nothing(self) -> dict[str, Column]:
+        """A pointer of no length."""
+        fields = {"hops": F.lit(0).cast("long"), "path_weight": F.lit(0.0)} if self.paths else {}
+        fields |= {name: F.lit(False) for name in self.marks}
+        if self.numbers:
+            fields |= {"factor": F.lit(1).cast("long")}
+            fields |= {f"offset_{name}": F.lit(0).cast("long") for name in self.numbers}
+        return fields
+
+    def joined(self) -> dict[str, Column]:
+        """A pointer behind another one, whose fields have a ``_`` in front."""
+        fields = {name: F.col(name) + F.col(f"_{name}") for name in ("hops", "path_weight")} if self.paths else {}
+        fields |= {name: F.col(name) | F.col(f"_{name}") for name in self.marks}
+        if self.numbers:
+            fields |= {"factor": _times(F.col("factor"), F.col("_factor"))}
+            for name in self.numbers:
+                behind = _times(F.col("factor"), F.col(f"_offset_{name}"))
+                fields[f"offset_{name}"] = _plus(behind, F.col(f"offset_{name}"))
+        return fields
+
+    def over_edge(self) -> dict[str, Column]:
+        """A pointer to a dependency, whose fields have a ``_`` in front, with the edge from it to a node."""
+        empty = self.nothing()
+        fields = {name: F.coalesce(F.col(f"_{name}"), empty[name]) for name in empty}
+        if self.paths:
+            fields["hops"] = fields["hops"] + 1
+        for name in ["factor", *[f"offset_{number}" for number in self.numbers]] if self.numbers else []:
+            fields[name] = _times(F.col(_FACTOR), fields[name])
+        return fields
+
+
+def _named(fields: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in fields.items()]
+
+
 @dataclass
 class _Collapsed:
     """A graph whose single-dependency nodes have been folded into the node above them (their head).
 
-    ``folded``: node_id, head, hops, path_weight (own weight included, the head's not), marked (an origin lies
-    on the path, the head not included). ``heads``: node_id, weight, marked, own, degree (0 or at least 2).
-    ``links``: head, dst, hops, path_weight, marked, degree, weight and own of dst; one per dependency of a head.
-    ``endless``: folded nodes that hang on a loop of single dependencies.
+    ``folded``: node_id, head and the pointer from one to the other. ``heads``: node_id, degree (0 or at least 2) and own
+    columns. ``links``: head, dst, the pointer, degree and own columns of dst (marks are the pointer's); one per dependency
+    of a head. ``endless``: folded nodes that hang on a loop of single dependencies, with their marks.
 
-    Folded nodes and links also say how the head's fingerprint becomes theirs: ``factor`` times it plus ``offset``.
+    Pointers have ``hops`` and ``path_weight`` (own weight included, the head's not), or marks (an origin lies on the
+    path, the head not included), or say how the head's fingerprints become theirs: ``factor`` times it plus ``offset_…``.
     """
 
     folded: DataFrame
@@ -92,33 +185,19 @@ class _Collapsed:
     endless: DataFrame
 
 
-def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
-    """``nodes`` carries weight and marked, and ``own`` where fingerprints are wanted. Edges are taken once each."""
-    hashed = "own" in nodes.columns
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def factor(src: str, dst: str) -> Column:
-        return edge_factor(F.col(src), F.col(dst)) if hashed else zero
-
-    def times(a: Column, b: Column) -> Column:
-        return _times(a, b) if hashed else zero
-
-    distinct_edges = edges.select("src", "dst").distinct()
-    degrees = distinct_edges.groupBy("dst").agg(
-        F.count(F.lit(1)).alias("degree"), F.min("src").alias("only_src")
+def _collapse(nodes: DataFrame, edges: DataFrame, path: str, carried: _Carried) -> _Collapsed:
+    """``nodes`` have the own columns of ``carried``; ``edges`` are prepared."""
+    own, fields = carried.own(), list(carried.nothing())
+    degrees = edges.groupBy("dst").agg(
+        F.count(F.lit(1)).alias("degree"), F.min("src").alias("only_src"), F.min(_FACTOR).alias(_FACTOR)
     )
     described, _ = materialize(
-        nodes.join(degrees, F.col("node_id") == F.col("dst"), "left").select(
-            "node_id",
-            F.col("weight").cast("double").alias("weight"),
-            "marked",
-            F.col("own") if hashed else zero.alias("own"),
-            F.coalesce("degree", F.lit(0)).cast("long").alias("degree"),
-            "only_src",
-        ),
+        nodes.select("node_id", *own)
+        .join(degrees, F.col("node_id") == F.col("dst"), "left")
+        .select("node_id", *own, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "only_src", _FACTOR),
         f"{path}/nodes",
     )
-    heads = described.where(F.col("degree") != 1).select("node_id", "weight", "marked", "own", "degree")
+    heads = described.where(F.col("degree") != 1).select("node_id", "degree", *own)
     single = described.where(F.col("degree") == 1)
 
     # Whether a pointer already ends at a head is known by looking its target up among the single nodes.
@@ -127,11 +206,7 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
         single.join(targets, F.col("only_src") == F.col("_target"), "left").select(
             "node_id",
             F.col("only_src").alias("head"),
-            F.lit(1).cast("long").alias("hops"),
-            F.col("weight").alias("path_weight"),
-            "marked",
-            factor("only_src", "node_id").alias("factor"),
-            F.col("own").alias("offset"),
+            *_named(carried.of_node()),
             F.coalesce("_open", F.lit(False)).alias("open"),
         ),
         f"{path}/pointers-0",
@@ -144,24 +219,10 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
     while counts["open"] and step < rounds:
         step += 1
         above = pointers.select(
-            F.col("node_id").alias("_above"),
-            F.col("head").alias("_head"),
-            F.col("hops").alias("_hops"),
-            F.col("path_weight").alias("_weight"),
-            F.col("marked").alias("_marked"),
-            F.col("factor").alias("_factor"),
-            F.col("offset").alias("_offset"),
-            F.col("open").alias("_open"),
+            F.col("node_id").alias("_above"), *[F.col(name).alias(f"_{name}") for name in ["head", *fields, "open"]]
         )
         jumped = pointers.where("open").join(above, F.col("head") == F.col("_above")).select(
-            "node_id",
-            F.col("_head").alias("head"),
-            (F.col("hops") + F.col("_hops")).alias("hops"),
-            (F.col("path_weight") + F.col("_weight")).alias("path_weight"),
-            (F.col("marked") | F.col("_marked")).alias("marked"),
-            times(F.col("factor"), F.col("_factor")).alias("factor"),
-            (_plus(_times(F.col("factor"), F.col("_offset")), F.col("offset")) if hashed else zero).alias("offset"),
-            F.col("_open").alias("open"),
+            "node_id", F.col("_head").alias("head"), *_named(carried.joined()), F.col("_open").alias("open")
         )
         pointers, counts = materialize(
             pointers.where(~F.col("open")).unionByName(jumped),
@@ -171,40 +232,20 @@ def _collapse(nodes: DataFrame, edges: DataFrame, path: str) -> _Collapsed:
         )
     folded = pointers.where(~F.col("open")).drop("open")
     # A loop's pointers have passed all nodes ahead of them by now, so marks cover the whole loop.
-    endless = pointers.where("open").select("node_id", "marked")
-
-    above = folded.select(
-        F.col("node_id").alias("src"),
-        F.col("head").alias("_head"),
-        F.col("hops").alias("_hops"),
-        F.col("path_weight").alias("_weight"),
-        F.col("marked").alias("_marked"),
-        F.col("factor").alias("_factor"),
-        F.col("offset").alias("_offset"),
-    ).unionByName(
-        endless.select(
-            F.col("node_id").alias("src"),
-            F.col("node_id").alias("_head"),
-            F.lit(0).cast("long").alias("_hops"),
-            F.lit(0.0).alias("_weight"),
-            F.col("marked").alias("_marked"),
-            zero.alias("_factor"),
-            zero.alias("_offset"),
-        )
+    endless = pointers.where("open").select("node_id", *carried.marks)
+
+    empty = carried.nothing()
+    looping = endless.select("node_id", F.col("node_id").alias("head"), *carried.marks, *_named(
+        {name: column for name, column in empty.items() if name not in carried.marks}
+    ))
+    above = folded.unionByName(looping).select(
+        F.col("node_id").alias("src"), *[F.col(name).alias(f"_{name}") for name in ["head", *fields]]
     )
-    joining = heads.where(F.col("degree") >= 2).select(F.col("node_id").alias("dst"), "degree", "weight", "own")
+    described_by = [name for name in own if name not in carried.marks]
+    joining = heads.where(F.col("degree") >= 2).select(F.col("node_id").alias("dst"), "degree", *described_by)
     links, _ = materialize(
-        distinct_edges.join(joining, "dst").join(above, "src", "left").select(
-            F.coalesce("_head", "src").alias("head"),
-            "dst",
-            (F.coalesce("_hops", F.lit(0)) + 1).cast("long").alias("hops"),
-            F.coalesce("_weight", F.lit(0.0)).alias("path_weight"),
-            F.coalesce("_marked", F.lit(False)).alias("marked"),
-            times(factor("src", "dst"), F.coalesce("_factor", one)).alias("factor"),
-            times(factor("src", "dst"), F.coalesce("_offset", zero)).alias("offset"),
-            "degree",
-            "weight",
-            "own",
+        edges.join(joining, "dst").join(above, "src", "left").select(
+            F.coalesce("_head", "src").alias("head"), "dst", *_named(carried.over_edge()), "degree", *described_by
         ),
         f"{path}/links",
     )
@@ -216,64 +257,89 @@ def _all_rounds(frame: DataFrame, paths: list[str]) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(*paths)
 
 
-def _onward(links: DataFrame, frontier: DataFrame) -> DataFrame:
-    """``node_id, level`` of what ``LEVELS`` steps along ``links`` reach from ``frontier`` (level 0), each node at its
-    smallest level. Only nodes found in the step before walk on."""
+NEWEST = 1  # nodes found or settled in the step before; those of earlier steps have 0, all others NULL
+
+
+def _stage(name: str) -> str:
+    return f"stage_{name}"
+
+
+def _any(conditions: list[Column]) -> Column:
+    return F.array_contains(F.array(*[F.coalesce(condition, F.lit(False)) for condition in conditions]), True)
+
+
+def _onward(links: DataFrame, frontier: DataFrame, names: list[str]) -> DataFrame:
+    """``node_id`` and stages of what ``LEVELS`` steps along ``links`` reach from ``frontier``, whose nodes are the newest
+    of the sets of origins (``names``) that they were reached from; NULL for sets that don't reach a node. Only the newest
+    nodes walk on. Steps don't count themselves, so that they all are the same code to Spark."""
     steps = links.select(F.col("head").alias("node_id"), "dst")
-    found = frontier.select("node_id", F.lit(0).alias("level"))
-    for level in range(LEVELS):
-        here = F.struct("node_id", "level")
-        next_ = F.struct(F.col("dst").alias("node_id"), F.lit(level + 1).alias("level"))
-        walked = found.alias("f").join(
-            steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & (F.col("level") == level), "left"
+    stages = [_stage(name) for name in names]
+    newest = _any([F.col(stage) == NEWEST for stage in stages])
+    found = frontier.select("node_id", *stages)
+    for _ in range(LEVELS):
+        walked = found.alias("f").join(steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & newest, "left")
+        here = F.struct(
+            F.col("f.node_id").alias("node_id"), *[F.when(F.col(stage) >= 0, 0).alias(stage) for stage in stages]
+        )
+        next_ = F.struct(
+            F.col("dst").alias("node_id"), *[F.when(F.col(stage) == NEWEST, NEWEST).alias(stage) for stage in stages]
         )
         both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, next_))
         found = (
-            walked.select("f.node_id", "level", "dst")
-            .select(F.explode(both).alias("n"))
+            walked.select(F.explode(both).alias("n"))
             .groupBy("n.node_id")
-            .agg(F.min("n.level").alias("level"))
+            .agg(*[F.min(f"n.{stage}").alias(stage) for stage in stages])
         )
     return found
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, origins: DataFrame) -> DataFrame:
     """The origins and everything that depends on them, directly or not: ``node_id``."""
-    path = scratch_path(nodes.sparkSession, "descendants")
-    marks = origins.select("node_id").distinct().withColumn("marked", F.lit(True))
-    described = (
-        nodes.select("node_id")
-        .join(marks, "node_id", "left")
-        .select("node_id", F.lit(0.0).alias("weight"), F.coalesce("marked", F.lit(False)).alias("marked"))
-    )
-    graph = _collapse(described, edges, path)
+    return descendants_of(nodes, edges, {"origin": origins}).select("node_id")
+
+
+def descendants_of(nodes: DataFrame, edges: DataFrame, origins: dict[str, DataFrame]) -> DataFrame:
+    """Several sets of origins by one walk: ``node_id`` and, under the name of each set, whether the node is one of its
+    origins or depends on one. Nodes that no set leads to are left out."""
+    path, names = scratch_path(nodes.sparkSession, "descendants"), list(origins)
+    described = nodes.select("node_id")
+    for name, frame in origins.items():
+        described = described.join(frame.select("node_id").distinct().withColumn(name, F.lit(True)), "node_id", "left")
+    described = described.select("node_id", *[F.coalesce(name, F.lit(False)).alias(name) for name in names])
+    graph = _collapse(described, prepared_edges(edges, factors=False), path, _Carried(marks=tuple(names)))
+    marked = _any([F.col(name) for name in names])
     # Heads to start from: origins themselves, and heads fed by a path on which an origin lies.
-    start = (
-        graph.heads.where("marked")
-        .select("node_id")
-        .unionAll(graph.links.where("marked").select(F.col("dst").alias("node_id")))
-        .distinct()
+    frontier = (
+        graph.heads.where(marked)
+        .select("node_id", *names)
+        .unionAll(graph.links.where(marked).select(F.col("dst").alias("node_id"), *names))
+        .groupBy("node_id")
+        .agg(*[F.min(F.when(F.col(name), NEWEST)).alias(_stage(name)) for name in names])
     )
-    newest = F.count_if(F.col("level") == LEVELS)
-    frontier, paths = start, []
+    newest = _any([F.col(_stage(name)) == NEWEST for name in names])
+    paths: list[str] = []
     while True:
-        onward = _onward(graph.links, frontier)
+        onward = _onward(graph.links, frontier, names)
         if paths:
-            onward = onward.join(reached.select("node_id"), "node_id", "left_anti")
+            # What an earlier round reached from the same set is neither written again nor walked on from.
+            known = reached.groupBy("node_id").agg(*[F.min(_stage(name)).alias(f"_{name}") for name in names])
+            onward = onward.join(known, "node_id", "left").select(
+                "node_id",
+                *[F.when(F.col(f"_{name}").isNull(), F.col(_stage(name))).alias(_stage(name)) for name in names],
+            ).where(F.coalesce(*map(_stage, names)).isNotNull())
         paths.append(f"{path}/reached-{len(paths)}")
-        found, counts = materialize(onward, paths[-1], newest=newest)
+        found, counts = materialize(onward, paths[-1], newest=F.count_if(newest))
         reached = _all_rounds(found, paths)
         if not counts["newest"]:
             break
-        frontier = found.where(F.col("level") == LEVELS)
+        frontier = found.where(newest).select(
+            "node_id", *[F.when(F.col(_stage(name)) == NEWEST, NEWEST).alias(_stage(name)) for name in names]
+        )
+    heads = reached.groupBy("node_id").agg(*[F.min(_stage(name)).isNotNull().alias(name) for name in names])
     below = graph.folded.join(
-        reached.select(F.col("node_id").alias("head"), F.lit(True).alias("_reached")), "head", "left"
-    )
-    return (
-        reached.select("node_id")
-        .unionAll(below.where(F.col("marked") | F.coalesce(F.col("_reached"), F.lit(False))).select("node_id"))
-        .unionAll(graph.endless.where("marked").select("node_id"))
-    )
+        heads.select(F.col("node_id").alias("head"), *[F.col(name).alias(f"_{name}") for name in names]), "head", "left"
+    ).select("node_id", *[(F.col(name) | F.coalesce(f"_{name}", F.lit(False))).alias(name) for name in names])
+    return heads.unionByName(below.where(marked)).unionByName(graph.endless.where(marked))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -281,119 +347,90 @@ def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataF
     return nodes.select("node_id").join(descendants(nodes, edges, entries), "node_id", "left_anti")
 
 
-def _settle(links: DataFrame, state: DataFrame, hashed: bool) -> DataFrame:
-    """``LEVELS`` steps of settling heads. ``state``: node_id, degree, weight, own, seen (dependencies that have arrived),
-    wave and best (the largest over those), value (the sum of their fingerprints, each by its link), level (0 for heads
-    settled in the round before, else NULL).
+def _settle(links: DataFrame, state: DataFrame, carried: _Carried) -> DataFrame:
+    """``LEVELS`` steps of settling heads. ``state``: node_id, degree, own columns, seen (dependencies that have arrived),
+    wave and best (the largest over those) or ``value_…`` (the sum of their fingerprints, each by its link), stage (NULL
+    for heads that wait).
 
     A step joins the heads that settled in the step before with their links and adds up what arrives. Rows of a head
     itself are repeated by the join, so they are combined by their largest and only arrivals are added.
     """
+    own, numbers = carried.own(), carried.numbers
+    pointer = [name for name in carried.nothing() if name not in carried.marks]
     steps = links.select(
-        F.col("head").alias("node_id"),
-        "dst",
-        "hops",
-        "path_weight",
-        F.col("degree").alias("dst_degree"),
-        F.col("weight").alias("dst_weight"),
-        F.col("own").alias("dst_own"),
-        "factor",
-        "offset",
+        F.col("head").alias("node_id"), "dst", *pointer, *[F.col(name).alias(f"dst_{name}") for name in ["degree", *own]]
     )
-    none, zero = F.lit(None).cast("int"), F.lit(0).cast("bigint")
-    print_ = _plus(F.col("value"), F.col("f.own"))
-    handed = _plus(_times(F.col("factor"), print_), F.col("offset")) if hashed else zero
-    for level in range(LEVELS):
-        walked = state.alias("f").join(
-            steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & (F.col("level") == level), "left"
-        )
-        own = F.struct(
-            F.col("f.node_id").alias("node_id"),
-            "degree",
-            "weight",
-            F.col("f.own").alias("own"),
-            "seen",
-            zero.alias("arrived"),
-            "wave",
-            "best",
-            "value",
-            zero.alias("handed"),
-            "level",
-        )
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    carry = [*own, *(["wave", "best"] if carried.paths else []), *[f"value_{name}" for name in numbers]]
+    kept = {name: F.col(name) for name in ["degree", "seen", *carry]} | {"arrived": zero}
+    sent = {name: F.col(f"dst_{name}") for name in ["degree", *own]} | {"seen": zero, "arrived": F.lit(1).cast("long")}
+    if carried.paths:
         total = F.col("best") + F.col("weight")
-        arrival = F.struct(
-            F.col("dst").alias("node_id"),
-            F.col("dst_degree").alias("degree"),
-            F.col("dst_weight").alias("weight"),
-            F.col("dst_own").alias("own"),
-            zero.alias("seen"),
-            F.lit(1).cast("bigint").alias("arrived"),
-            (F.col("wave") + F.col("hops")).alias("wave"),
-            (total + F.col("path_weight")).alias("best"),
-            zero.alias("value"),
-            handed.alias("handed"),
-            none.alias("level"),
+        sent |= {"wave": F.col("wave") + F.col("hops"), "best": total + F.col("path_weight")}
+    for name in numbers:
+        kept |= {f"handed_{name}": zero}
+        sent |= {f"value_{name}": zero, f"handed_{name}": F.col(f"handed_{name}")}
+    here = F.struct("node_id", *_named(kept), F.when(F.col("stage") >= 0, 0).alias("stage"))
+    arrival = F.struct(F.col("dst").alias("node_id"), *[sent[name].alias(name) for name in kept], none.alias("stage"))
+    rows = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, arrival))
+    for _ in range(LEVELS):
+        for name in numbers:
+            state = state.withColumn(f"print_{name}", _plus(F.col(f"value_{name}"), F.col(name)))
+        walked = (
+            state.alias("f")
+            .join(steps.alias("s"), (F.col("f.node_id") == F.col("s.node_id")) & (F.col("stage") == NEWEST), "left")
+            .select("f.*", *[F.col(f"s.{name}") for name in steps.columns if name != "node_id"])
         )
-        rows = F.when(F.col("dst").isNull(), F.array(own)).otherwise(F.array(own, arrival))
+        for name in numbers:
+            handed = _plus(_times(F.col("factor"), F.col(f"print_{name}")), F.col(f"offset_{name}"))
+            walked = walked.withColumn(f"handed_{name}", handed)
         merged = (
             walked.select(F.explode(rows).alias("n"))
             .groupBy("n.node_id")
             .agg(
-                F.max("n.degree").alias("degree"),
-                F.max("n.weight").alias("weight"),
-                F.max("n.own").alias("own"),
+                *[F.max(f"n.{name}").alias(name) for name in ["degree", *own]],
                 (F.max("n.seen") + F.sum("n.arrived")).alias("seen"),
-                F.max("n.wave").alias("wave"),
-                F.max("n.best").alias("best"),
-                (_modulo(F.max("n.value") + F.sum(F.col("n.handed").cast("decimal(20,0)"))) if hashed else zero).alias("value"),
-                F.max("n.level").alias("level"),
+                *[F.max(f"n.{name}").alias(name) for name in (["wave", "best"] if carried.paths else [])],
+                *[
+                    _plus(F.max(f"n.value_{name}"), _total(F.col(f"n.handed_{name}"))).alias(f"value_{name}")
+                    for name in numbers
+                ],
+                F.max("n.stage").alias("stage"),
             )
         )
-        settled = F.when(F.col("level").isNull() & (F.col("seen") == F.col("degree")), level + 1)
-        state = merged.withColumn("level", F.coalesce("level", settled))
+        settled = F.when(F.col("stage").isNull() & (F.col("seen") == F.col("degree")), NEWEST)
+        state = merged.withColumn("stage", F.coalesce("stage", settled))
     return state
 
 
-def _settled_heads(graph: _Collapsed, path: str, hashed: bool) -> DataFrame:
-    """``node_id, wave, total, print`` of every head whose dependencies run out: the longest path to it in edges, the
-    largest sum of weights on a path to and including it, and its fingerprint. A head is settled in the step in which
-    its last dependency was; each link is used once."""
-    zero = F.lit(0).cast("bigint")
-    state = graph.heads.where(F.col("degree") == 0).select(
-        "node_id",
-        "degree",
-        "weight",
-        "own",
-        zero.alias("seen"),
-        zero.alias("wave"),
-        F.lit(0.0).alias("best"),
-        zero.alias("value"),
-        F.lit(0).alias("level"),
-    )
-    newest = F.count_if(F.col("level") == LEVELS)
+def _settled_heads(graph: _Collapsed, path: str, carried: _Carried) -> DataFrame:
+    """Every head whose dependencies run out: ``node_id`` with ``wave`` (the longest path to it in edges) and ``total`` (the
+    largest sum of weights on a path to and including it), or ``print_…``, its fingerprints. A head is settled in the step
+    in which its last dependency was; each link is used once."""
+    zero = F.lit(0).cast("long")
+    begun = {"seen": zero} | ({"wave": zero, "best": F.lit(0.0)} if carried.paths else {})
+    begun |= {f"value_{name}": zero for name in carried.numbers} | {"stage": F.lit(NEWEST)}
+    state = graph.heads.where(F.col("degree") == 0).select("*", *_named(begun))
+    newest = F.count_if(F.col("stage") == NEWEST)
     paths: list[str] = []
     while True:
         paths.append(f"{path}/round-{len(paths)}")
-        found, counts = materialize(_settle(graph.links, state, hashed), paths[-1], newest=newest)
+        found, counts = materialize(_settle(graph.links, state, carried), paths[-1], newest=newest)
         if not counts["newest"]:
             break
         # Heads of the last step walk on; what still waits for dependencies goes with them.
-        state = found.where(F.col("level").isNull() | (F.col("level") == LEVELS)).withColumn(
-            "level", F.when(F.col("level") == LEVELS, F.lit(0))
-        )
-    # A head that settles in the last step of a round starts the next one, which writes it again as level 0.
-    print_ = _plus(F.col("value"), F.col("own")) if hashed else zero
-    return (
-        _all_rounds(found, paths)
-        .where(F.col("level") < LEVELS)
-        .select("node_id", "wave", (F.col("best") + F.col("weight")).alias("total"), print_.alias("print"))
-    )
+        state = found.where(F.col("stage").isNull() | (F.col("stage") == NEWEST))
+    # A head that settles in the last step of a round starts the next one, which writes it again as settled before.
+    result = {"wave": F.col("wave"), "total": F.col("best") + F.col("weight")} if carried.paths else {}
+    result |= {f"print_{name}": _plus(F.col(f"value_{name}"), F.col(name)) for name in carried.numbers}
+    return _all_rounds(found, paths).where(F.col("stage") == 0).select("node_id", *_named(result))
 
 
-def _below(graph: _Collapsed, heads: DataFrame, *columns: Column) -> DataFrame:
-    """Folded nodes, each with what ``columns`` make of its head's row (``_wave``, ``_total``, ``_print``)."""
-    above = [F.col(name).alias(f"_{name}") for name in ("wave", "total", "print")]
-    return graph.folded.join(heads.select(F.col("node_id").alias("head"), *above), "head").select("node_id", *columns)
+def _below(graph: _Collapsed, heads: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Folded nodes, each with what ``fields`` make of its head's row, whose columns have a ``_`` in front."""
+    above = [F.col(name).alias(f"_{name}") for name in heads.columns if name != "node_id"]
+    joined = graph.folded.join(heads.select(F.col("node_id").alias("head"), *above), "head")
+    return joined.select("node_id", *_named(fields))
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -403,35 +440,37 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     node, and the largest sum of node weights along any path, own weight included. Second frame: nodes on a
     cycle or behind one, which never run out of open dependencies.
     """
-    path = scratch_path(nodes.sparkSession, "paths")
-    graph = _collapse(nodes.select("node_id", "weight", F.lit(False).alias("marked")), edges, path)
-    heads = _settled_heads(graph, path, hashed=False)
-    below = _below(
-        graph,
-        heads,
-        (F.col("_wave") + F.col("hops")).alias("wave"),
-        (F.col("_total") + F.col("path_weight")).alias("total"),
-    )
-    longest = heads.select("node_id", "wave", "total").unionByName(below).withColumnRenamed("total", "path_weight")
+    path, carried = scratch_path(nodes.sparkSession, "paths"), _Carried(paths=True)
+    described = nodes.select("node_id", F.col("weight").cast("double").alias("weight"))
+    graph = _collapse(described, prepared_edges(edges, factors=False), path, carried)
+    heads = _settled_heads(graph, path, carried)
+    below = {"wave": F.col("_wave") + F.col("hops"), "total": F.col("_total") + F.col("path_weight")}
+    longest = heads.unionByName(_below(graph, heads, below)).withColumnRenamed("total", "path_weight")
     return longest, nodes.select("node_id").join(longest, "node_id", "left_anti")
 
 
-def carried_fingerprints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def carried_fingerprints(nodes: DataFrame, edges: DataFrame, numbers: dict[str, str] | None = None) -> DataFrame:
     """``node_id, fingerprint`` over everything a node's result depends on: its ``own`` number (below 2^61, a hash of
     its definition and inputs) plus, for each dependency, that one's fingerprint times a factor that the edge's two ends
     give, modulo a prime. So a node's fingerprint changes with its own number, with that of any node above it and with
     any edge between them, but for a chance of about one in 2^60; nodes below no change keep theirs.
 
-    Maps of this kind can be composed, so chains are folded by pointer doubling as for every other question here. Nodes
-    on a cycle or behind one have no fingerprint and are left out.
+    ``numbers`` names several columns of own numbers, each with the column of its fingerprint; they are carried by one
+    walk. Maps of this kind can be composed, so chains are folded by pointer doubling as for every other question here.
+    Nodes on a cycle or behind one have no fingerprint and are left out.
     """
-    path = scratch_path(nodes.sparkSession, "fingerprints")
-    described = nodes.select("node_id", F.lit(0.0).alias("weight"), F.lit(False).alias("marked"), "own")
-    graph = _collapse(described, edges, path)
-    heads = _settled_heads(graph, path, hashed=True)
-    carried = _plus(_times(F.col("factor"), F.col("_print")), F.col("offset"))
-    below = _below(graph, heads, carried.alias("print"))
-    return heads.select("node_id", "print").unionByName(below).withColumnRenamed("print", "fingerprint")
+    numbers = numbers or {"own": "fingerprint"}
+    path, carried = scratch_path(nodes.sparkSession, "fingerprints"), _Carried(numbers=tuple(numbers))
+    described = nodes.select("node_id", *[_modulo(F.col(name).cast("long")).alias(name) for name in numbers])
+    graph = _collapse(described, prepared_edges(edges), path, carried)
+    heads = _settled_heads(graph, path, carried)
+    below = {
+        f"print_{name}": _plus(_times(F.col("factor"), F.col(f"_print_{name}")), F.col(f"offset_{name}"))
+        for name in numbers
+    }
+    return heads.unionByName(_below(graph, heads, below)).withColumnsRenamed(
+        {f"print_{name}": print_ for name, print_ in numbers.items()}
+    )
 
 
 def topological_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:

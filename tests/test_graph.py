@@ -204,3 +204,37 @@ def test_graphs_of_many_runs_are_walked_together(spark):
         ("a", "2"): 4_000_000,
         ("b", "1"): 8_250_000,
     }
+
+
+def test_products_and_sums_of_large_numbers(spark):
+    """Modulo 2^61 - 1 by halves, at the ends of the range and where intermediate results are largest."""
+    rng = random.Random(9)
+    ends = [0, 1, (1 << 30) - 1, (1 << 31) - 1, 1 << 31, (1 << 60) - 1, 1 << 60, graph.PRIME - 1, (1 << 61) - 1]
+    numbers = ends + [rng.randrange(1 << 61) for _ in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in numbers for b in numbers], "a long, b long")
+    for r in pairs.select("a", "b", graph._times(pairs.a, pairs.b).alias("t")).collect():
+        assert r.t == r.a * r.b % graph.PRIME
+    total = pairs.agg(graph._total(pairs.a).alias("t")).first().t
+    assert total == sum(numbers) * len(numbers) % graph.PRIME
+
+
+def test_several_numbers_and_sets_of_origins_by_one_walk(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = {(rng.randrange(d), d) for d in range(1, 40) for _ in range(rng.choice([0, 1, 2, 3]))} | {(40, 41), (41, 40)}
+    own = [(n, rng.randrange(1 << 60), rng.randrange(1 << 60)) for n in range(42)]
+    nodes = spark.createDataFrame(own, "node_id long, a long, b long")
+    links = graph.prepared_edges(spark.createDataFrame(sorted(edges) * 2, "src long, dst long"))
+    walks = []
+    plain = graph._collapse
+    monkeypatch.setattr(graph, "_collapse", lambda *a: (walks.append(1), plain(*a))[1])
+    both = graph.carried_fingerprints(nodes, links, {"a": "x", "b": "y"}).collect()
+    factor = {(r.src, r.dst): r.f for r in links.select("src", "dst", graph.edge_factor(links.src, links.dst).alias("f")).collect()}
+    for place, name in ((1, "x"), (2, "y")):
+        assert {r.node_id: r[name] for r in both} == plain_prints(42, edges, {row[0]: row[place] for row in own}, factor)
+    sets = {"p": [3, 41], "q": [0, 3, 17]}
+    frames_ = {name: spark.createDataFrame([(n,) for n in ids], "node_id long") for name, ids in sets.items()}
+    rows = graph.descendants_of(nodes, links, frames_).collect()
+    assert len(rows) == len({r.node_id for r in rows}) and len(walks) == 2
+    for name, ids in sets.items():
+        assert {r.node_id for r in rows if r[name]} == reach(edges, ids)
+    assert all(r.p or r.q for r in rows)
