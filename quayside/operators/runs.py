@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.times import seconds_between
 from quayside.operators import graph, ledger, restart
+from quayside.session import materialize, scratch_path
 
 RUN = ["scope", "run_id"]
 
@@ -74,29 +75,29 @@ def resume_plan(
 ) -> DataFrame:
     """What a run that goes on from a prior one does with each node: node_id, action and cause.
 
-    ``current`` and ``prior`` are as ``restart.reuse_proof`` takes them, with ``own`` (below 2^61, a hash of the node's
-    definition, parameters and sources) in place of fingerprints and without ``invalidated``; ``prior`` holds the
-    fingerprints that were carried down its graph. One pass carries the current ones, in which a changed input shows in
-    exactly the nodes below it; what did not succeed, or is to be restarted, invalidates what follows.
+    ``current`` and ``prior`` are as ``restart.reuse_proof`` takes them, without ``invalidated`` and with ``own`` (below
+    2^61, a hash of the node's definition, parameters and sources) in place of fingerprints, or with ``input_fingerprint``
+    if they have been carried already; ``prior`` holds the fingerprints that were carried down its graph. A changed input
+    shows in exactly the nodes below it. What did not succeed, or is to be restarted, invalidates what follows; that and
+    what follows nodes that run are found by one walk, as nodes below invalid ones are invalid themselves.
 
     ``run``: the proof fails, for ``cause``. ``recheck``: the prior result stands, but something above runs again; it is
     reused if that yields equal outputs. ``reuse``: nothing above changes.
     """
-    carried = graph.carried_fingerprints(current.select("node_id", "own"), edges)
-    carried = carried.select("node_id", F.col("fingerprint").cast("string").alias("input_fingerprint"))
-    origins = restart.invalidation_origins(prior, mode, restart_from)
-    if mode == "force_rerun":
-        origins = current.select("node_id")
-    invalid = graph.descendants(current.select("node_id"), edges, origins).withColumn("_invalid", F.lit(True))
-    proof = restart.reuse_proof(
-        current.drop("own")
-        .join(carried, "node_id", "left")
-        .join(invalid, "node_id", "left")
-        .withColumn("invalidated", F.coalesce("_invalid", F.lit(False)))
-        .drop("_invalid"),
-        prior,
+    edges = graph.prepared_edges(edges)
+    if "input_fingerprint" not in current.columns:
+        carried = graph.carried_fingerprints(current.select("node_id", "own"), edges)
+        carried = carried.select("node_id", F.col("fingerprint").cast("string").alias("input_fingerprint"))
+        current = current.drop("own").join(carried, "node_id", "left")
+    proof, _ = materialize(
+        restart.reuse_proof(current.withColumn("invalidated", F.lit(False)), prior),
+        scratch_path(current.sparkSession, "proof"),
     )
-    again = graph.descendants(current.select("node_id"), edges, proof.where(~F.col("reuse")).select("node_id"))
-    touched = again.withColumn("_again", F.lit(True))
-    action = F.when(~F.col("reuse"), "run").when(F.col("_again"), "recheck").otherwise("reuse")
-    return proof.join(touched, "node_id", "left").select("node_id", action.alias("action"), "cause")
+    nodes = proof.select("node_id")
+    origins = nodes if mode == "force_rerun" else restart.invalidation_origins(prior, mode, restart_from)
+    failing = proof.where(~F.col("reuse")).select("node_id")
+    reached = graph.descendants_of(nodes, edges, {"invalid": origins, "again": failing})
+    invalid = F.coalesce("invalid", F.lit(False))
+    action = F.when(invalid | ~F.col("reuse"), "run").when(F.col("again"), "recheck").otherwise("reuse")
+    cause = F.when(invalid, "invalidated").otherwise(F.col("cause"))
+    return proof.join(reached, "node_id", "left").select("node_id", action.alias("action"), cause.alias("cause"))

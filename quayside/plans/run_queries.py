@@ -124,10 +124,15 @@ ORACLES["run_report"] = with_tables(
 _DEFINITION = ["code", "node_id", "strategy", "trigger"]
 
 
-def _definitions(spark: SparkSession, sf_dir: str, code: Column) -> DataFrame:
-    nodes = derived.nodes(spark, sf_dir).select("node_id", "trigger", "strategy", code.alias("code"))
-    own = F.conv(F.substring(row_hash(nodes, _DEFINITION), 1, 15), 16, 10).cast("bigint")
-    return nodes.select("node_id", own.alias("own"))
+def _definitions(spark: SparkSession, sf_dir: str, **codes: Column) -> DataFrame:
+    """Own numbers of all nodes, one column for each code. Rows are dealt out first: hashing is most of the work, and a
+    table of few files is read by few tasks."""
+    nodes = derived.nodes(spark, sf_dir).select("node_id", "trigger", "strategy").repartition("node_id")
+    for name, code in codes.items():
+        nodes = nodes.withColumn("code", code)
+        own = F.conv(F.substring(row_hash(nodes, _DEFINITION), 1, 15), 16, 10).cast("bigint")
+        nodes = nodes.withColumn(name, own)
+    return nodes.select("node_id", *codes)
 
 
 def _old_code() -> Column:
@@ -140,7 +145,7 @@ def _new_code() -> Column:
 
 
 QUERIES["carried_fingerprints"] = lambda spark, sf_dir: graph.carried_fingerprints(
-    _definitions(spark, sf_dir, _new_code()), derived.edges(spark, sf_dir)
+    _definitions(spark, sf_dir, own=_new_code()), derived.edges(spark, sf_dir)
 )
 _HEX = "('0x' || substr({}, 1, 15))::UBIGINT::HUGEINT"
 derived.SQL["definitions"] = """
@@ -164,8 +169,11 @@ ORACLES["carried_fingerprints"] = with_tables(
 
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run resumed after some code changed, some nodes failed, one was never recorded, and some always run."""
-    key, edges = F.col("node_id"), derived.edges(spark, sf_dir)
-    before = graph.carried_fingerprints(_definitions(spark, sf_dir, _old_code()), edges)
+    key, edges = F.col("node_id"), graph.prepared_edges(derived.edges(spark, sf_dir))
+    carried = graph.carried_fingerprints(
+        _definitions(spark, sf_dir, now=_new_code(), before=_old_code()), edges, {"now": "now", "before": "before"}
+    )
+    carried, _ = materialize(carried, scratch_path(spark, "carried"))
     fixed = {
         "business_run_key": F.lit("2024-01-02"),
         "dag_id": F.lit("receiving"),
@@ -173,8 +181,9 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "code_version": F.lit("0.3"),
         "code_fingerprint": F.lit("code-a"),
     }
-    current = _definitions(spark, sf_dir, _new_code()).select(
-        "*",
+    current = derived.nodes(spark, sf_dir).select("node_id").join(carried, "node_id", "left").select(
+        "node_id",
+        F.col("now").cast("string").alias("input_fingerprint"),
         *[value.alias(name) for name, value in fixed.items()],
         F.array(F.lit("1.9")).alias("compatible_versions"),
         (key % 409 != 9).alias("eligible"),
@@ -182,8 +191,8 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("merge").alias("strategy"),
         F.concat(F.lit("cp-"), "node_id").alias("checkpoint_name"),
     )
-    inputs, outputs = F.col("fingerprint").cast("string"), F.sha2(F.concat(F.lit("out-"), "node_id"), 256)
-    prior = before.where(key % 503 != 250).select(
+    inputs, outputs = F.col("before").cast("string"), F.sha2(F.concat(F.lit("out-"), "node_id"), 256)
+    prior = carried.where(key % 503 != 250).select(
         "node_id",
         *[value.alias(name) for name, value in fixed.items()],
         F.when(key % 307 == 150, "FAILED").otherwise("SUCCEEDED").alias("status"),

@@ -238,3 +238,48 @@ def test_several_numbers_and_sets_of_origins_by_one_walk(spark, monkeypatch):
     for name, ids in sets.items():
         assert {r.node_id for r in rows if r[name]} == reach(edges, ids)
     assert all(r.p or r.q for r in rows)
+
+
+@pytest.mark.parametrize("given, walks", [(False, 2), (True, 1)])
+def test_resume_plan_walks_the_graph_once_for_what_runs(spark, monkeypatch, given, walks):
+    """Node 1 failed, 4 changed: 3 hangs on 1, 5 on 4, and 6 on both; 7 has no prior record."""
+    from pyspark.sql import functions as F
+
+    from quayside.operators import restart, runs
+
+    edges = spark.createDataFrame([(1, 3), (0, 3), (4, 5), (0, 5), (3, 6), (5, 6), (0, 2), (7, 8), (0, 8)], "src long, dst long")
+    fixed = {name: F.lit("v") for name in ("business_run_key", "dag_id", "dag_version", "code_version", "code_fingerprint")}
+    nodes = spark.range(9).select(F.col("id").alias("node_id"), F.lit(5).cast("long").alias("own"))
+    changed = nodes.withColumn("own", F.when(F.col("node_id") == 4, 6).otherwise(F.col("own")).cast("long"))
+    now = graph.carried_fingerprints(changed, edges).select("node_id", F.col("fingerprint").cast("string").alias("input_fingerprint"))
+    before = graph.carried_fingerprints(nodes, edges).localCheckpoint()
+    current = (changed.drop("own").join(now, "node_id") if given else changed).select(
+        "*",
+        *[value.alias(name) for name, value in fixed.items()],
+        F.array().cast("array<string>").alias("compatible_versions"),
+        F.lit(True).alias("eligible"),
+        F.lit("reuse_valid").alias("policy"),
+        F.lit("merge").alias("strategy"),
+        F.lit("cp").alias("checkpoint_name"),
+    ).localCheckpoint()
+    inputs = F.col("fingerprint").cast("string")
+    prior = before.where("node_id <> 7").select(
+        "node_id",
+        *[value.alias(name) for name, value in fixed.items()],
+        F.when(F.col("node_id") == 1, "FAILED").otherwise("SUCCEEDED").alias("status"),
+        inputs.alias("input_fingerprint"),
+        F.lit(False).alias("execution_uncertain"),
+        restart.checkpoint_record(F.lit("cp"), inputs, F.lit("out"), F.lit("x")).alias("checkpoint"),
+        F.lit("out").alias("outputs_fingerprint"),
+        F.lit(True).alias("outputs_valid"),
+    )
+    seen = []
+    plain = graph._collapse
+    monkeypatch.setattr(graph, "_collapse", lambda *a: (seen.append(1), plain(*a))[1])
+    got = {r.node_id: (r.action, r.cause) for r in runs.resume_plan(current, prior, edges).collect()}
+    assert got == {
+        0: ("reuse", None), 1: ("run", "invalidated"), 2: ("reuse", None), 3: ("run", "invalidated"),
+        4: ("run", "input_fingerprint"), 5: ("run", "input_fingerprint"), 6: ("run", "invalidated"),
+        7: ("run", "no_prior_record"), 8: ("recheck", None),
+    }
+    assert len(seen) == walks
