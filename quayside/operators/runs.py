@@ -47,8 +47,12 @@ def run_report(runs: DataFrame, nodes: DataFrame, active: DataFrame, edges: Data
     its critical path, and counts, status and advice over the latest records of its nodes.
 
     ``runs``: scope, run_id, business_run_key, parent_run_id, restart_mode, rerun_reason, started_at, ended_at. A run
-    without a node record counts none. The nodes that failed are ``ledger.run_failures``.
+    without a node record counts none. The nodes that failed are ``ledger.run_failures``. Records and times of nodes are
+    written first: they come from the whole ledger and are read several times.
     """
+    folder = scratch_path(nodes.sparkSession, "report")
+    nodes, _ = materialize(nodes, f"{folder}/nodes")
+    active, _ = materialize(active, f"{folder}/active")
     described = runs.select(
         *RUN,
         "business_run_key",

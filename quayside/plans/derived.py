@@ -150,14 +150,28 @@ def _json_text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What node events are made of."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("S"), F.col("user_id") % 20).alias("scope"),
+        "user_id",
+        F.col("event_type").alias("kind"),
+        "value",
+        F.col("ts"),
+    )
+
+
 def unsequenced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node events without a sequence number, with ``event_id`` as the order of arrival."""
-    source = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("event_type").alias("kind"), "value", F.col("ts")
-    )
-    event = source.select(
+    return _as_events(_arrivals(spark, sf_dir))
+
+
+def _as_events(arrivals: DataFrame) -> DataFrame:
+    event = arrivals.select(
         "event_id",
-        F.concat(F.lit("S"), F.col("user_id") % 20).alias("scope"),
+        "scope",
+        *(["sequence"] if "sequence" in arrivals.columns else []),
         F.lit("node").alias("entity_type"),
         F.concat(F.lit("E"), F.col("user_id")).alias("entity_id"),
         F.concat(F.lit("R"), F.col("user_id") % 20).alias("run_id"),
@@ -216,6 +230,7 @@ def unsequenced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event.select(
         "event_id",
         "scope",
+        *(["sequence"] if "sequence" in arrivals.columns else []),
         "entity_type",
         "entity_id",
         "run_id",
@@ -233,10 +248,10 @@ def _event_micros(ts: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event ledger: sequence 1, 2, 3 … per scope in order of arrival."""
-    raw = unsequenced_events(spark, sf_dir)
-    numbered = ordered.row_number(raw, ["scope"], F.col("event_id"), "sequence")
-    return numbered.select(
+    """The event ledger: sequence 1, 2, 3 … per scope in order of arrival. Rows are numbered before they get their texts,
+    which would make up most of what is shuffled."""
+    numbered = ordered.row_number(_arrivals(spark, sf_dir), ["scope"], F.col("event_id"), "sequence")
+    return _as_events(numbered).select(
         "scope",
         "sequence",
         "entity_type",

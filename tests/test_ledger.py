@@ -253,3 +253,35 @@ def test_peak_usage_shuffles_three_times(spark):
     frame = spark.createDataFrame([("g", 1, 2, 1)], "g string, started_us long, ended_us long, demand long")
     plan = ledger.peak_usage(frame, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_run_report_reads_the_ledger_once_for_all_uses_of_its_nodes(spark, monkeypatch, tmp_path):
+    from quayside.operators import runs
+
+    nodes = [("s", "r", n, state, 1, False, True) for n, state in (("a", "SUCCEEDED"), ("b", "FAILED"))]
+    kinds = "scope string, run_id string, node_id string, status string, attempt long, execution_uncertain boolean, critical boolean"
+    spark.createDataFrame(nodes, kinds).write.parquet(f"{tmp_path}/nodes")
+    active = spark.createDataFrame([("s", "r", "a", 1.5), ("s", "r", "b", 2.0)], "scope string, run_id string, node_id string, active_seconds double")
+    active.write.parquet(f"{tmp_path}/active")
+    started = [("s", "r", "k", None, "normal", None, "2024-01-01T00:00:00+00:00", None)]
+    described = spark.createDataFrame(
+        started,
+        "scope string, run_id string, business_run_key string, parent_run_id string, restart_mode string, rerun_reason string, "
+        "started_at string, ended_at string",
+    )
+    edges, read = spark.createDataFrame([("a", "b")], "src string, dst string"), []
+    plain = runs.critical_paths
+    monkeypatch.setattr(runs, "critical_paths", lambda n, a, e: (read.extend(n.inputFiles() + a.inputFiles()), plain(n, a, e))[1])
+    row = runs.run_report(
+        described, spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/active"), edges,
+        "2024-01-01T00:01:00+00:00",
+    ).first()
+    assert (row.critical_path_seconds, row.total_nodes, row.failed_nodes, row.status) == (3.5, 2, 1, "FAILED")
+    assert read and not [file for file in read if str(tmp_path) in file]
+
+
+def test_ledger_rows_are_numbered_before_they_get_their_texts(spark):
+    from quayside.plans import derived
+
+    plan = derived.events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("claim_id") < plan.index("Window")
